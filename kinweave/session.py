@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,3 +63,15 @@ def get_logger(name: str, log_file: str = "pipeline.log") -> logging.Logger:
         logger.addHandler(handler)
     logger.propagate = False
     return logger
+
+
+def stage(df: DataFrame, label: str = "staged") -> DataFrame:
+    """Write ``df`` as a columnar table in the shared checkpoint folder and read it back.
+
+    Unlike ``checkpoint`` the result keeps column pruning, filter pushdown and size statistics,
+    which later joins use to pick a strategy.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
