@@ -18,7 +18,7 @@ from kinweave.operators.graph import (
     coauthor_distance,
     find_candidates,
 )
-from kinweave.session import stage
+from kinweave.session import hold
 
 PAIR = ["target_id", "person_id"]
 
@@ -224,20 +224,20 @@ def recommend(
 ) -> Recommendation:
     """Gaps, candidates, evidence, features and ranking for all targets at once.
 
-    The candidate set is at most ``candidate_limit`` rows per target. It is written out once, since
-    evidence, distance and every feature start from it.
+    The candidate set is at most ``candidate_limit`` rows per target. It is held, since evidence,
+    distance and every feature start from it.
     """
-    team_caps = team_capabilities(graph, targets.team)
+    team_caps = hold(team_capabilities(graph, targets.team))
     gaps = capability_gaps(targets.requirements, team_caps)
     found = find_candidates(
         graph, targets.domains, targets.requirements, targets.team, candidate_limit, by_matches, closure
     )
-    people = stage(found.people, "candidates")
-    matches = stage(found.matches.join(people.select(*PAIR), PAIR, "left_semi"), "matches")
+    people = hold(found.people)
+    matches = hold(found.matches.join(people.select(*PAIR), PAIR, "left_semi"))
     candidates = Candidates(people, matches)
     evidence = candidate_evidence(graph, people, targets.domains, targets.requirements)
     distance = coauthor_distance(graph.wrote, targets.team, people)
-    features = compute_features(graph, targets, gaps, team_caps, candidates, evidence, distance)
+    features = hold(compute_features(graph, targets, gaps, team_caps, candidates, evidence, distance))
     return Recommendation(gaps, candidates, evidence, features, rank_candidates(features, weights, top_k))
 
 

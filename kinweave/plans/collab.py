@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from kinweave.operators.capability import aggregate_capabilities, evidence_rows, gate
 from kinweave.operators.graph import GraphTables, ancestor_closure, with_ancestors
 from kinweave.operators.recommend import Targets
+from kinweave.session import hold, stage
 
 REFERENCE_YEAR = 2001
 TARGET_COUNT = 10
@@ -105,8 +106,6 @@ def full_graph(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None)
 
 def staged_graph(spark: SparkSession, sf_dir: str) -> tuple[GraphTables, DataFrame]:
     """The graph with its edge tables written once, plus the rows it came from."""
-    from kinweave.session import stage
-
     rows = stage(facts(spark, sf_dir), "facts")
     base = base_graph(spark, sf_dir, rows).staged("wrote", "projects", "project_domain")
     able = gate(aggregates(base, rows)).withColumn("name", F.replace("capability_id", F.lit("_"), F.lit(" ")))
@@ -138,8 +137,7 @@ def targets_for(graph: GraphTables, rows: DataFrame, chosen: DataFrame) -> Targe
     )
 
 
-def staged_targets(graph: GraphTables, rows: DataFrame, chosen: DataFrame) -> Targets:
-    from kinweave.session import stage
-
-    targets = targets_for(graph, rows, stage(chosen, "targets"))
-    return Targets(**{name: stage(df, f"target-{name}") for name, df in targets.__dict__.items()})
+def held_targets(graph: GraphTables, rows: DataFrame, chosen: DataFrame) -> Targets:
+    """The question's own tables, cached: every step of a recommendation reads them."""
+    targets = targets_for(graph, rows, hold(chosen))
+    return Targets(**{name: hold(df) for name, df in targets.__dict__.items()})

@@ -10,7 +10,7 @@ from kinweave.operators import capability, graph as g, recommend as rec
 from kinweave.operators.recommend import PAIR
 from kinweave.plans import collab
 from kinweave.plans.collab_sql import VIEWS
-from kinweave.session import stage
+from kinweave.session import hold, stage
 from kinweave import settings
 
 QUERIES = {}
@@ -30,7 +30,7 @@ def query(sql_body: str | None = None, *needs: str):
 
 def _prepared(spark: SparkSession, sf: str):
     graph, rows = collab.staged_graph(spark, sf)
-    targets = collab.staged_targets(graph, rows, collab.largest_teams(graph))
+    targets = collab.held_targets(graph, rows, collab.largest_teams(graph))
     return graph, targets
 
 
@@ -147,7 +147,7 @@ SELECT target_id, person_id, hops FROM distance JOIN candidates USING (target_id
 def coauthor_distance_of_candidates(spark: SparkSession, sf: str) -> DataFrame:
     graph, targets = _prepared(spark, sf)
     found = g.find_candidates(graph, targets.domains, targets.requirements, targets.team, settings.CANDIDATE_LIMIT)
-    return g.coauthor_distance(graph.wrote, targets.team, stage(found.people, "candidates"))
+    return g.coauthor_distance(graph.wrote, targets.team, hold(found.people))
 
 
 # -- capabilities ----------------------------------------------------------
@@ -309,11 +309,11 @@ def held_out_authors(spark: SparkSession, sf: str) -> DataFrame:
 def _leave_one_out(spark: SparkSession, sf: str) -> DataFrame:
     graph, _ = collab.staged_graph(spark, sf)
     held, team = rec.held_out_split(graph.wrote, g.project_page(graph.projects, limit=50), 2)
-    held, team = stage(held, "held-out"), stage(team, "team")
+    held, team = hold(held), hold(team)
     closure = g.ancestor_closure(graph.subdomain_of)
     links = graph.project_domain.withColumnRenamed("project_id", "target_id").join(held, "target_id", "left_semi")
     none = spark.createDataFrame([], "target_id string, req string, capability_id string, name string, importance double, source string")
-    targets = rec.Targets(stage(g.with_ancestors(links, closure, ["target_id"]), "domains"), none, team)
+    targets = rec.Targets(hold(g.with_ancestors(links, closure, ["target_id"])), none, team)
     return rec.evaluate_held_out(held, rec.recommend(graph, targets).ranked)
 
 

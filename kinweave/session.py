@@ -6,6 +6,7 @@ import logging
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
@@ -75,3 +76,11 @@ def stage(df: DataFrame, label: str = "staged") -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def hold(df: DataFrame) -> DataFrame:
+    """Cache a table whose size follows the question (targets, candidates, a taxonomy), not the data.
+
+    The lineage stays, so blocks lost with an executor are simply computed again.
+    """
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
