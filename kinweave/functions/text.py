@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import sys
 import unicodedata
 from functools import lru_cache
 
@@ -38,7 +37,7 @@ def _folding(form: str) -> tuple[str, str, str, str]:
     and those expansions as a JSON object. ``NFD`` drops combining marks; ``NFKD`` keeps ASCII only.
     """
     source, target, dropped, expanding = [], [], [], {}
-    for point in range(0x80, sys.maxunicode + 1):
+    for point in range(0x80, 0x30000):  # no character beyond has a decomposition
         if 0xAC00 <= point <= 0xD7A3 or 0xD800 <= point <= 0xDFFF:
             continue  # Hangul is decomposed arithmetically; surrogates are not characters
         char = chr(point)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from kinweave import settings
 from kinweave.functions.text import capability_id, is_placeholder, normalize, strip
-from kinweave.session import hold, stage
+from kinweave.session import stage
 
 
 @dataclass(frozen=True)
@@ -46,17 +46,18 @@ def ancestor_closure(edges: DataFrame, child: str = "child_id", parent: str = "p
     """All (domain_id, ancestor_id) pairs, any depth, cycles allowed.
 
     Each round joins the known pairs with themselves, so a chain of n edges closes in log2(n)
-    rounds. It stops when a round finds nothing new.
+    rounds. It stops when a round finds nothing new. Each round is written out: the plan stays short.
     """
-    known = hold(
+    known = stage(
         edges.select(F.col(child).alias("domain_id"), F.col(parent).alias("ancestor_id"))
         .where(F.col("domain_id").isNotNull() & F.col("ancestor_id").isNotNull())
-        .distinct()
+        .distinct(),
+        "closure",
     )
     while True:
         onward = known.select(F.col("domain_id").alias("ancestor_id"), F.col("ancestor_id").alias("further"))
         longer = known.join(onward, "ancestor_id").select("domain_id", F.col("further").alias("ancestor_id")).distinct()
-        fresh = hold(longer.join(known, ["domain_id", "ancestor_id"], "left_anti"))
+        fresh = stage(longer.join(known, ["domain_id", "ancestor_id"], "left_anti"), "closure")
         if fresh.isEmpty():
             return known
         known = known.unionByName(fresh)

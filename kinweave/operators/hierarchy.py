@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from kinweave import settings
 from kinweave.functions.text import SPACE, strip
 from kinweave.operators.graph import ancestor_closure
-from kinweave.session import hold
+from kinweave.session import stage
 
 
 def _code(column: str) -> Column:
@@ -75,14 +75,14 @@ def _walk(group: pd.DataFrame) -> pd.DataFrame:
 
 def components(pairs: DataFrame) -> DataFrame:
     """(node, component): the smallest identifier each node is connected with, spread until stable."""
-    both = hold(pairs.select(F.col("child_id").alias("a"), F.col("parent_id").alias("b")).union(pairs.select("parent_id", "child_id")).distinct())
-    labels = hold(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("component")))
+    both = stage(pairs.select(F.col("child_id").alias("a"), F.col("parent_id").alias("b")).union(pairs.select("parent_id", "child_id")).distinct(), "components")
+    labels = (both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("component")))
     while True:
         offered = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("best"))
         moved = labels.join(offered, "node").select(
             "node", F.least("component", "best").alias("component"), (F.col("best") < F.col("component")).alias("moved")
         )
-        moved = hold(moved)
+        moved = stage(moved, "components")
         if moved.where("moved").isEmpty():
             return labels
         labels = moved.drop("moved")
@@ -97,7 +97,8 @@ def cycle_paths(pairs: DataFrame, closure: DataFrame) -> DataFrame:
     cyclic = cyclic_domains(closure)
     above = closure.join(cyclic, "domain_id", "left_semi").select(F.col("ancestor_id").alias("node")).union(cyclic).distinct()
     left = pairs.join(above.withColumnRenamed("node", "child_id"), "child_id", "left_semi")
-    left = hold(left.join(above.withColumnRenamed("node", "parent_id"), "parent_id", "left_semi").select("child_id", "parent_id"))
+    left = left.join(above.withColumnRenamed("node", "parent_id"), "parent_id", "left_semi").select("child_id", "parent_id")
+    left = stage(left, "cyclic")
     placed = left.join(components(left).withColumnRenamed("node", "child_id"), "child_id")
     return placed.groupBy("component").applyInPandas(lambda pdf: _walk(pdf), "path string")
 
@@ -107,17 +108,17 @@ def domain_levels(domains: DataFrame, pairs: DataFrame, closure: DataFrame) -> D
 
     A cyclic domain counts as a root. Levels rise from the roots, one round per level.
     """
-    cyclic = hold(cyclic_domains(closure))
-    steps = hold(pairs.join(cyclic.withColumnRenamed("domain_id", "child_id"), "child_id", "left_anti"))
-    levels = hold(valid_domains(domains).withColumn("levels", F.lit(1)))
+    cyclic = cyclic_domains(closure).withColumnRenamed("domain_id", "child_id")
+    steps = stage(pairs.join(cyclic, "child_id", "left_anti"), "levels")
+    levels = stage(valid_domains(domains).withColumn("levels", F.lit(1)), "levels")
     while True:
         raised = steps.join(levels.withColumnRenamed("domain_id", "parent_id"), "parent_id").groupBy("child_id").agg(
             (F.max("levels") + 1).alias("above")
         )
-        grown = hold(levels.join(raised.withColumnRenamed("child_id", "domain_id"), "domain_id", "left").select(
+        grown = stage(levels.join(raised.withColumnRenamed("child_id", "domain_id"), "domain_id", "left").select(
             "domain_id", F.greatest("levels", F.coalesce("above", F.lit(1))).alias("levels"),
             (F.coalesce("above", F.lit(1)) > F.col("levels")).alias("grew"),
-        ))
+        ), "levels")
         if grown.where("grew").isEmpty():
             return levels
         levels = grown.drop("grew")
@@ -194,7 +195,7 @@ def unknown_associations(domains: DataFrame, associations: DataFrame) -> DataFra
 
 def all_checks(domains: DataFrame, edges: DataFrame, associations: DataFrame, max_levels: int = settings.MAX_DOMAIN_LEVELS) -> dict[str, DataFrame]:
     """The ten checks in report order."""
-    pairs = hold(inner_edges(domains, edges))
+    pairs = stage(inner_edges(domains, edges), "edges")
     closure = ancestor_closure(pairs)
     return {
         "cycles": cycle_paths(pairs, closure),

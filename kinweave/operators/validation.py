@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinweave import settings
-from kinweave.functions.records import as_list, has_key, is_list, is_missing, list_length, raw, text
-from kinweave.functions.text import is_valid_date, is_valid_language, strip
+from kinweave.functions.records import as_list, elements, has_key, is_list, is_missing, list_length, raw, text
+from kinweave.functions.text import SPACE, is_valid_date, is_valid_language, strip
 from kinweave.sources.records import is_object
 
 ISSUE = "struct<code:string,field:string,severity:string>"
@@ -15,7 +15,7 @@ ISSUE = "struct<code:string,field:string,severity:string>"
 
 def is_blank(doc: Column, field: str) -> Column:
     """Missing, empty, or holding nothing but white space."""
-    return F.forall(as_list(doc, field), lambda x: F.coalesce(strip(x) == "", F.lit(True)))
+    return F.forall(as_list(doc, field), lambda x: F.coalesce(~x.rlike(f"(?U)[^{SPACE[1:-1]}]"), F.lit(True)))
 
 
 def record_key(doc: Column) -> Column:
@@ -28,30 +28,46 @@ def _issue(condition: Column, code: str, field: str, severity: str) -> Column:
     return F.when(condition, F.struct(F.lit(code).alias("code"), F.lit(field).alias("field"), F.lit(severity).alias("severity")))
 
 
-def _length_mismatches(doc: Column, fields: list[str]) -> list[Column]:
+ARRAY_FIELDS = [*settings.AUTHOR_ARRAY_FIELDS, *settings.ORGANIZATION_ARRAY_FIELDS]
+TEXT_FIELDS = [
+    "title_s", "abstract_s", "keyword_s", "doiId_s", "authFullName_s", "primaryDomain_s", "domainAllCode_s", "domain_s",
+    "docType_s", *settings.DATE_FIELDS,
+]
+
+
+def _facts(records: DataFrame) -> DataFrame:
+    """What the rules look at, each taken from the record once: lengths, blanks, keys."""
+    doc = F.col("doc")
+    return records.select(
+        "doc_ord", "doc",
+        record_key(doc).alias("key"),
+        *[F.when(has_key(doc, f), F.size(elements(doc, f))).alias(f"n_{f}") for f in ARRAY_FIELDS],
+        *[is_blank(doc, f).alias(f"blank_{f}") for f in TEXT_FIELDS],
+    )
+
+
+def _length_mismatches(fields: list[str]) -> list[Column]:
     """Arrays whose length is neither zero nor that of the first array present."""
-    expected = F.coalesce(*[F.when(has_key(doc, f), list_length(doc, f)) for f in fields])
+    lengths = [F.col(f"n_{f}") for f in fields]
+    expected = F.coalesce(*lengths)
     return [
-        _issue(
-            has_key(doc, f) & (list_length(doc, f) != 0) & (list_length(doc, f) != expected),
-            "parallel_array_length_mismatch", f, "warning",
-        )
-        for f in fields[1:]
+        _issue((n != 0) & (n != expected), "parallel_array_length_mismatch", f, "warning")
+        for f, n in zip(fields[1:], lengths[1:])
     ]
 
 
-def issue_array(doc: Column) -> Column:
-    """All issues of one record."""
-    blank = lambda f: is_blank(doc, f)
-    no_domain = blank("primaryDomain_s") & blank("domainAllCode_s") & blank("domain_s")
+def record_issues(records: DataFrame) -> DataFrame:
+    """(doc_ord, code, field, severity) of each record on its own."""
+    doc = F.col("doc")
+    blank = lambda f: F.col(f"blank_{f}")
     single = [
-        _issue(record_key(doc).isNull(), "missing_hal_id", "halId_s", "error"),
+        _issue(F.col("key").isNull(), "missing_hal_id", "halId_s", "error"),
         _issue(blank("title_s"), "missing_title", "title_s", "error"),
         _issue(blank("abstract_s"), "missing_abstract", "abstract_s", "warning"),
         _issue(blank("keyword_s"), "missing_keywords", "keyword_s", "warning"),
         _issue(blank("doiId_s"), "missing_doi", "doiId_s", "warning"),
         _issue(blank("authFullName_s"), "missing_authors", "authFullName_s", "error"),
-        _issue(no_domain, "missing_domains", "primaryDomain_s", "warning"),
+        _issue(blank("primaryDomain_s") & blank("domainAllCode_s") & blank("domain_s"), "missing_domains", "primaryDomain_s", "warning"),
         _issue(has_key(doc, "docType_s") & blank("docType_s"), "missing_doc_type", "docType_s", "error"),
         *[
             _issue(~blank(f) & ~F.coalesce(is_valid_date(text(doc, f)), F.lit(False)), "malformed_date", f, "warning")
@@ -63,8 +79,8 @@ def issue_array(doc: Column) -> Column:
             & ~text(doc, "publicationDateY_i").rlike(r"^\p{Nd}+$"),
             "malformed_publication_year", "publicationDateY_i", "warning",
         ),
-        *_length_mismatches(doc, settings.AUTHOR_ARRAY_FIELDS),
-        *_length_mismatches(doc, settings.ORGANIZATION_ARRAY_FIELDS),
+        *_length_mismatches(settings.AUTHOR_ARRAY_FIELDS),
+        *_length_mismatches(settings.ORGANIZATION_ARRAY_FIELDS),
         _issue(is_list(doc, "title_s") & (list_length(doc, "title_s") > 1), "multi_title_value", "title_s", "warning"),
     ]
     languages = F.transform(
@@ -73,7 +89,8 @@ def issue_array(doc: Column) -> Column:
     )
     found = F.concat(F.filter(F.array(*single), lambda i: i.isNotNull()), languages)
     odd = F.array(F.struct(F.lit("non_object_document").alias("code"), F.lit("docs").alias("field"), F.lit("error").alias("severity")))
-    return F.when(is_object(doc), found).otherwise(odd)
+    rows = _facts(records).select("doc_ord", F.explode(F.when(is_object(doc), found).otherwise(odd)).alias("i"))
+    return rows.select("doc_ord", "i.*")
 
 
 def duplicate_records(records: DataFrame) -> DataFrame:
@@ -90,11 +107,10 @@ def duplicate_records(records: DataFrame) -> DataFrame:
 
 def document_issues(records: DataFrame) -> DataFrame:
     """(doc_ord, code, field, severity) for all records, repeated identifiers included."""
-    own = records.select("doc_ord", F.explode(issue_array(F.col("doc"))).alias("i")).select("doc_ord", "i.*")
     repeats = duplicate_records(records).select(
         "doc_ord", F.lit("duplicate_hal_id").alias("code"), F.lit("halId_s").alias("field"), F.lit("error").alias("severity")
     )
-    return own.unionByName(repeats)
+    return record_issues(records).unionByName(repeats)
 
 
 def size_issues(doc_count: int, num_found: int | None = None, rows: int | None = None, start: int | None = None) -> list[dict]:

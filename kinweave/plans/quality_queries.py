@@ -10,7 +10,7 @@ from kinweave.operators.canonical import canonical_table, with_project_id
 from kinweave.operators.graph import ancestor_closure
 from kinweave.plans import collab, corpus
 from kinweave.plans.corpus_sql import VIEWS
-from kinweave.session import hold, stage
+from kinweave.session import stage
 
 QUERIES = {}
 SQL = {}
@@ -27,6 +27,11 @@ def query(sql_body: str | None = None, *needs: str, name: str | None = None):
     return register
 
 
+def _records(spark: SparkSession, sf: str) -> DataFrame:
+    """Parsed records, written once: most checks read them several times."""
+    return stage(corpus.records(spark, sf), "records")
+
+
 # -- validation ------------------------------------------------------------
 
 VIEWS.add("issues", r"""
@@ -50,18 +55,18 @@ WHERE doc_id > (SELECT min(doc_id) FROM docs e WHERE e.hal_id = d.hal_id)""", "d
 
 @query("SELECT doc_id AS doc_ord, code, field, severity FROM issues", "issues")
 def validator_issues(spark: SparkSession, sf: str) -> DataFrame:
-    return validation.document_issues(corpus.records(spark, sf))
+    return validation.document_issues(_records(spark, sf))
 
 
 @query("SELECT severity, code, count(*) AS n FROM issues GROUP BY 1, 2", "issues")
 def issue_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return validation.issue_counts(validation.document_issues(corpus.records(spark, sf)))
+    return validation.issue_counts(validation.document_issues(_records(spark, sf)))
 
 
 @query("""
 SELECT doc_id AS doc_ord, hal_id AS key FROM docs d WHERE doc_id > (SELECT min(doc_id) FROM docs e WHERE e.hal_id = d.hal_id)""", "docs")
 def duplicate_records(spark: SparkSession, sf: str) -> DataFrame:
-    return validation.duplicate_records(corpus.records(spark, sf))
+    return validation.duplicate_records(_records(spark, sf))
 
 
 @query("""
@@ -100,12 +105,12 @@ SELECT 'keywords', (SELECT count(*) FROM issues WHERE code = 'missing_keywords')
 SELECT 'doi', (SELECT count(*) FROM issues WHERE code = 'missing_doi') UNION ALL
 SELECT 'authors', (SELECT count(*) FROM issues WHERE code = 'missing_authors') UNION ALL SELECT 'domains', 0)""", "issues", "docs")
 def quality_missingness(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.missingness(corpus.records(spark, sf))
+    return quality.missingness(_records(spark, sf))
 
 
 @query("SELECT hal_id, count(*) AS n FROM docs GROUP BY 1 HAVING count(*) > 1", "docs")
 def quality_duplicate_ids(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.duplicate_ids(corpus.records(spark, sf))
+    return quality.duplicate_ids(_records(spark, sf))
 
 
 @query("""
@@ -113,14 +118,14 @@ SELECT count(DISTINCT id) AS author_id_count, count(*) FILTER (WHERE starts_with
 round(count(DISTINCT id) FILTER (WHERE starts_with(id, 'unknown_'))::DOUBLE / count(DISTINCT id), 4) AS unknown_author_share
 FROM author_rows""", "author_rows")
 def quality_author_identity(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.author_identity(corpus.records(spark, sf))
+    return quality.author_identity(_records(spark, sf))
 
 
 @query("""
 SELECT (SELECT count(*) FROM listed) - count(*) AS authors_without_hal_id FROM given
 WHERE id <> ''""", "listed", "given")
 def quality_authors_without_id(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.authors_without_identifier(corpus.records(spark, sf))
+    return quality.authors_without_identifier(_records(spark, sf))
 
 
 @query("""
@@ -128,21 +133,21 @@ SELECT DISTINCT lower(name) AS normalized_name, id AS author_id FROM author_rows
 SELECT lower(name) FROM author_rows GROUP BY 1 HAVING count(DISTINCT id) FILTER (WHERE NOT starts_with(id, 'unknown_')) > 1)""",
        "author_rows")
 def quality_homonyms(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.homonyms(corpus.records(spark, sf))
+    return quality.homonyms(_records(spark, sf))
 
 
 @query("""
 SELECT doc_id AS doc_ord, CAST(len(names) AS INTEGER) AS author_name_count, 'authIdHal_s' AS field, CAST(len(names) - 1 AS INTEGER) AS length
 FROM docs WHERE lang = 'es' AND len(names) > 0""", "docs")
 def quality_array_mismatches(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.array_mismatches(corpus.records(spark, sf))
+    return quality.array_mismatches(_records(spark, sf))
 
 
 @query("""
 SELECT count(*) FILTER (WHERE lang = 'es' AND len(names) > 0) AS mismatched_record_count,
 round(count(*) FILTER (WHERE lang = 'es' AND len(names) > 0)::DOUBLE / count(*), 4) AS mismatch_rate FROM docs""", "docs")
 def quality_array_alignment(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.array_alignment(corpus.records(spark, sf))
+    return quality.array_alignment(_records(spark, sf))
 
 
 @query("""
@@ -150,19 +155,19 @@ SELECT 'projects' AS entity, count(DISTINCT hal_id) AS n FROM docs UNION ALL SEL
 SELECT 'research_domains', count(DISTINCT code) FROM codes UNION ALL
 SELECT 'organizations', count(DISTINCT lab) + count(DISTINCT country) FROM docs""", "docs", "author_rows", "codes")
 def quality_entity_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.entity_counts(corpus.records(spark, sf))
+    return quality.entity_counts(_records(spark, sf))
 
 
 @query("SELECT count(*) AS records, 0::BIGINT AS missing_or_unknown_ids, 0::BIGINT AS multi_language_abstracts FROM docs", "docs")
 def quality_special_records(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.special_records(corpus.records(spark, sf))
+    return quality.special_records(_records(spark, sf))
 
 
 # -- integrity: the graph as loaded without deduplication --------------------
 
 def loaded_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     """Raw extraction rows as graph tables, plus nodes of other tables that nothing links to."""
-    records = with_project_id(corpus.records(spark, sf))
+    records = with_project_id(_records(spark, sf))
     people = authors.extract_authors(records)
     orgs = organizations.extract_organizations(records)
     events = publications.extract_conferences(records)
@@ -256,7 +261,7 @@ def taxonomy(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFr
         key.alias("ord"), code.alias("id"), name.alias("name"), F.when(size == 46, F.lit(" ")).alias("name_fr")
     )
     again = nodes.join(parts.where(size == 45).select(key.alias("ord")), "ord", "left_semi")
-    up = F.when(size <= 5, F.bitwise_xor(key, F.lit(1))).otherwise(F.floor(key / size).cast("long"))
+    up = F.when(size <= 5, key.bitwiseXOR(F.lit(1))).otherwise(F.floor(key / size).cast("long"))
     edges = parts.where(~size.between(6, 10)).select(
         key.alias("ord"), code.alias("child_id"), F.when(size != 44, F.concat(F.lit("d"), up)).alias("parent_id"), size.alias("size")
     )
@@ -329,7 +334,7 @@ def _hierarchy_query(check: str):
         }
         if check in simple:
             return simple[check]()
-        pairs = hold(hierarchy.inner_edges(nodes, edges))
+        pairs = stage(hierarchy.inner_edges(nodes, edges), "edges")
         closure = ancestor_closure(pairs)
         if check == "cycles":
             return hierarchy.cycle_paths(pairs, closure)
@@ -353,7 +358,7 @@ def hierarchy_cyclic_domains(spark: SparkSession, sf: str) -> DataFrame:
 
 def _drifted(spark: SparkSession, sf: str) -> DataFrame:
     """Projects as stored: French ones lost, Spanish ones stored twice, German titles changed."""
-    records = corpus.records(spark, sf)
+    records = _records(spark, sf)
     projects = canonical_table(records, "projects").withColumn("lang", F.get("language", F.lit(0)))
     kept = projects.where(F.col("lang") != "fr")
     doubled = kept.unionByName(kept.where(F.col("lang") == "es"))
@@ -365,7 +370,7 @@ SELECT 'projects' AS "table", "halId" AS id, 'missing_node' AS code, '' AS field
 SELECT 'projects', "halId", 'duplicate_node', '' FROM projects WHERE language = 'es' UNION ALL
 SELECT 'projects', "halId", 'field_mismatch', 'title' FROM projects WHERE language = 'de|xx' AND title <> upper(title)""", "projects")
 def compare_entities(spark: SparkSession, sf: str) -> DataFrame:
-    expected = canonical_table(corpus.records(spark, sf), "projects")
+    expected = canonical_table(_records(spark, sf), "projects")
     fields = [c for c in expected.columns if c != "halId"]
     found = compare.compare_entities("projects", expected, _drifted(spark, sf), "halId", fields)
     return found.select("table", "id", "code", F.coalesce("field", F.lit("")).alias("field"))
@@ -379,7 +384,7 @@ SELECT CAST(lab AS VARCHAR) AS source, CAST(country AS VARCHAR) AS target,
 FROM (SELECT DISTINCT lab, country FROM docs WHERE country IN (2, 4)) UNION ALL
 SELECT DISTINCT CAST(country AS VARCHAR), CAST(lab AS VARCHAR), 'unexpected', 0, 1 FROM docs WHERE country = 1)""", "docs")
 def compare_relations(spark: SparkSession, sf: str) -> DataFrame:
-    expected = canonical_table(corpus.records(spark, sf), "organization_relationships")
+    expected = canonical_table(_records(spark, sf), "organization_relationships")
     kept = expected.where(F.col("targetId") != 2)
     turned = expected.where(F.col("targetId") == 1).select(F.col("targetId").alias("sourceId"), F.col("sourceId").alias("targetId"), "type")
     actual = kept.unionByName(expected.where(F.col("targetId") == 4)).unionByName(turned)
