@@ -92,101 +92,113 @@ def default_requirements(matched_capabilities: DataFrame) -> DataFrame:
     )
 
 
-def _gap_match(gaps: DataFrame, abilities: DataFrame) -> DataFrame:
-    """Importance of the open requirements a candidate meets, over all open importance.
+def target_profile(targets: Targets, gaps: DataFrame, team_caps: DataFrame) -> DataFrame:
+    """All a target asks for, one row per (target_id, key): what the key stands for, and which open
+    requirements it meets (by capability identifier, or by a lower-cased name that is an identifier)."""
+    open_gaps = uncovered(gaps)
+    meets = F.struct("req", "importance")
+    none = F.lit(None).cast("struct<req:string,importance:double>")
+
+    def rows(df: DataFrame, key: str, wanted: bool = False, domain: bool = False, required: bool = False, team: bool = False, gap=none):
+        flags = {"wanted": wanted, "domain": domain, "required": required, "team": team}
+        return df.select(
+            "target_id", F.col(key).alias("key"), *[F.lit(v).alias(k) for k, v in flags.items()], gap.alias("gap")
+        )
 
-    A requirement is met by its identifier, or by its lower-cased name being a capability identifier.
-    """
-    open_gaps = uncovered(gaps).select(
-        "target_id", "req", "capability_id", "importance", F.lower(strip(F.col("name"))).alias("key")
+    required = targets.requirements.where(F.col("capability_id").isNotNull())
+    parts = [
+        rows(targets.domains, "domain_id", wanted=True, domain=True),
+        rows(required, "capability_id", wanted=True, required=True),
+        rows(team_caps, "capability_id", team=True),
+        rows(open_gaps.where(F.col("capability_id").isNotNull()), "capability_id", gap=meets),
+        rows(open_gaps.withColumn("key", F.lower(strip(F.col("name")))), "key", gap=meets),
+    ]
+    if targets.keywords is not None:
+        parts.append(rows(targets.keywords, "keyword", wanted=True))
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    return every.groupBy("target_id", "key").agg(
+        *[F.bool_or(c).alias(c) for c in ("wanted", "domain", "required", "team")], F.collect_set("gap").alias("gaps")
     )
-    total = open_gaps.groupBy("target_id").agg(F.sum("importance").alias("total"))
-    by_id = abilities.join(open_gaps.drop("key"), ["target_id", "capability_id"])
-    by_name = abilities.withColumn("key", F.lower("capability_id")).join(open_gaps.drop("capability_id"), ["target_id", "key"])
-    columns = [*PAIR, "req", "importance"]
-    met = by_id.select(*columns).union(by_name.select(*columns)).groupBy(*PAIR, "req").agg(F.max("importance").alias("importance"))
-    gained = met.groupBy(*PAIR).agg(F.sum("importance").alias("gained"))
-    return gained.join(total, "target_id").select(*PAIR, share(F.col("gained"), F.col("total")).alias("gap_match"))
 
 
-def _size(rows: DataFrame, name: str) -> DataFrame:
-    return rows.groupBy("target_id").agg(F.count(F.lit(1)).alias(name))
+def candidate_profile(graph: GraphTables, candidates: Candidates, evidence: DataFrame) -> DataFrame:
+    """What a candidate shows, one row per (target_id, person_id, key), and the years it was shown in.
+
+    Project evidence only dates a candidate: it keeps its years under an empty key. An identifier that
+    is not in lower case also stands under its lower-cased form, for requirements met by name.
+    """
+    people = candidates.people.select(*PAIR)
+    able = people.join(graph.has_capability.select("person_id", "capability_id", "last_seen_year"), "person_id")
+    year = F.col("year").cast("int").alias("year")
+
+    def rows(df: DataFrame, key, able=False, matched=False, shown=True, year=F.lit(None).cast("int").alias("year")):
+        return df.select(
+            *PAIR, key.alias("key"), F.lit(able).alias("able"), F.lit(matched).alias("matched"), F.lit(shown).alias("shown"), year
+        )
+
+    lowered = able.where(F.col("capability_id") != F.lower("capability_id"))
+    is_project = F.col("kind") == "project"
+    parts = [
+        rows(able, F.col("capability_id"), able=True, year=F.col("last_seen_year").cast("int").alias("year")),
+        rows(lowered, F.lower("capability_id"), shown=False),
+        rows(candidates.matches.where(F.col("kind") == "domain"), F.col("id"), matched=True),
+        rows(evidence.where(~is_project), F.col("id"), year=year),
+        rows(evidence.where(is_project), F.lit(""), shown=False, year=year),
+    ]
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    return every.groupBy(*PAIR, "key").agg(
+        *[F.bool_or(c).alias(c) for c in ("able", "matched", "shown")], F.max("year").alias("year")
+    )
 
 
 def compute_features(
-    graph: GraphTables, targets: Targets, gaps: DataFrame, team_caps: DataFrame, candidates: Candidates,
-    evidence: DataFrame, distance: DataFrame,
+    targets: Targets, gaps: DataFrame, profile: DataFrame, shown: DataFrame, people: DataFrame, distance: DataFrame,
 ) -> DataFrame:
     """The seven features per candidate, each in [0, 1].
 
-    Set sizes come from counting joined rows, so no candidate's profile is gathered into an array.
+    One join of what candidates show with what targets ask, one aggregate that counts every overlap.
+    A candidate's profile is never gathered; only the open requirements it meets are, and those are
+    no more than the target has.
     """
-    people = candidates.people
-    matched = candidates.matches.join(people.select(*PAIR), PAIR, "left_semi")
-    domains = targets.domains.select("target_id", "domain_id").distinct()
-    required = targets.requirements.where(F.col("capability_id").isNotNull()).select("target_id", "capability_id").distinct()
-    abilities = people.select(*PAIR).join(
-        graph.has_capability.select("person_id", "capability_id", "last_seen_year"), "person_id"
-    ).groupBy(*PAIR, "capability_id").agg(F.max("last_seen_year").alias("last_seen_year"))
-
-    # Capability sets: candidate, required, team.
-    flagged = (
-        abilities.join(required.withColumn("is_required", F.lit(True)), ["target_id", "capability_id"], "left")
-        .join(
-            team_caps.select("target_id", "capability_id").distinct().withColumn("in_team", F.lit(True)),
-            ["target_id", "capability_id"], "left",
-        )
+    joined = shown.join(profile, ["target_id", "key"], "left")
+    is_set = lambda name: F.coalesce(F.col(name), F.lit(False))
+    met = F.array_distinct(F.flatten(F.collect_list(F.when(F.size("gaps") > 0, F.col("gaps")))))
+    counts = joined.groupBy(*PAIR).agg(
+        F.count_if("able").alias("n_able"),
+        F.count_if(F.col("able") & is_set("required")).alias("n_required"),
+        F.count_if(F.col("able") & ~is_set("team")).alias("n_new"),
+        F.count_if(F.col("able") & is_set("required") & ~is_set("team")).alias("n_required_new"),
+        F.count_if("shown").alias("n_shown"),
+        F.count_if(F.col("shown") & is_set("wanted")).alias("n_common"),
+        F.count_if("matched").alias("n_matched"),
+        F.count_if(F.col("matched") & is_set("domain")).alias("n_matched_target"),
+        F.aggregate(F.array_sort(met), F.lit(0.0), lambda total, m: total + m["importance"]).alias("gained"),
+        F.max("year").alias("last_year"),
     )
-    needed, own = F.col("is_required").isNotNull(), F.col("in_team").isNull()
-    profile = flagged.groupBy(*PAIR).agg(
-        F.count(F.lit(1)).alias("n_able"),
-        F.count_if(needed).alias("n_required"),
-        F.count_if(own).alias("n_new"),
-        F.count_if(needed & own).alias("n_required_new"),
-        F.max("last_seen_year").alias("cap_year"),
+    sizes = profile.groupBy("target_id").agg(
+        F.count_if("domain").alias("n_target_domains"), F.count_if("required").alias("n_target_required"),
+        F.count_if("wanted").alias("n_wanted"),
     )
-
-    # Target features against candidate features (domains and capabilities).
-    wanted = domains.select("target_id", F.col("domain_id").alias("feature")).union(
-        required.select("target_id", F.col("capability_id").alias("feature"))
-    )
-    if targets.keywords is not None:
-        wanted = wanted.union(targets.keywords.select("target_id", F.col("keyword").alias("feature")))
-    wanted = wanted.distinct()
-    shown = (
-        matched.where(F.col("kind") == "domain").select(*PAIR, F.col("id").alias("feature"))
-        .union(abilities.select(*PAIR, F.col("capability_id").alias("feature")))
-        .union(evidence.where(F.col("kind") != "project").select(*PAIR, F.col("id").alias("feature")))
-        .distinct()
+    importance = gap_importance(gaps).withColumnRenamed("importance", "open_importance")
+    whole = (
+        people.select(*PAIR).join(counts, PAIR, "left").join(distance.select(*PAIR, "hops"), PAIR, "left")
+        .join(sizes, "target_id", "left").join(importance, "target_id", "left")
     )
-    overlap = (
-        shown.join(wanted.withColumn("hit", F.lit(True)), ["target_id", "feature"], "left")
-        .groupBy(*PAIR).agg(F.count(F.lit(1)).alias("n_shown"), F.count("hit").alias("n_common"))
-    )
-    in_domain = (
-        matched.where(F.col("kind") == "domain").withColumnRenamed("id", "domain_id")
-        .join(domains.withColumn("hit", F.lit(True)), ["target_id", "domain_id"], "left")
-        .groupBy(*PAIR).agg(F.count(F.lit(1)).alias("n_matched"), F.count("hit").alias("n_matched_target"))
-    )
-    years = evidence.groupBy(*PAIR).agg(F.max("year").alias("ev_year"))
-
-    joined = people.select(*PAIR)
-    for part in (profile, overlap, in_domain, years, distance.select(*PAIR, "hops"), _gap_match(gaps, abilities)):
-        joined = joined.join(part, PAIR, "left")
-    for part in (_size(domains, "n_target_domains"), _size(required, "n_target_required"), _size(wanted, "n_wanted")):
-        joined = joined.join(part, "target_id", "left")
     zero = lambda name: F.coalesce(F.col(name), F.lit(0))
-    some_required = zero("n_target_required") > 0
-    return joined.select(
+    return whole.select(
         *PAIR,
-        F.coalesce("gap_match", F.lit(0.0)).alias("gap_match"),
+        share(zero("gained"), zero("open_importance")).alias("gap_match"),
         jaccard(zero("n_matched_target"), zero("n_matched"), zero("n_target_domains")).alias("domain_relevance"),
         share(zero("n_required"), zero("n_target_required")).alias("semantic"),
-        F.when(some_required, share(zero("n_required_new"), zero("n_required")))
+        F.when(zero("n_target_required") > 0, share(zero("n_required_new"), zero("n_required")))
         .otherwise(share(zero("n_new"), zero("n_able"))).alias("complementarity"),
         tversky(zero("n_common"), zero("n_wanted"), zero("n_shown")).alias("project_similarity"),
         proximity(F.col("hops")).alias("graph"),
-        recency(F.greatest("ev_year", "cap_year")).alias("recency"),
+        recency(F.col("last_year")).alias("recency"),
     )
 
 
@@ -228,7 +240,7 @@ def recommend(
     distance and every feature start from it.
     """
     team_caps = hold(team_capabilities(graph, targets.team))
-    gaps = capability_gaps(targets.requirements, team_caps)
+    gaps = hold(capability_gaps(targets.requirements, team_caps))
     found = find_candidates(
         graph, targets.domains, targets.requirements, targets.team, candidate_limit, by_matches, closure
     )
@@ -237,7 +249,9 @@ def recommend(
     candidates = Candidates(people, matches)
     evidence = candidate_evidence(graph, people, targets.domains, targets.requirements)
     distance = coauthor_distance(graph.wrote, targets.team, people)
-    features = hold(compute_features(graph, targets, gaps, team_caps, candidates, evidence, distance))
+    profile = hold(target_profile(targets, gaps, team_caps))
+    shown = candidate_profile(graph, candidates, evidence)
+    features = hold(compute_features(targets, gaps, profile, shown, people, distance))
     return Recommendation(gaps, candidates, evidence, features, rank_candidates(features, weights, top_k))
 
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinweave.plans import graph_queries, quality_queries, record_queries
+from kinweave.plans import graph_queries, quality_queries, record_queries, text_queries
 
-MODULES = [graph_queries, record_queries, quality_queries]
+MODULES = [graph_queries, record_queries, quality_queries, text_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
