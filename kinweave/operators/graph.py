@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from kinweave import settings
 from kinweave.functions.text import capability_id, is_placeholder, normalize, strip
-from kinweave.session import stage
+from kinweave.session import stage, stage_all
 
 
 @dataclass(frozen=True)
@@ -35,7 +35,7 @@ class GraphTables:
     def staged(self, *names: str) -> GraphTables:
         """A copy whose named tables are written out once and read many times."""
         chosen = names or [f.name for f in fields(self) if getattr(self, f.name) is not None]
-        return replace(self, **{n: stage(getattr(self, n), n) for n in chosen})
+        return replace(self, **stage_all({n: getattr(self, n) for n in chosen}))
 
 
 # ---------------------------------------------------------------------------

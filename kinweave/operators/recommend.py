@@ -18,7 +18,7 @@ from kinweave.operators.graph import (
     coauthor_distance,
     find_candidates,
 )
-from kinweave.session import hold
+from kinweave.session import stage, stage_all
 
 PAIR = ["target_id", "person_id"]
 
@@ -236,22 +236,24 @@ def recommend(
 ) -> Recommendation:
     """Gaps, candidates, evidence, features and ranking for all targets at once.
 
-    The candidate set is at most ``candidate_limit`` rows per target. It is held, since evidence,
-    distance and every feature start from it.
+    The candidate set is at most ``candidate_limit`` rows per target. It is written out, since evidence,
+    distance and every feature start from it, and with its true size known those joins need no
+    shuffle of the large edge tables.
     """
-    team_caps = hold(team_capabilities(graph, targets.team))
-    gaps = hold(capability_gaps(targets.requirements, team_caps))
     found = find_candidates(
         graph, targets.domains, targets.requirements, targets.team, candidate_limit, by_matches, closure
     )
-    people = hold(found.people)
-    matches = hold(found.matches.join(people.select(*PAIR), PAIR, "left_semi"))
-    candidates = Candidates(people, matches)
+    first = stage_all({"team-caps": team_capabilities(graph, targets.team), "candidates": found.people})
+    team_caps, people = first["team-caps"], first["candidates"]
+    gaps = capability_gaps(targets.requirements, team_caps)
+    kept = found.matches.join(people.select(*PAIR), PAIR, "left_semi")
+    second = stage_all({"gaps": gaps, "matches": kept, "profile": target_profile(targets, gaps, team_caps)})
+    gaps, profile = second["gaps"], second["profile"]
+    candidates = Candidates(people, second["matches"])
     evidence = candidate_evidence(graph, people, targets.domains, targets.requirements)
     distance = coauthor_distance(graph.wrote, targets.team, people)
-    profile = hold(target_profile(targets, gaps, team_caps))
     shown = candidate_profile(graph, candidates, evidence)
-    features = hold(compute_features(targets, gaps, profile, shown, people, distance))
+    features = stage(compute_features(targets, gaps, profile, shown, people, distance), "features")
     return Recommendation(gaps, candidates, evidence, features, rank_candidates(features, weights, top_k))
 
 

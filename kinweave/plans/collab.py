@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from kinweave.operators.capability import aggregate_capabilities, evidence_rows, gate
 from kinweave.operators.graph import GraphTables, ancestor_closure, with_ancestors
 from kinweave.operators.recommend import Targets
-from kinweave.session import hold, stage
+from kinweave.session import stage, stage_all
 
 REFERENCE_YEAR = 2001
 TARGET_COUNT = 10
@@ -137,7 +137,7 @@ def targets_for(graph: GraphTables, rows: DataFrame, chosen: DataFrame) -> Targe
     )
 
 
-def held_targets(graph: GraphTables, rows: DataFrame, chosen: DataFrame) -> Targets:
-    """The question's own tables, cached: every step of a recommendation reads them."""
-    targets = targets_for(graph, rows, hold(chosen))
-    return Targets(**{name: hold(df) for name, df in targets.__dict__.items()})
+def staged_targets(graph: GraphTables, rows: DataFrame, chosen: DataFrame) -> Targets:
+    """The question's own tables, written out: every step of a recommendation reads them."""
+    targets = targets_for(graph, rows, stage(chosen, "targets"))
+    return Targets(**stage_all(dict(targets.__dict__)))

@@ -5,8 +5,8 @@ from __future__ import annotations
 import logging
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
@@ -78,9 +78,8 @@ def stage(df: DataFrame, label: str = "staged") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def hold(df: DataFrame) -> DataFrame:
-    """Cache a table whose size follows the question (targets, candidates, a taxonomy), not the data.
-
-    The lineage stays, so blocks lost with an executor are simply computed again.
-    """
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+def stage_all(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """``stage`` for several independent tables; their jobs share the cluster instead of queueing."""
+    with ThreadPoolExecutor(max_workers=min(8, max(1, len(tables)))) as pool:
+        running = {name: pool.submit(stage, df, name) for name, df in tables.items()}
+        return {name: job.result() for name, job in running.items()}
