@@ -1 +1,8 @@
 """Research-collaboration analytics expressed as Spark DataFrame plans."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to the tasks by value: executors need no installed copy.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

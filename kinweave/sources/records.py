@@ -23,15 +23,16 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     The order is (file, split offset, row within the split): it follows the text without a
     shuffle and without numbering the whole file in one place.
     """
-    lines = spark.read.text(path).select(
-        F.struct(
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("row"),
-        ).alias("doc_ord"),
-        "value",
+    return _numbered(spark, path).where(strip(F.col("value")) != "")
+
+
+def _numbered(spark: SparkSession, path: str) -> DataFrame:
+    place = F.struct(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
     )
-    return lines.where(strip(F.col("value")) != "")
+    return spark.read.text(path).select(place.alias("doc_ord"), "value")
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
@@ -56,11 +57,8 @@ def check_lines(spark: SparkSession, path: str) -> int:
     ).first()
     if found["bad"] is not None:
         bad = found["bad"]["doc_ord"]
-        at = F.struct(F.lit(bad["file"]), F.lit(bad["block"]), F.lit(bad["row"]))
-        every = spark.read.text(path).select(
-            F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("o")
-        )
-        number = every.where(F.col("o") <= at).count()
+        at = F.struct(*[F.lit(bad[part]).alias(part) for part in ("file", "block", "row")])
+        number = _numbered(spark, path).where(F.col("doc_ord") <= at).count()
         if found["bad"]["fault"] == 1:
             raise SnapshotError(f"Invalid JSON on snapshot line {number}.")
         raise SnapshotError(f"Snapshot record on line {number} must be a JSON object.")
