@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from kinweave.operators.capability import aggregate_capabilities, evidence_rows, gate
 from kinweave.operators.graph import GraphTables, ancestor_closure, with_ancestors
 from kinweave.operators.recommend import Targets
-from kinweave.session import stage, stage_all
+from kinweave.session import spread, stage, stage_all
 
 REFERENCE_YEAR = 2001
 TARGET_COUNT = 10
@@ -43,7 +43,7 @@ def people(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per order line, with its project, author, domain codes and capability."""
-    lines = table(spark, sf_dir, "lineitem").select(
+    lines = spread(table(spark, sf_dir, "lineitem"), "l_orderkey").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_discount", "l_returnflag", "l_shipdate"
     )
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
@@ -104,12 +104,14 @@ def full_graph(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None)
     return GraphTables(**{**graph.__dict__, "has_capability": able.withColumn("kind", F.lit("UNKNOWN"))})
 
 
-def staged_graph(spark: SparkSession, sf_dir: str) -> tuple[GraphTables, DataFrame]:
+def staged_graph(spark: SparkSession, sf_dir: str, able: bool = True) -> tuple[GraphTables, DataFrame]:
     """The graph with its edge tables written once, plus the rows it came from."""
     rows = stage(facts(spark, sf_dir), "facts")
     base = base_graph(spark, sf_dir, rows).staged("wrote", "projects", "project_domain")
-    able = gate(aggregates(base, rows)).withColumn("name", F.replace("capability_id", F.lit("_"), F.lit(" ")))
-    return GraphTables(**{**base.__dict__, "has_capability": able.withColumn("kind", F.lit("UNKNOWN"))}).staged("has_capability"), rows
+    if not able:
+        return base, rows
+    known = gate(aggregates(base, rows)).withColumn("name", F.replace("capability_id", F.lit("_"), F.lit(" ")))
+    return GraphTables(**{**base.__dict__, "has_capability": known.withColumn("kind", F.lit("UNKNOWN"))}).staged("has_capability"), rows
 
 
 def largest_teams(graph: GraphTables, count: int = TARGET_COUNT) -> DataFrame:

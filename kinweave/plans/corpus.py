@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from kinweave.functions.records import let
 from kinweave.functions.text import name_key
 from kinweave.plans.collab import table
+from kinweave.session import spread
 from kinweave.sources.records import parse_lines
 
 NAME_PATTERN = r"\p{Lu}\p{L}+ \p{Ll}+"
@@ -28,7 +29,7 @@ def _json_list(values: Column, quote: Column | None = None) -> Column:
 
 def record_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_ord, value) with one JSON object per document."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"), "doc_id")
     lang, source = F.col("lang"), F.col("source")
     speaks = lambda *codes: lang.isin(*codes)
     lines = F.split("text", "\n")

@@ -28,8 +28,8 @@ def query(sql_body: str | None = None, *needs: str):
     return register
 
 
-def _prepared(spark: SparkSession, sf: str):
-    graph, rows = collab.staged_graph(spark, sf)
+def _prepared(spark: SparkSession, sf: str, able: bool = True):
+    graph, rows = collab.staged_graph(spark, sf, able)
     targets = collab.staged_targets(graph, rows, collab.largest_teams(graph))
     return graph, targets
 
@@ -138,8 +138,10 @@ def capabilities_by_terms(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT target_id, person_id, hops FROM distance", "distance")
 def coauthor_distance(spark: SparkSession, sf: str) -> DataFrame:
-    graph, targets = _prepared(spark, sf)
-    return g.coauthor_distance(graph.wrote, targets.team)
+    graph, rows = collab.staged_graph(spark, sf, able=False)
+    chosen = stage(collab.largest_teams(graph), "targets").withColumnRenamed("target_id", "project_id")
+    team = graph.wrote.join(chosen, "project_id", "left_semi").select(F.col("project_id").alias("target_id"), "person_id")
+    return g.coauthor_distance(graph.wrote, stage(team, "team"))
 
 
 @query("""
@@ -154,7 +156,7 @@ def coauthor_distance_of_candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT person_id, project_id, year, capability_id, confidence FROM evidence_rows", "evidence_rows")
 def capability_evidence_join(spark: SparkSession, sf: str) -> DataFrame:
-    rows = collab.facts(spark, sf)
+    rows = stage(collab.facts(spark, sf), "facts")
     graph = collab.base_graph(spark, sf, rows)
     return capability.evidence_rows(graph.wrote, collab.evidences(rows), graph.projects).select(
         "person_id", "project_id", "year", "capability_id", "confidence"
@@ -165,7 +167,7 @@ def capability_evidence_join(spark: SparkSession, sf: str) -> DataFrame:
 SELECT person_id, capability_id, publication_count, evidence_count, round(avg_confidence, 6) AS avg_confidence,
 recent_publication_count, first_seen_year, last_seen_year, round(score, 6) AS score FROM aggregates""", "aggregates")
 def author_capability_agg(spark: SparkSession, sf: str) -> DataFrame:
-    rows = collab.facts(spark, sf)
+    rows = stage(collab.facts(spark, sf), "facts")
     out = collab.aggregates(collab.base_graph(spark, sf, rows), rows)
     return out.withColumn("avg_confidence", F.round("avg_confidence", 6)).withColumn("score", F.round("score", 6))
 
@@ -174,7 +176,7 @@ def author_capability_agg(spark: SparkSession, sf: str) -> DataFrame:
 SELECT count(*) FILTER (WHERE evidence_count >= 2) AS written, count(*) FILTER (WHERE evidence_count < 2) AS skipped_low_evidence,
 0::BIGINT AS skipped_placeholder FROM aggregates""", "aggregates")
 def evidence_gate_summary(spark: SparkSession, sf: str) -> DataFrame:
-    rows = collab.facts(spark, sf)
+    rows = stage(collab.facts(spark, sf), "facts")
     return capability.gate_summary(collab.aggregates(collab.base_graph(spark, sf, rows), rows))
 
 
@@ -183,7 +185,7 @@ SELECT person_id AS author, capability_id AS capability, v AS "extractionVersion
 evidence_count AS "evidenceCount", last_seen_year AS "lastSeenYear" FROM has_capability,
 (VALUES ('capability-v1'), ('capability-v2')) t(v)""", "has_capability")
 def version_coexistence(spark: SparkSession, sf: str) -> DataFrame:
-    rows = collab.facts(spark, sf)
+    rows = stage(collab.facts(spark, sf), "facts")
     found = stage(collab.aggregates(collab.base_graph(spark, sf, rows), rows), "aggregates")
     first = capability.has_capability_rows(found)
     again = capability.merge_has_capability(first, capability.has_capability_rows(found))

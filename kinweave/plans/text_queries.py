@@ -12,6 +12,7 @@ from kinweave.plans import corpus
 from kinweave.plans.collab import table
 from kinweave.plans.collab_sql import VIEWS
 from kinweave.plans.graph_queries import _recommendation
+from kinweave.session import spread
 
 QUERIES = {}
 SQL = {}
@@ -35,7 +36,7 @@ _WORDS = "[" + ", ".join(f"'{t}'" for t in settings.QUERY_STOPWORDS) + "]"
 @query(f"SELECT doc_id, md5({_NORM.format('text')}) AS norm_hash, length({_NORM.format('text')}) AS norm_length FROM documents")
 def normalize_text(spark: SparkSession, sf: str) -> DataFrame:
     norm = x.normalize(F.col("text"))
-    out = table(spark, sf, "documents").select("doc_id", norm.alias("norm"))
+    out = spread(table(spark, sf, "documents"), "doc_id").select("doc_id", norm.alias("norm"))
     return out.select("doc_id", F.md5("norm").alias("norm_hash"), F.length("norm").cast("long").alias("norm_length"))
 
 
@@ -44,7 +45,7 @@ SELECT DISTINCT replace({_NORM.format('word')}, ' ', '_') AS slug,
   trim(regexp_replace(regexp_replace(lower(strip_accents(word)), '[^\\x00-\\x7F]', '', 'g'), '[^a-z0-9]+', '-', 'g'), '-') AS key
 FROM (SELECT unnest(regexp_extract_all(text, '\\p{{L}}+ \\p{{L}}+')) AS word FROM documents)""")
 def slugs_and_name_keys(spark: SparkSession, sf: str) -> DataFrame:
-    words = table(spark, sf, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}+ \p{L}+"), F.lit(0))).alias("w")).distinct()
+    words = spread(table(spark, sf, "documents"), "doc_id").select(F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}+ \p{L}+"), F.lit(0))).alias("w")).distinct()
     return words.select(x.capability_id(F.col("w")).alias("slug"), x.name_key(F.col("w")).alias("key")).distinct()
 
 
@@ -220,7 +221,7 @@ def requirement_domain_fallback(spark: SparkSession, sf: str) -> DataFrame:
 
 def _publications(spark: SparkSession, sf: str) -> DataFrame:
     keywords = F.array_distinct(F.regexp_extract_all("text", F.lit(corpus.KEYWORD_PATTERN), F.lit(0)))
-    return table(spark, sf, "documents").select(
+    return spread(table(spark, sf, "documents"), "doc_id").select(
         F.col("doc_id").cast("string").alias("project_id"), F.lit("").alias("title"), F.col("text").alias("abstract"),
         keywords.alias("keywords"), F.array("lang").alias("domains"),
     )
