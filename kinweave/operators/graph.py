@@ -182,6 +182,7 @@ def coauthor_distance(
     ``team`` is (target_id, person_id); members have 0 hops; people further than ``max_hops`` get no
     row. With ``people`` given, the last hop is walked from their side: a person is at the last
     distance when one of their own co-authors is one hop nearer, which spares the widest expansion.
+    Each hop is written out, so that the next one does not walk the earlier ones again.
     """
     keys = ["target_id"]
     pair = [*keys, "person_id"]
@@ -190,7 +191,7 @@ def coauthor_distance(
     frontier = team
     outward = max_hops if people is None else max_hops - 1
     for hop in range(1, outward + 1):
-        frontier = _coauthors(frontier, wrote, keys).join(known, pair, "left_anti")
+        frontier = stage(_coauthors(frontier, wrote, keys).join(known, pair, "left_anti"), "hop")
         known = known.unionByName(frontier.withColumn("hops", F.lit(hop)))
     if people is None:
         return known
