@@ -1,9 +1,7 @@
-"""Session defaults and lineage cutting."""
+"""Session defaults and tables staged between jobs."""
 
 from __future__ import annotations
 
-import logging
-import tempfile
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 
@@ -30,40 +28,12 @@ def build_session(app_name: str = "kinweave", master: str | None = None, **conf:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Checkpoint folder of the session: the one the cluster names, a scratch one only in local runs."""
-    context = spark.sparkContext
-    current = context.getCheckpointDir()
-    if current:
-        return current
+    """Shared folder for tables between jobs: the one the cluster names, else a folder of the warehouse."""
     configured = spark.conf.get(CHECKPOINT_KEY, None)
     if not configured:
-        if not context.master.startswith("local"):
-            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder every executor can reach")
-        configured = tempfile.mkdtemp(prefix="kinweave-checkpoint-")
-    context.setCheckpointDir(configured)
-    return configured
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the reliable checkpoint folder, so a lost executor costs no recomputation."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def get_logger(name: str, log_file: str = "pipeline.log") -> logging.Logger:
-    """Console at INFO, file at DEBUG; handlers are attached once per name."""
-    logger = logging.getLogger(name)
-    if logger.handlers:
-        return logger
-    logger.setLevel(logging.DEBUG)
-    layout = logging.Formatter("%(asctime)s %(levelname)s %(name)s: %(message)s")
-    for handler, level in ((logging.StreamHandler(), logging.INFO),
-                           (logging.FileHandler(log_file, encoding="utf-8", delay=True), logging.DEBUG)):
-        handler.setLevel(level)
-        handler.setFormatter(layout)
-        logger.addHandler(handler)
-    logger.propagate = False
-    return logger
+        configured = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+        spark.conf.set(CHECKPOINT_KEY, configured)
+    return configured.rstrip("/")
 
 
 def stage(df: DataFrame, label: str = "staged") -> DataFrame:
