@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from kinweave.llm.decontaminate import contamination_report
+from kinweave.llm.jaccard_join import similar_components
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -17,8 +18,14 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents linked by a Jaccard similarity of 0.85 of four-word shingles."""
+    return similar_components(_table(spark, sf_dir, "documents")).drop("n_links")
+
+
 QUERIES = {
     "op2_decontamination": op2_decontamination,
+    "op4_jaccard_join": op4_jaccard_join,
 }
 
 _FOLD = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -43,6 +50,21 @@ items AS (SELECT doc_id, count(*) n, string_agg(item, ',' ORDER BY item) all_ite
 SELECT doc_id, len(w) AS n_words, coalesce(c.n, 0) AS n_hit, coalesce(i.n, 0) AS n_items,
        sha256(coalesce(i.all_items, '')) AS items_sha256, c.n IS NOT NULL AS contaminated
 FROM dw LEFT JOIN covered c USING (doc_id) LEFT JOIN items i USING (doc_id)""",
+    "op4_jaccard_join": rf"""
+WITH RECURSIVE dw AS (
+  SELECT doc_id, coalesce(regexp_extract_all({_FOLD.format("text")}, '[^\x20\x09-\x0D]+'), []) w FROM documents),
+grams AS (
+  SELECT DISTINCT doc_id, list_slice(w, j, j + k - 1) g
+  FROM (SELECT doc_id, w, least(4, len(w)) k, unnest(range(1, len(w) - least(4, len(w)) + 2)) j FROM dw WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) n FROM grams GROUP BY 1),
+links AS (
+  SELECT x, y FROM (SELECT a.doc_id x, b.doc_id y, count(*) c FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2)
+  JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)),
+edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(doc_id, other) AS (SELECT x, y FROM edges UNION SELECT r.doc_id, e.y FROM reach r JOIN edges e ON e.x = r.other),
+low AS (SELECT doc_id, min(other) low FROM reach GROUP BY 1)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, least(d.doc_id, coalesce(l.low, d.doc_id)) AS component_id
+FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN low l USING (doc_id)""",
 }
 
 
