@@ -11,11 +11,16 @@ bound (short ones, or by chance), it also states its first D + 1 single n-grams,
 argument with segments of one. So no link is lost, whatever the texts, and an n-gram that very many
 documents share hardly ever makes up a segment by itself.
 
+Among the documents that share a digest with another, n-grams are put in the order of their frequency,
+rarest first, and a document is compared by the head of its set in that order. Two sets meet only at
+an n-gram that leaves room for the overlap they need behind it. Edits make rare n-grams, so of many
+versions of one text only those meet that are close.
+
 Counting. For each candidate pair the overlap is counted within each of ``PARTS`` fragments apart and
-summed per pair; the exact condition decides. Pairs are between distinct sets. Within a group of
-documents that share a digest each is first compared with one head of the group; components are formed,
-and only then pairs of one group that still lie in different components are compared. A group of
-thousands of near copies thus costs about as many pairs as it has members.
+summed per pair; the exact condition decides. Pairs are between distinct sets. Within a group of sets
+that meet at an n-gram each is first compared with one head of the group; components are formed, and only
+then pairs of one group that still lie in different components are compared. A group of thousands of
+near copies thus costs about as many pairs as it has members.
 
 Candidate documents are found again by an exact join on those rows alone that a filter of bounded size
 lets through (``idfilter``); texts are not shuffled.
@@ -166,14 +171,25 @@ def _segments(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "set_a long, set_b long, part int, grams array<long>")
 
 
-def _linked(pairs: DataFrame, segments: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+def _prefixes(segments: DataFrame, percent: int) -> DataFrame:
+    """(rep, n, gram, pos): the rarest n-grams of each set, of which similar sets share one; frequencies among ``segments``.
+
+    N-grams that only one set holds come first in the order; they take up places but are not returned.
+    """
+    grams = segments.select("rep", "n", F.explode("grams").alias("gram"))
+    shared = grams.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
+    held = grams.join(shared, "gram").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("held"))
+    lone = F.col("n") - F.size("held")
+    length = F.floor(F.col("n") * (100 - percent) / 100) + 1
+    chosen = held.withColumn("lone", lone).withColumn("take", (length - F.col("lone")).cast("int")).where("take > 0")
+    return chosen.select("rep", "n", "lone", F.posexplode(F.slice("held", F.lit(1), F.col("take"))).alias("at", "x")).select(
+        "rep", "n", F.col("x.gram").alias("gram"), (F.col("at") + F.col("lone")).alias("pos"))
+
+
+def _linked(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     """Pairs (x, y) of sets, each named by its representative's identifier, that reach the similarity."""
-    n = lambda c: sizes.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"))
-    sized = pairs.join(n("x"), "x").join(n("y"), "y").where(
-        (F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent))
-    left = segments.select(F.col("rep").alias("x"), "part", F.col("grams").alias("grams_x"))
-    right = segments.select(F.col("rep").alias("y"), "part", F.col("grams").alias("grams_y"))
-    partial = sized.join(left, "x").join(right, ["y", "part"]).select(
+    side = lambda c: segments.select(F.col("rep").alias(c), "part", F.col("n").alias(f"n_{c}"), F.col("grams").alias(f"grams_{c}"))
+    partial = pairs.join(side("x"), "x").join(side("y"), ["y", "part"]).select(
         "x", "y", "n_x", "n_y", F.size(F.array_intersect("grams_x", "grams_y")).alias("common"))
     total = partial.groupBy("x", "y", "n_x", "n_y").agg(F.sum("common").alias("common"))
     return total.where(F.col("common") * 100 >= (F.col("n_x") + F.col("n_y") - F.col("common")) * percent).select("x", "y")
@@ -186,37 +202,39 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ids = described.select("id", "n", "set_a", "set_b")
     sets = stage(ids.where("set_a IS NOT NULL AND id IS NOT NULL").groupBy("set_a", "set_b").agg(F.min("id").alias("rep"), F.min("n").alias("n")), "sets")
 
-    # Groups of distinct sets that state one digest. Sets are named by set_a here; a name two sets share only adds candidates.
+    # Sets that state a digest which another set states too. They are named by set_a here; a name two sets share only adds candidates.
     stated = described.where("set_a IS NOT NULL AND id IS NOT NULL").select(F.explode("digests").alias("digest"), F.col("set_a").alias("s"))
     shared = stated.groupBy("digest").agg(F.min("s").alias("low"), F.max("s").alias("high")).where("low < high").select("digest")
-    members = stage(stated.join(shared, "digest").distinct()
-                    .join(sets.select(F.col("set_a").alias("s"), "rep"), "s").select("digest", "rep"), "members")
-
-    wanted = members.select(F.col("rep").alias("id")).distinct()
+    wanted = stage(stated.join(shared, "digest").select(F.col("s").alias("set_a")).distinct().join(sets, "set_a").select(F.col("rep").alias("id")), "wanted")
     _, perhaps = idfilter.split(chosen, "id", wanted, "id")
-    segments = stage(_segments(perhaps, width).join(sets, ["set_a", "set_b"])
-                     .groupBy("rep", "part").agg(F.first("grams").alias("grams")), "segments")
+    segments = stage(_segments(perhaps, width).join(sets, ["set_a", "set_b"]).groupBy("rep", "part", "n").agg(F.first("grams").alias("grams")), "segments")
+    members = stage(_prefixes(segments, percent), "prefixes")
+
     links = checked = None
     labels = members.select(F.col("rep").alias("node"), F.col("rep").alias("label")).distinct()
     for turn in range(HEADS + 1):
         placed = members.join(labels.select(F.col("node").alias("rep"), "label"), "rep")
-        open_ = placed.groupBy("digest").agg(F.min("label").alias("low"), F.max("label").alias("high"),
-                                             F.min_by("rep", F.xxhash64("rep", F.lit(turn))).alias("head")).where("low < high")
+        # The head is the set with the fewest rare n-grams, in later turns any.
+        first = F.struct((F.col("pos") if turn == 0 else F.lit(0)).alias("rank"), F.xxhash64("rep", F.lit(turn)).alias("draw"), "rep", "pos", "n", "label")
+        open_ = placed.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(first).alias("head")).where("low < high")
         if turn < HEADS:
-            heads = open_.select("digest", "head")
-            pairs = placed.join(heads, "digest").select(F.least("rep", "head").alias("x"), F.greatest("rep", "head").alias("y")).where("x < y")
+            other = open_.select("gram", *[F.col(f"head.{c}").alias(f"{c}_2") for c in ("rep", "pos", "n", "label")])
+            order = F.col("rep") != F.col("rep_2")
         else:
-            left = placed.join(open_.select("digest"), "digest")
-            right = left.select("digest", F.col("rep").alias("rep_2"), F.col("label").alias("label_2"))
-            pairs = left.join(right, "digest").where("rep < rep_2 AND label <> label_2").select(F.col("rep").alias("x"), F.col("rep_2").alias("y"))
-        pairs = pairs.distinct()
+            placed = placed.join(open_.select("gram"), "gram")
+            other = placed.select("gram", *[F.col(c).alias(f"{c}_2") for c in ("rep", "pos", "n", "label")])
+            order = F.col("rep") < F.col("rep_2")
+        # A first common n-gram at these places leaves room for so much overlap only.
+        room = F.least(F.col("n") - F.col("pos"), F.col("n_2") - F.col("pos_2")) * (100 + percent) >= (F.col("n") + F.col("n_2")) * percent
+        pairs = placed.join(other, "gram").where(order & (F.col("label") != F.col("label_2")) & room).select(
+            F.least("rep", "rep_2").alias("x"), F.greatest("rep", "rep_2").alias("y")).distinct()
         if checked is not None:
             pairs = pairs.join(checked, ["x", "y"], "left_anti")
         pairs = stage(pairs, "pairs")
         if not pairs.limit(1).count():
-            break
+            continue
         checked = pairs if checked is None else checked.union(pairs)
-        found = stage(_linked(pairs, segments, sets, percent), "links")
+        found = stage(_linked(pairs, segments, percent), "links")
         links = found if links is None else links.union(found)
         linked = smallest_reachable(links, "x", "y")
         alone = labels.select("node").join(linked.select("node"), "node", "left_anti").select("node", F.col("node").alias("label"))
