@@ -197,6 +197,7 @@ def _linked(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(id_col, n_shingles, component_id, n_links) per row; links are those found between distinct sets."""
+    W.small_batches(docs.sparkSession)
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     described = stage(_describe(chosen, width, Grid(percent)), "described")
     ids = described.select("id", "n", "set_a", "set_b")

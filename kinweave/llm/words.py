@@ -2,19 +2,29 @@
 
 A word is a maximal run of bytes of a class, so texts are never copied into single strings. Hashes are
 polynomial over bytes and mixed, the same on every executor. Texts are worked off in pieces of about a
-megabyte that end between words; a piece grows only if one word is longer.
+quarter of a megabyte that end between words; a piece grows only if one word is longer.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
-PIECE = 1 << 20
+PIECE = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
+_BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Batches of whole texts of so many rows for Python tasks, unless the session says otherwise."""
+    if spark.conf.get(_BATCH_KEY, None) is None:
+        spark.conf.set(_BATCH_KEY, str(rows))
+
+
 def mix(values: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every input bit over the 64 bits."""
     v = values.astype(np.uint64, copy=True)
