@@ -158,6 +158,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
                        item_text_col: str = "text", window: int = WINDOW, prefix: str = "bench_") -> DataFrame:
     """``docs`` with ``<prefix>n_words``, ``<prefix>spans`` (hit word ranges, end exclusive) and ``<prefix>items`` (sorted)."""
     spark = docs.sparkSession
+    W.small_batches(spark)
     names = [f"{prefix}n_words", f"{prefix}spans", f"{prefix}items"]
     clash = [c for c in docs.columns if c.lower() in names]
     if clash:

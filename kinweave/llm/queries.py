@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kinweave.llm.decontaminate import contamination_report
 from kinweave.llm.jaccard_join import similar_components
+from kinweave.llm.language_crf import language_report
+from kinweave.llm.packing import pack
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -23,9 +25,21 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_components(_table(spark, sf_dir, "documents")).drop("n_links")
 
 
+def op3_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by a conditional random field over its words."""
+    return language_report(_table(spark, sf_dir, "documents"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of 2,048 words without two pieces of a source or of a duplicate cluster."""
+    return pack(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_decontamination": op2_decontamination,
+    "op3_language_crf": op3_language_crf,
     "op4_jaccard_join": op4_jaccard_join,
+    "op9_packing": op9_packing,
 }
 
 _FOLD = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
