@@ -40,7 +40,7 @@ EPOCHS = 4
 #: Languages beyond this many, the rarest ones, are not learned: weights are sent to all tasks.
 MOST_LANGUAGES = 100
 #: Word emissions a task remembers.
-_MEMORY = 200_000
+_MEMORY = 400_000
 _LETTER_RUN = re.compile(rb"[A-Za-z\x80-\xff]+")
 UNDETERMINED = "und"
 
@@ -53,24 +53,21 @@ class Model:
     start: np.ndarray
     lexicon: dict[str, tuple[int, ...]]
 
-    def features(self, word: str) -> np.ndarray:
+    def features(self, word: str) -> list[int]:
         return _features(word, self.lexicon)
 
 
-def _features(word: str, lexicon: dict[str, tuple[int, ...]]) -> np.ndarray:
+def _features(word: str, lexicon: dict[str, tuple[int, ...]]) -> list[int]:
     """Slots of a word's features."""
-    w = f"<{word.lower()}>"
-    names = {"bias", f"len{min(len(word), 12)}"}
-    for k in (1, 2, 3, 4):
-        if len(w) > k:
-            names.add(f"p{w[:k + 1]}")
-            names.add(f"s{w[-k - 1:]}")
-    for k in (2, 3):
-        names.update(f"n{w[i:i + k]}" for i in range(len(w) - k + 1))
-    names.update(f"lex{language}" for language in lexicon.get(word.lower(), ()))
-    names.update([f"oneof{len(lexicon[word.lower()])}"] if word.lower() in lexicon else ["unlisted"])
-    mask = (1 << FEATURE_BITS) - 1
-    return np.array(sorted(zlib.crc32(x.encode()) & mask for x in names), np.int64)
+    lower = word.lower()
+    w = f"<{lower}>"
+    known = lexicon.get(lower)
+    names = [f"l{min(len(word), 12)}", *([f"x{known}"] if known else ["unlisted"]), *(f"in{language}" for language in known or ())]
+    for k in range(2, min(5, len(w) + 1)):
+        names += [f"p{w[:k]}", f"s{w[-k:]}"]
+    names += {w[i:i + 3] for i in range(len(w) - 2)}
+    crc, mask = zlib.crc32, (1 << FEATURE_BITS) - 1
+    return [crc(x.encode()) & mask for x in sorted(set(names))]
 
 
 def _forward_backward(pot: np.ndarray, step: np.ndarray, start: np.ndarray, first: np.ndarray, length: np.ndarray
@@ -176,27 +173,34 @@ class _Labeller:
         self._clear()
 
     def _clear(self) -> None:
-        self.known = np.zeros(0, np.uint64)
-        self.emissions = np.zeros((0, len(self.model.languages)), np.float32)
+        self.place: dict[int, int] = {}
+        self.emissions = np.zeros((1024, len(self.model.languages)), np.float32)
+
+    def _learned(self, words: list[str]) -> np.ndarray:
+        slots = [self.model.features(w) for w in words]
+        begin = np.cumsum([0, *map(len, slots[:-1])])
+        emission = np.add.reduceat(self.model.weights[np.concatenate(slots)], begin)
+        return np.exp(np.maximum(emission - emission.max(1, keepdims=True), -30))
 
     def _potentials(self, body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        hashed = W.hash_words(body, starts, ends, W.LETTERS)
-        unique, sample, inverse = np.unique(hashed, return_index=True, return_inverse=True)
-        if len(self.known) > _MEMORY:
+        unique, sample, inverse = np.unique(W.hash_words(body, starts, ends, W.LETTERS), return_index=True, return_inverse=True)
+        if len(self.place) > _MEMORY:
             self._clear()
-        new = ~np.isin(unique, self.known)
-        if new.any():
-            fresh = []
-            for i in sample[new]:
+        keys = unique.tolist()
+        new = [k for k, key in enumerate(keys) if key not in self.place]
+        if new:
+            words = []
+            for k in new:
                 # A run of letters longer than a kilobyte is described by its two ends.
-                raw = body[starts[i]:ends[i]].tobytes()
-                word = raw.decode("utf-8", "replace") if len(raw) <= 1024 else raw[:512].decode("utf-8", "ignore") + raw[-512:].decode("utf-8", "ignore")
-                fresh.append(self.model.weights[self.model.features(word)].sum(0))
-            known = np.concatenate((self.known, unique[new]))
-            order = np.argsort(known)
-            self.known, self.emissions = known[order], np.concatenate((self.emissions, np.array(fresh, np.float32)))[order]
-        emission = self.emissions[np.searchsorted(self.known, unique)]
-        return np.exp(np.maximum(emission - emission.max(1, keepdims=True), -30))[inverse]
+                low, high = starts[sample[k]], ends[sample[k]]
+                raw = body[low:high].tobytes() if high - low <= 1024 else body[low:low + 512].tobytes() + body[high - 512:high].tobytes()
+                words.append(raw.decode("utf-8", "ignore"))
+            n = len(self.place)
+            self.place.update((keys[k], n + j) for j, k in enumerate(new))
+            while n + len(new) > len(self.emissions):
+                self.emissions = np.concatenate((self.emissions, np.zeros_like(self.emissions)))
+            self.emissions[n:n + len(new)] = self._learned(words)
+        return self.emissions[np.fromiter(map(self.place.__getitem__, keys), np.int64, len(keys))][inverse]
 
     def shares(self, body: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Expected words of each language in each text, as shares; zero without words."""
@@ -247,7 +251,7 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", prefix
         for batch in batches:
             data, offsets = W.utf8(batch.column(at))
             languages, scores = [], []
-            for low, high in W.row_groups(offsets):
+            for low, high in W.row_groups(offsets, 4 * W.PIECE):
                 body, part = data[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low]
                 shares = labeller.shares(body, part) if labeller else np.zeros((high - low, 1))
                 best = shares.argmax(1)
