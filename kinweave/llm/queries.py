@@ -8,6 +8,8 @@ from kinweave.llm.decontaminate import contamination_report
 from kinweave.llm.jaccard_join import similar_components
 from kinweave.llm.language_crf import language_report
 from kinweave.llm.packing import pack
+from kinweave.llm.quality import quality_report
+from kinweave.llm.secrets import secret_report
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -30,6 +32,16 @@ def op3_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_report(_table(spark, sf_dir, "documents"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, with those that look live told apart by who holds them."""
+    return secret_report(_table(spark, sf_dir, "documents"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality rules with thresholds of each language and source."""
+    return quality_report(_table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequences of 2,048 words without two pieces of a source or of a duplicate cluster."""
     return pack(_table(spark, sf_dir, "documents"))
@@ -39,7 +51,9 @@ QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_language_crf": op3_language_crf,
     "op4_jaccard_join": op4_jaccard_join,
+    "op5_secrets": op5_secrets,
     "op9_packing": op9_packing,
+    "op10_quality": op10_quality,
 }
 
 _FOLD = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -81,6 +95,26 @@ SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, least(d.doc_id, coalesce(l.low,
 FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN low l USING (doc_id)""",
 }
 
+SQL["op10_quality"] = r"""
+WITH words AS (SELECT doc_id, lang, source, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w FROM documents),
+wins AS (SELECT doc_id, i, list_slice(w, i, i + 2) g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) i FROM words)),
+rep AS (SELECT doc_id, count(DISTINCT p) n FROM (
+  SELECT a.doc_id, unnest([i, i + 1, i + 2]) p FROM wins a JOIN (SELECT doc_id, g FROM wins GROUP BY 1, 2 HAVING count(*) > 1) b USING (doc_id, g)) GROUP BY 1),
+lines AS (SELECT doc_id, count(*) n, count(*) - count(DISTINCT l) dup FROM (SELECT doc_id, unnest(string_split(t, chr(10))) l FROM words)
+  WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY 1),
+m AS (SELECT doc_id, lang, source, len(w) n_words, coalesce(length(array_to_string(w, '')), 0) word_chars,
+  length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) n_symbols, coalesce(l.n, 0) n_lines, coalesce(l.dup, 0) n_dup_lines, coalesce(r.n, 0) n_repeat_words
+  FROM words LEFT JOIN lines l USING (doc_id) LEFT JOIN rep r USING (doc_id)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words base_failed FROM m),
+v AS (SELECT *, least(100 * word_chars // n_words, 10000) v0, 1000 * n_symbols // word_chars v1, 1000 * n_dup_lines // n_lines v2, 1000 * n_repeat_words // n_words v3
+  FROM b WHERE NOT base_failed),
+q AS (SELECT lang, source, quantile_disc(v0, 0.25) a0, quantile_disc(v0, 0.75) c0, quantile_disc(v1, 0.25) a1, quantile_disc(v1, 0.75) c1,
+  quantile_disc(v2, 0.25) a2, quantile_disc(v2, 0.75) c2, quantile_disc(v3, 0.25) a3, quantile_disc(v3, 0.75) c3 FROM v GROUP BY 1, 2),
+k AS (SELECT doc_id, v0 BETWEEN a0 - (3 * (c0 - a0) + 100) AND c0 + 3 * (c0 - a0) + 100 AND v1 <= c1 + 3 * (c1 - a1) + 150
+  AND v2 <= c2 + 3 * (c2 - a2) + 300 AND v3 <= c3 + 3 * (c3 - a3) + 300 kept
+  FROM v JOIN q ON v.lang IS NOT DISTINCT FROM q.lang AND v.source IS NOT DISTINCT FROM q.source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, coalesce(kept, false) AS kept FROM b LEFT JOIN k USING (doc_id)"""
+
 
 def queries() -> dict:
     return dict(QUERIES)
