@@ -7,17 +7,45 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from kinweave.llm.decontaminate import drop_contaminated
+from kinweave.llm.jaccard_join import keep_one_of_each
+from kinweave.llm.language_crf import keep_identified
+from kinweave.llm.packing import pack
+from kinweave.llm.secrets import redact_live
 from kinweave.session import stage
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is plain; those without a letter or without a main language go."""
+    return keep_identified(docs)
+
+
+def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by n-gram similarity, that of the smallest identifier."""
+    return keep_one_of_each(docs)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark window."""
     return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets that look live masked in the text."""
+    return redact_live(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document stands in which training sequence."""
+    return pack(docs)
+
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 STAGES: list[tuple[str, Stage]] = [
-    ("benchmark_decontamination", decontaminate),
+    ("language_crf", identify_language),
+    ("jaccard_join", join_near_copies),
+    ("decontamination", decontaminate),
+    ("secrets", mask_secrets),
+    ("packing", pack_sequences),
 ]
 
 #: Learned labels and greedy packing have no SQL form; tests compare each stage with a brute-force version.

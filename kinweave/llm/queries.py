@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from kinweave.llm.decontaminate import contamination_report
+from kinweave.llm.html_extract import page_report
 from kinweave.llm.jaccard_join import similar_components
 from kinweave.llm.language_crf import language_report
 from kinweave.llm.packing import pack
 from kinweave.llm.quality import quality_report
 from kinweave.llm.secrets import secret_report
+from kinweave.llm.substring_dedup import substring_report
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -17,6 +19,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFr
     return rows.select(*columns) if columns else rows
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated lines and sentences of all documents."""
+    return substring_report(_table(spark, sf_dir, "documents"))
+
+
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return page_report(_table(spark, sf_dir, "pages"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows of ten words in all documents."""
     return contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -48,10 +60,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_decontamination": op2_decontamination,
     "op3_language_crf": op3_language_crf,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_secrets": op5_secrets,
+    "op8_html_extraction": op8_html_extraction,
     "op9_packing": op9_packing,
     "op10_quality": op10_quality,
 }
