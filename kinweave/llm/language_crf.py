@@ -40,7 +40,7 @@ EPOCHS = 4
 #: Languages beyond this many, the rarest ones, are not learned: weights are sent to all tasks.
 MOST_LANGUAGES = 100
 #: Word emissions a task remembers.
-_MEMORY = 400_000
+_MEMORY = 200_000
 _LETTER_RUN = re.compile(rb"[A-Za-z\x80-\xff]+")
 UNDETERMINED = "und"
 

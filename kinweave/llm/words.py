@@ -19,7 +19,7 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Batches of whole texts of so many rows for Python tasks, unless the session says otherwise."""
     if spark.conf.get(_BATCH_KEY, None) is None:
         spark.conf.set(_BATCH_KEY, str(rows))
