@@ -12,6 +12,7 @@ from kinweave.llm.packing import pack
 from kinweave.llm.quality import quality_report
 from kinweave.llm.secrets import secret_report
 from kinweave.llm.substring_dedup import substring_report
+from kinweave.llm.suffix_dedup import suffix_report
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -24,6 +25,11 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_report(_table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of all documents covered by a 200-byte string that starts elsewhere too."""
+    return suffix_report(_table(spark, sf_dir, "documents"))
+
+
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return page_report(_table(spark, sf_dir, "pages"))
@@ -65,6 +71,7 @@ QUERIES = {
     "op3_language_crf": op3_language_crf,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_secrets": op5_secrets,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_html_extraction": op8_html_extraction,
     "op9_packing": op9_packing,
     "op10_quality": op10_quality,

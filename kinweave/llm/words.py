@@ -47,7 +47,7 @@ class _Powers:
     down = powers(_INVERSE, PIECE + 1)
 
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse for at least ``n`` bytes; kept only up to a piece's size."""
     if n <= len(_Powers.up):
         return _Powers.up, _Powers.down
@@ -118,7 +118,7 @@ def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, alphabet:
         low = starts[i]
         j = max(i + 1, int(np.searchsorted(ends, low + PIECE, "right")))
         high = ends[j - 1]
-        up, down = _tables(high - low + 1)
+        up, down = power_tables(high - low + 1)
         sums = np.zeros(high - low + 1, np.uint64)
         np.cumsum(alphabet.values[data[low:high]] * up[:high - low], out=sums[1:])
         s, e = starts[i:j] - low, ends[i:j] - low
