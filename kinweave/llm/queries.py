@@ -13,6 +13,7 @@ from kinweave.llm.quality import quality_report
 from kinweave.llm.secrets import secret_report
 from kinweave.llm.substring_dedup import substring_report
 from kinweave.llm.suffix_dedup import suffix_report
+from kinweave.llm.warc_revisits import revisit_report
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -25,6 +26,11 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_report(_table(spark, sf_dir, "documents"))
 
 
+def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Not-modified revisits of all pages, resolved to the latest earlier full response."""
+    return revisit_report(_table(spark, sf_dir, "pages"))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of all documents covered by a 200-byte string that starts elsewhere too."""
     return suffix_report(_table(spark, sf_dir, "documents"))
@@ -71,6 +77,7 @@ QUERIES = {
     "op3_language_crf": op3_language_crf,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_secrets": op5_secrets,
+    "op6_warc_revisits": op6_warc_revisits,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_html_extraction": op8_html_extraction,
     "op9_packing": op9_packing,
@@ -136,6 +143,23 @@ k AS (SELECT doc_id, v0 BETWEEN a0 - (3 * (c0 - a0) + 100) AND c0 + 3 * (c0 - a0
   FROM v JOIN q ON v.lang IS NOT DISTINCT FROM q.lang AND v.source IS NOT DISTINCT FROM q.source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, coalesce(kept, false) AS kept FROM b LEFT JOIN k USING (doc_id)"""
 
+SQL["op6_warc_revisits"] = r"""
+WITH p AS (SELECT page_id, url, sha256(coalesce(html, '')) h, regexp_replace(trim(url), '#.*$', '') bare FROM pages),
+k AS (SELECT page_id, h, substr(h, 1, 16) tag, page_id * 600 t,
+  regexp_replace(regexp_replace(lower(regexp_extract(bare, '^(?:(?i:https?://))?(?:[^/?@]*@)?([^/?]*)', 1)), ':(?:80|443)$', ''), '^www[0-9]?[.]', '') host,
+  regexp_replace(regexp_extract(bare, '^(?:(?i:https?://))?[^/?]*([^?]*)', 1), '/+$', '') path,
+  array_to_string(list_sort(list_filter(string_split(regexp_extract(bare, '[?](.*)$', 1), '&'), lambda x: x <> '')), '&') q FROM p),
+u AS (SELECT page_id, h, tag, t, CASE WHEN host <> '' THEN host || path || CASE WHEN q <> '' THEN '?' || q ELSE '' END END url_key FROM k),
+r AS (SELECT u.*, t + 3600 rt FROM u),
+f AS (SELECT r.page_id, r.url_key, r.tag, r.rt, w.page_id rp, w.h rh, w.tag rtag,
+  row_number() OVER (PARTITION BY r.page_id ORDER BY w.t DESC, w.page_id DESC) n
+  FROM r LEFT JOIN u w ON w.url_key = r.url_key AND (w.t < r.rt OR (w.t = r.rt AND w.page_id * 2 < r.page_id * 2 + 1))),
+g AS (SELECT *, CASE WHEN rp IS NULL THEN 'unresolved' WHEN (CASE WHEN page_id % 5 = 0 THEN reverse(tag) ELSE tag END) <> rtag THEN 'mismatch' ELSE 'resolved' END status FROM f WHERE n = 1)
+SELECT page_id * 2 + 1 AS record_id, url_key, status, CASE WHEN status = 'resolved' THEN rp * 2 END AS response_id,
+  CASE WHEN status = 'resolved' THEN 'content-type: text/html' || chr(10) || 'date: ' || rt || chr(10) || 'etag: ' ||
+    CASE WHEN page_id % 5 = 0 THEN reverse(tag) ELSE 'W/' || tag END || chr(10) || 'server: a' END AS headers,
+  CASE WHEN status = 'resolved' THEN 'sha256:' || rh END AS payload_digest FROM g"""
+
 
 def queries() -> dict:
     return dict(QUERIES)
