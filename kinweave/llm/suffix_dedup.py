@@ -9,8 +9,10 @@ are alike as wholes would stand side by side in the sort, they are merged before
 Sorting. The bytes of contexts that differ under a repeated anchor are fetched and sorted in blocks by
 the two-stage method: only suffixes smaller than their successors are sorted directly, the rest is
 induced by scanning the buckets of first bytes in order. Common prefixes of neighbours then tell which
-windows occur twice. An anchor with very many different contexts is dealt over several blocks; for these
-alone the blocks' windows are matched by digest across blocks in one more aggregate.
+windows occur twice. An anchor with very many different contexts is dealt over blocks by the ``EDGE``
+bytes to either side of it: windows that hold both edges can only recur in the same block, and the few
+that do not are matched by digest across blocks in one more aggregate. Should very many contexts share
+even those edges, they are dealt over blocks by chance and all their windows are matched so.
 
 Texts move only where a filter of bounded size (``idfilter``) sees a context to fetch or a byte to remove.
 
@@ -34,7 +36,9 @@ from kinweave.session import stage
 
 LENGTH, GRAM = 200, 32
 #: Contexts in one block, and of one anchor beyond which it is dealt over blocks.
-BLOCK, CROWDED = 2000, 500
+BLOCK, CROWDED = 1000, 500
+#: Bytes beside a crowded anchor by which its contexts are dealt.
+EDGE = 4
 _PIECE = 1 << 18
 _SPAN_COLUMNS = "row long, start long, end long"
 
@@ -51,8 +55,8 @@ def _window_minimum(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(right[:n - width + 1], left[width - 1:n])
 
 
-def contexts(body: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(anchor hash, digest, first window, windows) of all contexts, piece by piece of a long text."""
+def contexts(body: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """(anchor hash, digest, first window, windows, bytes from there to the anchor) of all contexts, piece by piece of a long text."""
     for low in range(0, len(body) - LENGTH + 1, _PIECE):
         part = body[low:low + _PIECE + LENGTH - 1]
         up, down = W.power_tables(len(part) + 1)
@@ -68,7 +72,7 @@ def contexts(body: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndar
         at = anchor[first]
         end = first + windows + LENGTH - 1
         digest = W.mix((sums[end] - sums[first]) * down[first] + (windows * 512 + (at - first)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        yield grams[at], digest, first + low, windows
+        yield grams[at], digest, first + low, windows, at - first
 
 
 def two_stage_order(text: np.ndarray, depth: int) -> np.ndarray:
@@ -123,8 +127,11 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarra
 
 
 def _block(table: pa.Table) -> pa.Table:
-    """Spans of repeated windows, or for crowded anchors all windows with digests, of one block of contexts."""
-    weight, crowded, row, at, windows, anchor = (table.column(c).to_numpy() for c in ("copies", "crowded", "row", "at", "windows", "anchor"))
+    """Spans of windows repeated in one block of contexts, and digests of windows that may recur in other blocks.
+
+    ``mode`` of a context: 0 all its like are here, 1 those of the same edges are, 2 they may be anywhere.
+    """
+    weight, mode, row, at, windows, anchor, lead = (table.column(c).to_numpy() for c in ("copies", "mode", "row", "at", "windows", "anchor", "lead"))
     pieces = table.column("bytes").to_pylist()
     text = np.frombuffer(b"".join(pieces), np.uint8)
     base = np.concatenate(([0], np.cumsum([len(p) for p in pieces])))[:-1]
@@ -147,22 +154,24 @@ def _block(table: pa.Table) -> pa.Table:
 
     first = np.cumsum(windows) - windows
     for i, piece in enumerate(pieces):
-        if crowded[i]:
-            for j in range(int(windows[i])):
-                put(i, j, j + LENGTH, xxhash.xxh3_64_intdigest(piece[j:j + LENGTH]) - (1 << 63), int(min(weight[i], 2)))
-        elif weight[i] == 1:
-            edge = np.diff(np.concatenate(([False], repeated[first[i]:first[i] + windows[i]], [False])).astype(np.int8))
+        left = lead[i] - np.arange(windows[i])
+        across = (mode[i] == 2) | ((mode[i] == 1) & ((left < EDGE) | (LENGTH - GRAM - left < EDGE)))
+        for j in np.flatnonzero(np.broadcast_to(across, left.shape)).tolist():
+            put(i, j, j + LENGTH, xxhash.xxh3_64_intdigest(piece[j:j + LENGTH]) - (1 << 63), int(min(weight[i], 2)))
+        if weight[i] == 1:
+            here = repeated[first[i]:first[i] + windows[i]]
+            edge = np.diff(np.concatenate(([False], here, [False])).astype(np.int8))
             for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()):
                 put(i, a, b - 1 + LENGTH, None, None)
     return pa.table({k: pa.array(v, pa.int64()) for k, v in out.items()})
 
 
 def _context_rows(docs: DataFrame) -> DataFrame:
-    """(row, anchor, digest, at, windows) of (row, text) rows."""
+    """(row, anchor, digest, at, windows, lead) of (row, text) rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = W.utf8(batch.column(1))
-            own, parts = [], ([], [], [], [])
+            own, parts = [], ([], [], [], [], [])
             for i in range(batch.num_rows):
                 for found in contexts(data[offsets[i]:offsets[i + 1]]):
                     own.append(np.full(len(found[0]), i))
@@ -171,9 +180,10 @@ def _context_rows(docs: DataFrame) -> DataFrame:
             join = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(join(own, np.int64))), pa.array(W.signed(join(parts[0], np.uint64))), pa.array(W.signed(join(parts[1], np.uint64))),
-                 pa.array(join(parts[2], np.int64)), pa.array(join(parts[3], np.int32))], ["row", "anchor", "digest", "at", "windows"])
+                 pa.array(join(parts[2], np.int64)), pa.array(join(parts[3], np.int32)), pa.array(join(parts[4], np.int32))],
+                ["row", "anchor", "digest", "at", "windows", "lead"])
 
-    return docs.mapInArrow(run, "row long, anchor long, digest long, at long, windows int")
+    return docs.mapInArrow(run, "row long, anchor long, digest long, at long, windows int, lead int")
 
 
 def _fetch(texts: DataFrame) -> DataFrame:
@@ -181,16 +191,19 @@ def _fetch(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = W.utf8(batch.column(1))
-            out: dict[str, list] = {k: [] for k in ("row", "anchor", "digest", "copies", "crowded", "at", "windows", "bytes")}
+            out: dict[str, list] = {k: [] for k in ("row", "anchor", "digest", "copies", "crowded", "at", "windows", "lead", "edges", "bytes")}
             for i, (row, wanted) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
+                body = data[offsets[i]:offsets[i + 1]]
                 for x in wanted:
-                    low = offsets[i] + x["at"]
+                    low, anchor = x["at"], x["at"] + x["lead"]
+                    beside = body[max(anchor - EDGE, 0):anchor].tobytes() + b"|" + body[anchor + GRAM:anchor + GRAM + EDGE].tobytes() if x["crowded"] else b""
+                    own = dict(x, row=row, edges=xxhash.xxh3_64_intdigest(beside) - (1 << 63), bytes=body[low:low + x["windows"] + LENGTH - 1].tobytes())
                     for name in out:
-                        out[name].append(row if name == "row" else data[low:low + x["windows"] + LENGTH - 1].tobytes() if name == "bytes" else x[name])
-            kinds = dict(row=pa.int64(), anchor=pa.int64(), digest=pa.int64(), copies=pa.int64(), crowded=pa.int64(), at=pa.int64(), windows=pa.int32(), bytes=pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(v, kinds[k]) for k, v in out.items()], list(out))
+                        out[name].append(own[name])
+            narrow = ("windows", "lead")
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if k == "bytes" else pa.int32() if k in narrow else pa.int64()) for k, v in out.items()], list(out))
 
-    return texts.mapInArrow(run, "row long, anchor long, digest long, copies long, crowded long, at long, windows int, bytes binary")
+    return texts.mapInArrow(run, "row long, anchor long, digest long, copies long, crowded long, at long, windows int, lead int, edges long, bytes binary")
 
 
 def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -203,20 +216,23 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     repeats = stage(found.join(shared, "anchor"), "repeats")
     whole = lambda df: df.select("row", F.col("at").alias("start"), (F.col("at") + F.col("windows") + (LENGTH - 1)).alias("end"))
     mixed = repeats.where("mixed")
-    alike = stage(mixed.groupBy("anchor", "digest").agg(F.count("*").alias("copies"), F.min(F.struct("row", "at", "windows")).alias("one")), "alike")
+    alike = stage(mixed.groupBy("anchor", "digest").agg(F.count("*").alias("copies"), F.min(F.struct("row", "at", "windows", "lead")).alias("one")), "alike")
     # An anchor matters if some context of it stands alone; all its contexts are then compared.
     open_ = alike.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("copies").alias("least")).where("least = 1").select("anchor", "kinds")
     wanted = stage(alike.join(open_, "anchor").select(
         F.col("one.row").alias("row"), F.struct("anchor", "digest", "copies", F.when(F.col("kinds") > CROWDED, F.col("kinds")).otherwise(0).alias("crowded"),
-                                                F.col("one.at").alias("at"), F.col("one.windows").alias("windows")).alias("x")), "wanted")
+                                                F.col("one.at").alias("at"), F.col("one.windows").alias("windows"), F.col("one.lead").alias("lead")).alias("x")), "wanted")
     _, perhaps = idfilter.split(rows, "row", wanted, "row")
     listed = wanted.groupBy("row").agg(F.collect_set("x").alias("wanted"))
     fetched = stage(_fetch(perhaps.join(listed, "row").select("row", "text", "wanted")), "contexts")
     blocks = max(1, -(-fetched.count() // BLOCK))
-    parts = F.when(F.col("crowded") > 0, F.pmod(F.xxhash64("row", "at"), F.ceil(F.col("crowded") / CROWDED))).otherwise(0)
     # Repeated rows would be fetched twice; their copies are already counted.
-    single = fetched.groupBy("row", "anchor", "digest", "at").agg(*[F.first(c).alias(c) for c in ("copies", "crowded", "windows", "bytes")])
-    sorted_ = stage(single.withColumn("block", F.pmod(F.xxhash64("anchor", parts), F.lit(blocks))).groupBy("block").applyInArrow(
+    single = fetched.groupBy("row", "anchor", "digest", "at").agg(*[F.first(c).alias(c) for c in ("copies", "crowded", "windows", "lead", "edges", "bytes")])
+    crowds = fetched.where("crowded > 0").groupBy("anchor", "edges").agg(F.count("*").alias("alike")).where(F.col("alike") > CROWDED)
+    dealt = single.join(crowds, ["anchor", "edges"], "left").withColumn("mode", F.when(F.col("alike").isNotNull(), 2).when(F.col("crowded") > 0, 1).otherwise(0))
+    chance = F.when(F.col("mode") == 2, F.pmod(F.xxhash64("row", "at"), F.ceil(F.col("alike") / CROWDED))).otherwise(0)
+    block = F.pmod(F.xxhash64("anchor", "edges", chance), F.lit(blocks))
+    sorted_ = stage(dealt.withColumn("block", block).drop("alike", "crowded", "edges", "digest").groupBy("block").applyInArrow(
         _block, _SPAN_COLUMNS + ", anchor long, digest long, weight long"), "sorted")
     near = sorted_.where("weight IS NOT NULL")
     twice = near.groupBy("anchor", "digest").agg(F.sum("weight").alias("n")).where("n > 1").select("anchor", "digest")
