@@ -9,10 +9,10 @@ are alike as wholes would stand side by side in the sort, they are merged before
 Sorting. The bytes of contexts that differ under a repeated anchor are fetched and sorted in blocks by
 the two-stage method: only suffixes smaller than their successors are sorted directly, the rest is
 induced by scanning the buckets of first bytes in order. Common prefixes of neighbours then tell which
-windows occur twice. An anchor with very many different contexts is dealt over blocks by the ``EDGE``
-bytes to either side of it: windows that hold both edges can only recur in the same block, and the few
-that do not are matched by digest across blocks in one more aggregate. Should very many contexts share
-even those edges, they are dealt over blocks by chance and all their windows are matched so.
+windows occur twice. The contexts of an anchor with very many of them are cut by the room their windows
+have to the left of the anchor; the windows of one cut share a core of most of their length, equal windows
+share the same, and so cuts are dealt over blocks by the digest of their core. Should very many cuts share
+even that, they are dealt by chance and their windows matched by digest across blocks in one more aggregate.
 
 Texts move only where a filter of bounded size (``idfilter``) sees a context to fetch or a byte to remove.
 
@@ -37,8 +37,8 @@ from kinweave.session import stage
 LENGTH, GRAM = 200, 32
 #: Contexts in one block, and of one anchor beyond which it is dealt over blocks.
 BLOCK, CROWDED = 1000, 500
-#: Bytes beside a crowded anchor by which its contexts are dealt.
-EDGE = 4
+#: Cuts of a crowded anchor's contexts by the bytes a window has before the anchor.
+CUTS = (0, 8, 42, LENGTH - GRAM - 41, LENGTH - GRAM - 7, LENGTH - GRAM + 1)
 _PIECE = 1 << 18
 _SPAN_COLUMNS = "row long, start long, end long"
 
@@ -129,9 +129,9 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarra
 def _block(table: pa.Table) -> pa.Table:
     """Spans of windows repeated in one block of contexts, and digests of windows that may recur in other blocks.
 
-    ``mode`` of a context: 0 all its like are here, 1 those of the same edges are, 2 they may be anywhere.
+    ``mode`` of a context: 0 all that can be like it are here, 1 they may be in any block.
     """
-    weight, mode, row, at, windows, anchor, lead = (table.column(c).to_numpy() for c in ("copies", "mode", "row", "at", "windows", "anchor", "lead"))
+    weight, mode, row, at, windows, anchor = (table.column(c).to_numpy() for c in ("copies", "mode", "row", "at", "windows", "anchor"))
     pieces = table.column("bytes").to_pylist()
     text = np.frombuffer(b"".join(pieces), np.uint8)
     base = np.concatenate(([0], np.cumsum([len(p) for p in pieces])))[:-1]
@@ -154,11 +154,9 @@ def _block(table: pa.Table) -> pa.Table:
 
     first = np.cumsum(windows) - windows
     for i, piece in enumerate(pieces):
-        left = lead[i] - np.arange(windows[i])
-        across = (mode[i] == 2) | ((mode[i] == 1) & ((left < EDGE) | (LENGTH - GRAM - left < EDGE)))
-        for j in np.flatnonzero(np.broadcast_to(across, left.shape)).tolist():
+        for j in range(int(windows[i]) if mode[i] else 0):
             put(i, j, j + LENGTH, xxhash.xxh3_64_intdigest(piece[j:j + LENGTH]) - (1 << 63), int(min(weight[i], 2)))
-        if weight[i] == 1:
+        if weight[i] == 1 and not mode[i]:
             here = repeated[first[i]:first[i] + windows[i]]
             edge = np.diff(np.concatenate(([False], here, [False])).astype(np.int8))
             for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()):
@@ -186,6 +184,16 @@ def _context_rows(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "row long, anchor long, digest long, at long, windows int, lead int")
 
 
+def _cuts(x: dict) -> Iterator[dict]:
+    """A context cut by the room before the anchor, each with the byte range all windows of its cut hold."""
+    anchor = x["at"] + x["lead"]
+    for k, (least, beyond) in enumerate(zip(CUTS, CUTS[1:])):
+        first, end = max(0, x["lead"] - beyond + 1), min(x["windows"], x["lead"] - least + 1)
+        if first < end:
+            yield dict(x, at=x["at"] + first, windows=end - first, lead=x["lead"] - first, cut=k,
+                       core=(anchor - least, anchor + LENGTH - beyond + 1))
+
+
 def _fetch(texts: DataFrame) -> DataFrame:
     """Bytes of the contexts listed in ``wanted`` for each text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,11 +203,13 @@ def _fetch(texts: DataFrame) -> DataFrame:
             for i, (row, wanted) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
                 body = data[offsets[i]:offsets[i + 1]]
                 for x in wanted:
-                    low, anchor = x["at"], x["at"] + x["lead"]
-                    beside = body[max(anchor - EDGE, 0):anchor].tobytes() + b"|" + body[anchor + GRAM:anchor + GRAM + EDGE].tobytes() if x["crowded"] else b""
-                    own = dict(x, row=row, edges=xxhash.xxh3_64_intdigest(beside) - (1 << 63), bytes=body[low:low + x["windows"] + LENGTH - 1].tobytes())
-                    for name in out:
-                        out[name].append(own[name])
+                    for cut in _cuts(x) if x["crowded"] else [dict(x, core=(0, 0))]:
+                        low, high = cut["core"]
+                        core = b"%d|" % cut.get("cut", 0) + body[low:high].tobytes()
+                        own = dict(cut, row=row, edges=xxhash.xxh3_64_intdigest(core) - (1 << 63),
+                                   bytes=body[cut["at"]:cut["at"] + cut["windows"] + LENGTH - 1].tobytes())
+                        for name in out:
+                            out[name].append(own[name])
             narrow = ("windows", "lead")
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if k == "bytes" else pa.int32() if k in narrow else pa.int64()) for k, v in out.items()], list(out))
 
@@ -228,11 +238,14 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     blocks = max(1, -(-fetched.count() // BLOCK))
     # Repeated rows would be fetched twice; their copies are already counted.
     single = fetched.groupBy("row", "anchor", "digest", "at").agg(*[F.first(c).alias(c) for c in ("copies", "crowded", "windows", "lead", "edges", "bytes")])
-    crowds = fetched.where("crowded > 0").groupBy("anchor", "edges").agg(F.count("*").alias("alike")).where(F.col("alike") > CROWDED)
-    dealt = single.join(crowds, ["anchor", "edges"], "left").withColumn("mode", F.when(F.col("alike").isNotNull(), 2).when(F.col("crowded") > 0, 1).otherwise(0))
-    chance = F.when(F.col("mode") == 2, F.pmod(F.xxhash64("row", "at"), F.ceil(F.col("alike") / CROWDED))).otherwise(0)
+    # A cut whose core nobody shares has nothing to be compared with.
+    cores = fetched.where("crowded > 0").select("row", "anchor", "edges").distinct().groupBy("anchor", "edges").agg(F.count("*").alias("alike")).where("alike > 1")
+    dealt = single.where("crowded = 0").withColumn("alike", F.lit(1).cast("long")).unionByName(
+        single.where("crowded > 0").join(cores, ["anchor", "edges"]).select(*single.columns, "alike"))
+    dealt = dealt.withColumn("mode", (F.col("alike") > CROWDED).cast("int"))
+    chance = F.when(F.col("mode") == 1, F.pmod(F.xxhash64("row", "at"), F.ceil(F.col("alike") / CROWDED))).otherwise(0)
     block = F.pmod(F.xxhash64("anchor", "edges", chance), F.lit(blocks))
-    sorted_ = stage(dealt.withColumn("block", block).drop("alike", "crowded", "edges", "digest").groupBy("block").applyInArrow(
+    sorted_ = stage(dealt.withColumn("block", block).drop("alike", "crowded", "edges", "digest", "lead").groupBy("block").applyInArrow(
         _block, _SPAN_COLUMNS + ", anchor long, digest long, weight long"), "sorted")
     near = sorted_.where("weight IS NOT NULL")
     twice = near.groupBy("anchor", "digest").agg(F.sum("weight").alias("n")).where("n > 1").select("anchor", "digest")
