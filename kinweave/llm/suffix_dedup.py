@@ -36,7 +36,7 @@ from kinweave.session import stage
 
 LENGTH, GRAM = 200, 32
 #: Contexts in one block, and of one anchor beyond which it is dealt over blocks.
-BLOCK, CROWDED = 1000, 500
+BLOCK, CROWDED = 1000, 2500
 #: Cuts of a crowded anchor's contexts by the bytes a window has before the anchor.
 CUTS = (0, 8, 42, LENGTH - GRAM - 41, LENGTH - GRAM - 7, LENGTH - GRAM + 1)
 _PIECE = 1 << 18
@@ -239,7 +239,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # Repeated rows would be fetched twice; their copies are already counted.
     single = fetched.groupBy("row", "anchor", "digest", "at").agg(*[F.first(c).alias(c) for c in ("copies", "crowded", "windows", "lead", "edges", "bytes")])
     # A cut whose core nobody shares has nothing to be compared with.
-    cores = fetched.where("crowded > 0").select("row", "anchor", "edges").distinct().groupBy("anchor", "edges").agg(F.count("*").alias("alike")).where("alike > 1")
+    cores = fetched.where("crowded > 0").select("row", "at", "anchor", "edges").distinct().groupBy("anchor", "edges").agg(F.count("*").alias("alike")).where("alike > 1")
     dealt = single.where("crowded = 0").withColumn("alike", F.lit(1).cast("long")).unionByName(
         single.where("crowded > 0").join(cores, ["anchor", "edges"]).select(*single.columns, "alike"))
     dealt = dealt.withColumn("mode", (F.col("alike") > CROWDED).cast("int"))
