@@ -146,6 +146,9 @@ def _block(table: pa.Table) -> pa.Table:
     total = np.bincount(group, np.minimum(weight, 2)[owner[window]])
     repeated = np.zeros(len(owner), bool)
     repeated[window] = total[group] > 1
+    # One window of each repeated group speaks for it in other blocks.
+    speaks = np.zeros(len(owner), bool)
+    speaks[window[np.concatenate(([True], group[1:] != group[:-1]))]] = True
     out: dict[str, list] = {k: [] for k in ("row", "start", "end", "anchor", "digest", "weight")}
 
     def put(i: int, a: int, b: int, digest: int | None, n: int | None) -> None:
@@ -154,10 +157,11 @@ def _block(table: pa.Table) -> pa.Table:
 
     first = np.cumsum(windows) - windows
     for i, piece in enumerate(pieces):
-        for j in range(int(windows[i]) if mode[i] else 0):
-            put(i, j, j + LENGTH, xxhash.xxh3_64_intdigest(piece[j:j + LENGTH]) - (1 << 63), int(min(weight[i], 2)))
-        if weight[i] == 1 and not mode[i]:
-            here = repeated[first[i]:first[i] + windows[i]]
+        here = repeated[first[i]:first[i] + windows[i]]
+        if mode[i]:
+            for j in np.flatnonzero(~here | speaks[first[i]:first[i] + windows[i]]).tolist():
+                put(i, j, j + LENGTH, xxhash.xxh3_64_intdigest(piece[j:j + LENGTH]) - (1 << 63), 2 if here[j] else 1)
+        if weight[i] == 1:
             edge = np.diff(np.concatenate(([False], here, [False])).astype(np.int8))
             for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()):
                 put(i, a, b - 1 + LENGTH, None, None)
