@@ -220,11 +220,11 @@ def find_candidates(
     wanted_domains: DataFrame,
     wanted_capabilities: DataFrame,
     excluded: DataFrame,
-    limit: int,
+    limit: int | None = None,
     by_matches: bool = True,
     closure: DataFrame | None = None,
 ) -> Candidates:
-    """People with a project in a wanted domain or with a wanted capability, team left out.
+    """People with a project in a wanted domain or with a wanted capability, team left out; all of them unless ``limit`` is given.
 
     ``by_matches`` orders by matched capabilities, matched domains, identifier; otherwise by
     identifier alone. ``closure`` also counts the ancestors of a project's domains as matches.
@@ -248,6 +248,8 @@ def find_candidates(
     counted = matches.groupBy(*pair).agg(
         F.count_if(F.col("kind") == "capability").alias("n_caps"), F.count_if(F.col("kind") == "domain").alias("n_domains")
     )
+    if limit is None:
+        return Candidates(counted, matches)
     order = [F.desc("n_caps"), F.desc("n_domains"), F.asc("person_id")] if by_matches else [F.asc("person_id")]
     ranked = counted.withColumn("place", F.row_number().over(W.partitionBy("target_id").orderBy(*order)))
     people = ranked.where(F.col("place") <= limit).drop("place")

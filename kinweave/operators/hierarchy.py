@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,64 +44,6 @@ def cyclic_domains(closure: DataFrame) -> DataFrame:
     return closure.where(F.col("domain_id") == F.col("ancestor_id")).select("domain_id").distinct()
 
 
-def _walk(group: pd.DataFrame) -> pd.DataFrame:
-    """Cycle paths of one small connected piece, found depth first from the smallest identifier on."""
-    children: dict[str, list[str]] = {}
-    for child, parent in sorted(zip(group["child_id"], group["parent_id"])):
-        children.setdefault(parent, []).append(child)
-        children.setdefault(child, [])
-    done: set[str] = set()
-    paths: list[str] = []
-    for start in sorted(children):
-        if start in done:
-            continue
-        path, index, pending = [start], {start: 0}, [iter(children[start])]
-        while pending:
-            following = next(pending[-1], None)
-            if following is None:
-                pending.pop()
-                last = path.pop()
-                del index[last]
-                done.add(last)
-            elif following in index:
-                paths.append(" > ".join([*path[index[following]:], following]))
-            elif following not in done:
-                index[following] = len(path)
-                path.append(following)
-                pending.append(iter(children[following]))
-    return pd.DataFrame({"path": pd.Series(list(dict.fromkeys(paths)), dtype=object)})
-
-
-def components(pairs: DataFrame) -> DataFrame:
-    """(node, component): the smallest identifier each node is connected with, spread until stable."""
-    both = stage(pairs.select(F.col("child_id").alias("a"), F.col("parent_id").alias("b")).union(pairs.select("parent_id", "child_id")).distinct(), "components")
-    labels = (both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("component")))
-    while True:
-        offered = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("best"))
-        moved = labels.join(offered, "node").select(
-            "node", F.least("component", "best").alias("component"), (F.col("best") < F.col("component")).alias("moved")
-        )
-        moved = stage(moved, "components")
-        if moved.where("moved").isEmpty():
-            return labels
-        labels = moved.drop("moved")
-
-
-def cycle_paths(pairs: DataFrame, closure: DataFrame) -> DataFrame:
-    """Closed paths, parent to child, as text.
-
-    Only cyclic domains and what leads down to them can take part, which is normally nothing at all;
-    each connected piece of that remainder is walked on its own.
-    """
-    cyclic = cyclic_domains(closure)
-    above = closure.join(cyclic, "domain_id", "left_semi").select(F.col("ancestor_id").alias("node")).union(cyclic).distinct()
-    left = pairs.join(above.withColumnRenamed("node", "child_id"), "child_id", "left_semi")
-    left = left.join(above.withColumnRenamed("node", "parent_id"), "parent_id", "left_semi").select("child_id", "parent_id")
-    left = stage(left, "cyclic")
-    placed = left.join(components(left).withColumnRenamed("node", "child_id"), "child_id")
-    return placed.groupBy("component").applyInPandas(lambda pdf: _walk(pdf), "path string")
-
-
 def domain_levels(domains: DataFrame, pairs: DataFrame, closure: DataFrame) -> DataFrame:
     """(domain_id, levels): length of the longest way up to a root, counted in domains.
 
@@ -198,11 +139,11 @@ def all_checks(domains: DataFrame, edges: DataFrame, associations: DataFrame, ma
     pairs = stage(inner_edges(domains, edges), "edges")
     closure = ancestor_closure(pairs)
     return {
-        "cycles": cycle_paths(pairs, closure),
         "orphan_domains": orphan_domains(domains, edges, associations),
         "missing_hierarchy_endpoints": missing_endpoints(domains, edges),
         "dotted_prefix_parent_rules": prefix_violations(edges),
         "duplicate_hierarchy_edges": duplicate_edges(edges),
+        "cyclic_domains": cyclic_domains(closure),
         "maximum_depth": excessive_depth(domain_levels(domains, pairs, closure), max_levels),
         "malformed_domain_ids": malformed_ids(domains),
         "malformed_domain_names": malformed_names(domains),

@@ -230,13 +230,13 @@ def recommend(
     targets: Targets,
     weights: dict[str, float] | None = None,
     top_k: int = settings.TOP_K,
-    candidate_limit: int = settings.CANDIDATE_LIMIT,
+    candidate_limit: int | None = None,
     by_matches: bool = True,
     closure: DataFrame | None = None,
 ) -> Recommendation:
     """Gaps, candidates, evidence, features and ranking for all targets at once.
 
-    The candidate set is at most ``candidate_limit`` rows per target. It is written out, since evidence,
+    All candidates are scored unless ``candidate_limit`` cuts them per target. The set is written out, since evidence,
     distance and every feature start from it, and with its true size known those joins need no
     shuffle of the large edge tables.
     """

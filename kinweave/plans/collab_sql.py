@@ -79,10 +79,8 @@ SELECT DISTINCT r.target_id, h.person_id, 'capability', r.capability_id FROM req
 ) m WHERE NOT EXISTS (SELECT 1 FROM team t WHERE t.target_id = m.target_id AND t.person_id = m.person_id)""",
      "target_domains", "project_domain", "wrote", "requirements", "has_capability", "team")
 _add("candidates", """
-SELECT target_id, person_id, n_caps, n_domains FROM (
-SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY n_caps DESC, n_domains DESC, person_id) AS place FROM (
 SELECT target_id, person_id, count(*) FILTER (WHERE kind = 'capability') AS n_caps,
-  count(*) FILTER (WHERE kind = 'domain') AS n_domains FROM matches GROUP BY 1, 2)) WHERE place <= 50""", "matches")
+  count(*) FILTER (WHERE kind = 'domain') AS n_domains FROM matches GROUP BY 1, 2""", "matches")
 _add("evidence", """
 SELECT c.target_id, c.person_id, 'project' AS kind, p.project_id AS id, p.title AS text, p.project_id, p.year
 FROM candidates c JOIN wrote w USING (person_id) JOIN projects p USING (project_id)

@@ -148,7 +148,7 @@ def coauthor_distance(spark: SparkSession, sf: str) -> DataFrame:
 SELECT target_id, person_id, hops FROM distance JOIN candidates USING (target_id, person_id)""", "distance", "candidates")
 def coauthor_distance_of_candidates(spark: SparkSession, sf: str) -> DataFrame:
     graph, targets = _prepared(spark, sf)
-    found = g.find_candidates(graph, targets.domains, targets.requirements, targets.team, settings.CANDIDATE_LIMIT)
+    found = g.find_candidates(graph, targets.domains, targets.requirements, targets.team)
     return g.coauthor_distance(graph.wrote, targets.team, stage(found.people, "candidates"))
 
 
@@ -231,7 +231,8 @@ def gap_importance(spark: SparkSession, sf: str) -> DataFrame:
     return rec.gap_importance(gaps).withColumn("importance", F.round("importance", 6))
 
 
-@query("SELECT target_id, person_id, n_caps, n_domains FROM candidates", "candidates")
+@query("""SELECT target_id, person_id, n_caps, n_domains FROM candidates
+QUALIFY row_number() OVER (PARTITION BY target_id ORDER BY n_caps DESC, n_domains DESC, person_id) <= 50""", "candidates")
 def candidates_by_matches(spark: SparkSession, sf: str) -> DataFrame:
     graph, targets = _prepared(spark, sf)
     return g.find_candidates(graph, targets.domains, targets.requirements, targets.team, settings.CANDIDATE_LIMIT).people

@@ -336,8 +336,6 @@ def _hierarchy_query(check: str):
             return simple[check]()
         pairs = stage(hierarchy.inner_edges(nodes, edges), "edges")
         closure = ancestor_closure(pairs)
-        if check == "cycles":
-            return hierarchy.cycle_paths(pairs, closure)
         return hierarchy.excessive_depth(hierarchy.domain_levels(nodes, pairs, closure))
 
     return run
@@ -345,7 +343,6 @@ def _hierarchy_query(check: str):
 
 for _check, (_body, _needs) in _HIERARCHY.items():
     query(_body, *_needs, name=f"hierarchy_{_check}")(_hierarchy_query(_check))
-query(name="hierarchy_cycles")(_hierarchy_query("cycles"))
 
 
 @query("SELECT d AS domain_id FROM tx_cyclic", "tx_cyclic")

@@ -54,11 +54,3 @@ def stage_all(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
         running = {name: pool.submit(stage, df, name) for name, df in tables.items()}
         return {name: job.result() for name, job in running.items()}
 
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Redistribute an input of fewer files than the cluster has cores, so that all of them work.
-
-    Large inputs come in more files than cores and pass through without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df

@@ -39,4 +39,5 @@ def test_query_equals_its_sql(spark, duck, name):
 
 def test_every_check_belongs_to_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"hierarchy_cycles"}
+    unchecked = set(entry.queries()) - set(entry.oracle_sql())
+    assert all(name == "pipeline" or name.startswith("op") for name in unchecked)

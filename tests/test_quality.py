@@ -64,7 +64,7 @@ def test_hierarchy_faults(spark):
     used = spark.createDataFrame([("a",), ("ghost",), ("e..f",)], "domain_id string")
     checks = hierarchy.all_checks(domains, links, used)
     rows = {n: df.collect() for n, df in checks.items()}
-    assert {r["path"] for r in rows["cycles"]} == {"x > y > x", "y > y"}
+    assert {r["domain_id"] for r in rows["cyclic_domains"]} == {"x", "y"}
     assert [r["domain_id"] for r in rows["orphan_domains"]] == ["lone"]
     assert {(r["child_id"], r["reason"]) for r in rows["missing_hierarchy_endpoints"]} == {(None, "blank"), ("z.z", "absent")}
     assert {(r["child_id"], r["parent_id"]) for r in rows["dotted_prefix_parent_rules"]} == {("x", "y"), ("y", "x"), ("y", "y")}
@@ -75,7 +75,7 @@ def test_hierarchy_faults(spark):
     assert [tuple(r) for r in rows["duplicate_domain_ids"]] == [("x", 2)]
     assert [r["domain_id"] for r in rows["unknown_project_domain_associations"]] == ["ghost"]
     summary = {r["name"]: r["finding_count"] for r in hierarchy.summary(checks).collect()}
-    assert summary["cycles"] == 2 and len(summary) == 10
+    assert summary["cyclic_domains"] == 2 and len(summary) == 10
     with pytest.raises(ValueError):
         hierarchy.excessive_depth(domains, 0)
 
