@@ -225,14 +225,15 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     W.small_batches(docs.sparkSession)
     rows = docs.select(F.xxhash64(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
     found = _context_rows(rows)
-    shared = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("digest").alias("low"), F.max("digest").alias("high")).where("n > 1").select(
-        "anchor", (F.col("low") != F.col("high")).alias("mixed"))
+    # Written out, so that the joins below read plain shuffles on both sides, which adaptive execution can split.
+    shared = stage(found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("digest").alias("low"), F.max("digest").alias("high")).where("n > 1").select(
+        "anchor", (F.col("low") != F.col("high")).alias("mixed")), "shared")
     repeats = stage(found.join(shared, "anchor"), "repeats")
     whole = lambda df: df.select("row", F.col("at").alias("start"), (F.col("at") + F.col("windows") + (LENGTH - 1)).alias("end"))
     mixed = repeats.where("mixed")
     alike = stage(mixed.groupBy("anchor", "digest").agg(F.count("*").alias("copies"), F.min(F.struct("row", "at", "windows", "lead")).alias("one")), "alike")
     # An anchor matters if some context of it stands alone; all its contexts are then compared.
-    open_ = alike.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("copies").alias("least")).where("least = 1").select("anchor", "kinds")
+    open_ = stage(alike.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("copies").alias("least")).where("least = 1").select("anchor", "kinds"), "open")
     wanted = stage(alike.join(open_, "anchor").select(
         F.col("one.row").alias("row"), F.struct("anchor", "digest", "copies", F.when(F.col("kinds") > CROWDED, F.col("kinds")).otherwise(0).alias("crowded"),
                                                 F.col("one.at").alias("at"), F.col("one.windows").alias("windows"), F.col("one.lead").alias("lead")).alias("x")), "wanted")
