@@ -68,7 +68,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     W.small_batches(docs.sparkSession)
     found = _unit_rows(docs.select(F.col(id_col).alias("rank"), F.xxhash64(id_col, text_col).alias("row"), F.col(text_col).alias("text")))
     place = F.struct(F.col("rank").isNull().alias("last"), "rank", "row", "start")
-    shared = found.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("final")).where("first != final").select("a", "b", "first")
+    # Written out, so that the join below reads plain shuffles on both sides, which adaptive execution can split.
+    shared = stage(found.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("final")).where("first != final").select("a", "b", "first"), "shared")
     gone = found.join(shared, ["a", "b"]).where(place != F.col("first"))
     return gone.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
 
