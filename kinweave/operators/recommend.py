@@ -17,6 +17,8 @@ from kinweave.operators.graph import (
     candidate_evidence,
     coauthor_distance,
     find_candidates,
+    project_page,
+    with_ancestors,
 )
 from kinweave.session import stage, stage_all
 
@@ -274,6 +276,40 @@ def held_out_split(wrote: DataFrame, projects: DataFrame, min_authors: int) -> t
     return held, team.distinct()
 
 
+def leave_one_out(
+    graph: GraphTables,
+    closure: DataFrame,
+    keywords: DataFrame | None = None,
+    requirements: DataFrame | None = None,
+    min_authors: int = 3,
+    top_k: int = 10,
+    limit_projects: int | None = None,
+) -> DataFrame:
+    """Rank of the first author of every project with enough authors, when the others look for a collaborator.
+
+    keywords(project_id, keyword) and requirements(project_id, req, capability_id, name, importance, source)
+    belong to the projects; a project without requirements is asked for by domains and keywords.
+    ``limit_projects`` looks at the first projects by identifier only.
+    """
+    projects = graph.projects if limit_projects is None else project_page(graph.projects, limit=limit_projects)
+    split = held_out_split(graph.wrote, projects, min_authors)
+    chosen = stage_all({"held-out": split[0], "team": split[1]})
+    held, team = chosen["held-out"], chosen["team"]
+
+    def of_targets(rows: DataFrame) -> DataFrame:
+        return rows.withColumnRenamed("project_id", "target_id").join(held.select("target_id"), "target_id", "left_semi")
+
+    asked = {"domains": with_ancestors(of_targets(graph.project_domain), closure, ["target_id"])}
+    if keywords is not None:
+        asked["keywords"] = of_targets(keywords)
+    none = graph.projects.sparkSession.createDataFrame(
+        [], "project_id string, req string, capability_id string, name string, importance double, source string"
+    )
+    asked["requirements"] = of_targets(none if requirements is None else requirements)
+    found = recommend(graph, Targets(team=team, **stage_all(asked)), top_k=top_k)
+    return evaluate_held_out(held, found.ranked)
+
+
 def evaluate_held_out(held_out: DataFrame, ranked: DataFrame) -> DataFrame:
     """Rank and reciprocal rank of each held-out author; NULL rank when not recommended."""
     found = ranked.select(*PAIR, "rank")

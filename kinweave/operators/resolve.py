@@ -7,7 +7,7 @@ from math import ceil
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinweave import settings
@@ -17,6 +17,8 @@ from kinweave.session import stage
 PIVOTS = 32
 BLOCK_ROWS = 2048
 CHUNK_ROWS = 50_000
+#: Sequence numbers sorted together per name; a bound on a task, no limit of the operator.
+STRETCH = 1_000_000
 
 
 def alias_index(existing: DataFrame) -> DataFrame:
@@ -27,57 +29,77 @@ def alias_index(existing: DataFrame) -> DataFrame:
 
 
 def match_index(names: DataFrame, existing: DataFrame) -> DataFrame:
-    """names(norm) plus matched_id: the record of the same slug, else of the same alias, else NULL."""
+    """names(norm) plus by_id, the record of the same slug, and by_alias, that of the same alias; NULL where there is none."""
     known = existing.select(F.col("capability_id").alias("slug"), F.col("capability_id").alias("by_id")).distinct()
     aliases = alias_index(existing).select("norm", F.col("capability_id").alias("by_alias"))
     slugged = names.withColumn("slug", F.replace("norm", F.lit(" "), F.lit("_")))
-    joined = slugged.join(known, "slug", "left").join(aliases, "norm", "left")
-    return joined.select(*names.columns, F.coalesce("by_id", "by_alias").alias("matched_id"))
+    return slugged.join(known, "slug", "left").join(aliases, "norm", "left")
 
 
-def resolve_names(mentions: DataFrame, existing: DataFrame) -> DataFrame:
-    """mentions(seq, name, alias) with capability_id and whether the mention creates the record.
+def last_before(asked: DataFrame, events: DataFrame) -> DataFrame:
+    """asked(norm, seq) with ``value`` of the last of events(norm, seq, value) before it, NULL if there is none.
 
-    As if mentions were taken one by one in ``seq`` order: a name that is neither in the index nor
-    an alias met earlier starts a record; its alias, and aliases of later mentions, then lead to it.
-    Each distinct name points to the name whose earlier mention registered it as an alias; following
-    these pointers, doubled per round, gives the record every name belongs to.
+    Sorts within stretches of ``STRETCH`` numbers of a key; what a stretch ends with is handed on by a
+    second window over one row per stretch. A key with a large share of all rows is thus many tasks' work.
     """
-    rows = mentions.select("*", normalize(F.col("name")).alias("norm"), normalize(F.col("alias")).alias("alias_norm"))
-    first = match_index(rows.groupBy("norm").agg(F.min("seq").alias("first_seq")), existing)
-    taken = alias_index(existing).select(F.col("norm").alias("alias_norm"))
-    registered = (
-        rows.where(F.col("alias_norm").isNotNull() & (F.col("alias_norm") != ""))
-        .groupBy("alias_norm").agg(F.min(F.struct("seq", "norm")).alias("by"))
-        .join(taken, "alias_norm", "left_anti")
-        .select(F.col("alias_norm").alias("norm"), F.col("by.seq").alias("reg_seq"), F.col("by.norm").alias("owner"))
-    )
-    pointed = first.join(registered, "norm", "left").select(
-        "norm", "first_seq", "matched_id",
-        F.when(F.col("matched_id").isNull() & (F.col("reg_seq") < F.col("first_seq")) & (F.col("owner") != F.col("norm")), F.col("owner"))
-        .otherwise(F.col("norm")).alias("root"),
-    )
-    pointed = stage(pointed, "names")
-    while True:
-        onward = pointed.select(F.col("norm").alias("root"), F.col("root").alias("next"))
-        moved = stage(
-            pointed.join(onward, "root").select("norm", "first_seq", "matched_id", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")),
-            "names",
-        )
-        pointed = moved.drop("moved")
-        if moved.where("moved").isEmpty():
-            break
-    roots = pointed.where(F.col("norm") == F.col("root")).select(
-        "root", F.col("first_seq").alias("root_seq"), F.col("matched_id").alias("root_match")
+    kind = events.schema["value"].dataType
+    stretch = F.floor(F.col("seq") / STRETCH).alias("stretch")
+    both = asked.select("norm", "seq", stretch, F.lit(None).cast(kind).alias("value"), F.lit(True).alias("asked")).unionByName(
+        events.select("norm", "seq", stretch, "value", F.lit(False).alias("asked"))
     )
-    placed = pointed.join(roots, "root").select(
-        "norm", "root", "root_seq",
-        F.coalesce("root_match", F.replace("root", F.lit(" "), F.lit("_"))).alias("capability_id"),
-        F.col("root_match").isNull().alias("new"),
-    )
-    joined = rows.join(placed, "norm")
-    created = F.col("new") & (F.col("norm") == F.col("root")) & (F.col("seq") == F.col("root_seq"))
-    return joined.select(*mentions.columns, "capability_id", created.alias("created"))
+    within = Window.partitionBy("norm", "stretch").orderBy("seq").rangeBetween(Window.unboundedPreceding, -1)
+    near = both.withColumn("near", F.last("value", ignorenulls=True).over(within)).where("asked")
+    ends = both.groupBy("norm", "stretch").agg(F.max_by("value", F.when(F.col("value").isNotNull(), F.col("seq"))).alias("end"))
+    earlier = Window.partitionBy("norm").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    far = ends.select("norm", "stretch", F.last("end", ignorenulls=True).over(earlier).alias("far"))
+    return near.join(far, ["norm", "stretch"]).select("norm", "seq", F.coalesce("near", "far").alias("value"))
+
+
+def resolve_names(mentions: DataFrame, existing: DataFrame, nearest: DataFrame | None = None) -> DataFrame:
+    """mentions(seq, name, alias) with capability_id and whether the mention creates the record.
+
+    As if mentions were taken one by one in ``seq`` order: a name is looked up by slug, then among the
+    aliases met so far, then in ``nearest`` (norm, capability_id), the records of the index that are close
+    by embedding; what is found nowhere starts a record. A mention adds its alias where nobody owns it,
+    and one that starts a record takes the alias over from whoever owns it.
+
+    Whether a name starts a record follows from first appearances alone. A name that is only an alias
+    leads, at any time, to the record of the last starting mention so far that gave this alias, else to
+    the index, else to wherever the first mention that gave it leads. The last kind are pointers between
+    names to earlier mentions; they are followed with path lengths doubled per round.
+    """
+    rows = mentions.withColumn("_norm", normalize(F.col("name"))).withColumn("_alias", F.nullif(normalize(F.col("alias")), F.lit("")))
+    offers = rows.where(F.col("_alias") != F.col("_norm")).select(F.col("_alias").alias("norm"), F.col("seq").alias("by_seq"), F.col("_norm").alias("by_norm"))
+    first = match_index(rows.groupBy(F.col("_norm").alias("norm")).agg(F.min("seq").alias("first_seq")), existing)
+    offered = offers.groupBy("norm").agg(F.min(F.struct("by_seq", "by_norm")).alias("by"))
+    close = first.select("norm").limit(0).withColumn("near", F.lit(None).cast("string")) if nearest is None else (
+        nearest.groupBy("norm").agg(F.min("capability_id").alias("near")))
+    creates = F.coalesce("by_id", "by_alias", "near").isNull() & F.coalesce(F.col("by.by_seq") >= F.col("first_seq"), F.lit(True))
+    names = first.join(offered, "norm", "left").join(close, "norm", "left").withColumn("creates", creates)
+    names = stage(names.withColumn("fixed", F.when(F.col("creates"), F.col("slug")).otherwise(F.col("by_id"))), "names")
+
+    started = names.where("creates").select(F.col("norm").alias("by_norm"), F.col("first_seq").alias("by_seq"), F.col("slug").alias("value"))
+    taken = offers.join(started, ["by_norm", "by_seq"]).select("norm", F.col("by_seq").alias("seq"), "value")
+    floating = names.where("fixed IS NULL").select("norm").join(taken.select("norm").distinct(), "norm", "left_semi")
+    asked = rows.select(F.col("_norm").alias("norm"), "seq").distinct().join(floating, "norm", "left_semi")
+    owned = last_before(asked, taken.join(floating, "norm", "left_semi")).select("norm", "seq", F.col("value").alias("owner"))
+
+    told = rows.select(F.col("_norm").alias("norm"), "seq").distinct().join(names, "norm").join(owned, ["norm", "seq"], "left")
+    given = F.col("by.by_seq") < F.col("seq")
+    settled = F.coalesce("fixed", "owner", "by_alias", F.when(~F.coalesce(given, F.lit(False)), F.col("near")))
+    told = stage(told.select("norm", "seq", settled.alias("settled"), (F.col("creates") & (F.col("seq") == F.col("first_seq"))).alias("created")), "told")
+
+    led = told.select(F.col("norm").alias("up"), F.col("seq").alias("by_seq"), "settled")
+    pointed = names.where("fixed IS NULL AND by IS NOT NULL").select("norm", F.col("by.by_norm").alias("up"), F.col("by.by_seq").alias("by_seq"))
+    pointed = stage(pointed.join(led, ["up", "by_seq"]).select(
+        "norm", F.when(F.col("settled").isNull(), F.col("up")).alias("up"), F.col("settled").alias("base")), "pointed")
+    while not pointed.where("up IS NOT NULL").isEmpty():
+        onward = pointed.select(F.col("norm").alias("up"), F.col("up").alias("next"), F.col("base").alias("far"))
+        pointed = stage(pointed.join(onward, "up", "left").select("norm", F.col("next").alias("up"), F.coalesce("base", "far").alias("base")), "pointed")
+
+    answers = told.join(pointed.select("norm", "base"), "norm", "left").select(
+        F.col("norm").alias("_norm"), "seq", F.coalesce("settled", "base").alias("capability_id"), "created")
+    return rows.join(answers, ["_norm", "seq"]).select(*[rows[c] for c in mentions.columns], "capability_id", "created")
 
 
 def save_summary(resolved: DataFrame) -> DataFrame:

@@ -294,38 +294,30 @@ def linear_score_contributions(spark: SparkSession, sf: str) -> DataFrame:
 
 # -- leave-one-out ---------------------------------------------------------
 
-for _name, _body, _needs in (
-    ("loo_pool", "SELECT project_id FROM projects ORDER BY project_id LIMIT 50", ("projects",)),
-):
-    VIEWS.add(_name, _body, *_needs)
-VIEWS.add("loo_members", "SELECT project_id AS target_id, person_id, pos FROM wrote WHERE project_id IN (SELECT project_id FROM loo_pool)", "wrote", "loo_pool")
-VIEWS.add("loo_held", """SELECT target_id, arg_min(person_id, (pos, person_id)) AS person_id FROM loo_members
-GROUP BY 1 HAVING count(DISTINCT person_id) >= 2""", "loo_members")
+# Every project with this many authors is asked for.
+LOO_AUTHORS = 4
+VIEWS.add("loo_members", "SELECT project_id AS target_id, person_id, pos FROM wrote", "wrote")
+VIEWS.add("loo_held", f"""SELECT target_id, arg_min(person_id, (pos, person_id)) AS person_id FROM loo_members
+GROUP BY 1 HAVING count(DISTINCT person_id) >= {LOO_AUTHORS}""", "loo_members")
 
 
 @query("SELECT target_id, person_id FROM loo_held", "loo_held")
 def held_out_authors(spark: SparkSession, sf: str) -> DataFrame:
     graph = collab.base_graph(spark, sf)
-    return rec.held_out_split(graph.wrote, g.project_page(graph.projects, limit=50), 2)[0]
+    return rec.held_out_split(graph.wrote, graph.projects, LOO_AUTHORS)[0]
 
 
 def _leave_one_out(spark: SparkSession, sf: str) -> DataFrame:
-    graph, _ = collab.staged_graph(spark, sf)
-    held, team = rec.held_out_split(graph.wrote, g.project_page(graph.projects, limit=50), 2)
-    held, team = stage(held, "held-out"), stage(team, "team")
-    closure = g.ancestor_closure(graph.subdomain_of)
-    links = graph.project_domain.withColumnRenamed("project_id", "target_id").join(held, "target_id", "left_semi")
-    none = spark.createDataFrame([], "target_id string, req string, capability_id string, name string, importance double, source string")
-    targets = rec.Targets(stage(g.with_ancestors(links, closure, ["target_id"]), "domains"), none, team)
-    return rec.evaluate_held_out(held, rec.recommend(graph, targets).ranked)
+    graph, rows = collab.staged_graph(spark, sf)
+    keywords = rows.select("project_id", F.col("p_brand").alias("keyword")).distinct()
+    return rec.leave_one_out(graph, g.ancestor_closure(graph.subdomain_of), keywords, min_authors=LOO_AUTHORS)
 
 
-# The same chain of views, asked for the held-out teams without requirements or keywords.
+# The same chain of views, asked for the held-out teams by domains and keywords.
 _LOO = {
     "targets": ("SELECT target_id FROM loo_held", ("loo_held",)),
     "team": ("SELECT m.target_id, m.person_id FROM loo_members m JOIN loo_held h USING (target_id) WHERE m.person_id <> h.person_id", ("loo_members", "loo_held")),
     "requirements": ("SELECT '' AS target_id, '' AS capability_id, '' AS name, 0::DOUBLE AS importance WHERE false", ()),
-    "keywords": ("SELECT '' AS target_id, '' AS keyword WHERE false", ()),
 }
 
 

@@ -132,20 +132,26 @@ VIEWS.add("mentions", """
 SELECT p_partkey AS seq, CASE WHEN p_size > 25 THEN p_name ELSE split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 1) END AS norm,
   CASE WHEN p_size > 40 THEN split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 1) END AS alias FROM part""")
 VIEWS.add("known_names", "SELECT DISTINCT p_name AS name FROM part WHERE p_type = 'ECONOMY' AND p_brand = 'Brand#1'")
-VIEWS.add("first_names", "SELECT norm, min(seq) AS first_seq, norm IN (SELECT name FROM known_names) AS known FROM mentions GROUP BY 1", "mentions", "known_names")
-VIEWS.add("registered", """
-SELECT alias AS norm, min(seq) AS reg_seq, arg_min(norm, seq) AS owner FROM mentions WHERE alias IS NOT NULL
-AND alias NOT IN (SELECT name FROM known_names) GROUP BY 1""", "mentions", "known_names")
-VIEWS.add("pointers", """
-SELECT f.norm, f.first_seq, f.known, CASE WHEN NOT known AND r.reg_seq < f.first_seq THEN r.owner ELSE f.norm END AS up
-FROM first_names f LEFT JOIN registered r USING (norm)""", "first_names", "registered")
+VIEWS.add("offers", "SELECT alias, seq, norm FROM mentions WHERE alias <> norm", "mentions")
+VIEWS.add("first_names", """
+SELECT norm, first_seq, known, NOT known AND coalesce(o.seq >= first_seq, true) AS creates
+FROM (SELECT norm, min(seq) AS first_seq, norm IN (SELECT name FROM known_names) AS known FROM mentions GROUP BY 1)
+LEFT JOIN (SELECT alias, min(seq) AS seq FROM offers GROUP BY 1) o ON o.alias = norm""", "mentions", "known_names", "offers")
+VIEWS.add("takeovers", """
+SELECT o.alias, o.seq, o.norm AS owner FROM offers o JOIN first_names f ON f.norm = o.norm AND f.first_seq = o.seq AND f.creates""",
+          "offers", "first_names")
+VIEWS.add("told", """
+SELECT m.seq, m.norm, CASE WHEN f.known OR f.creates THEN m.norm ELSE t.owner END AS owner, f.creates AND m.seq = f.first_seq AS created
+FROM mentions m JOIN first_names f USING (norm) ASOF LEFT JOIN takeovers t ON t.alias = m.norm AND m.seq > t.seq""",
+          "mentions", "first_names", "takeovers")
+VIEWS.add("firsts", """
+SELECT o.alias AS norm, t.norm AS up, t.owner FROM (SELECT alias, min(seq) AS seq FROM offers GROUP BY 1) o JOIN told t USING (seq)""", "offers", "told")
 VIEWS.add("chains", """
-SELECT norm, norm AS node, 0 AS d FROM pointers UNION ALL
-SELECT c.norm, p.up, c.d + 1 FROM chains c JOIN pointers p ON p.norm = c.node WHERE p.up <> p.norm""", "pointers")
-VIEWS.add("roots", "SELECT norm, arg_max(node, d) AS root FROM chains GROUP BY 1", "chains")
+SELECT norm, up, owner FROM firsts UNION ALL
+SELECT c.norm, f.up, f.owner FROM chains c JOIN firsts f ON f.norm = c.up WHERE c.owner IS NULL""", "firsts")
 VIEWS.add("resolved", """
-SELECT m.seq, replace(r.root, ' ', '_') AS capability_id, NOT p.known AND m.norm = r.root AND m.seq = p.first_seq AS created
-FROM mentions m JOIN roots r USING (norm) JOIN pointers p ON p.norm = r.root""", "mentions", "roots", "pointers")
+SELECT t.seq, replace(coalesce(t.owner, c.owner), ' ', '_') AS capability_id, t.created
+FROM told t LEFT JOIN (SELECT norm, owner FROM chains WHERE owner IS NOT NULL) c USING (norm)""", "told", "chains")
 
 
 @query("SELECT seq, capability_id, created FROM resolved", "resolved")

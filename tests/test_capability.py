@@ -33,40 +33,48 @@ def test_filters_on_extracted_capabilities(spark):
     assert [(r["name"], r["normalized_name"], r["kind"]) for r in kept.collect()] == [("Graph Mining", "graph mining", "METHOD")]
 
 
-def sequential(mentions, existing):
-    """Reference resolution, one mention at a time."""
-    ids, aliases, out = set(existing), {k: k for k in existing}, []
+def sequential(mentions, existing, near):
+    """One mention at a time: existing is (id, aliases), near leads names to records by embedding."""
+    ids = {i for i, _ in existing}
+    aliases = {form: i for i, forms in existing for form in (i, *forms)}
+    out = []
     for seq, name, alias in mentions:
+        created = False
         if name in ids:
-            target, created = name, False
+            target = name
         elif name in aliases:
-            target, created = aliases[name], False
+            target = aliases[name]
+        elif name in near:
+            target = near[name]
         else:
             target, created = name, True
             ids.add(name)
             aliases[name] = name
-        if alias and alias not in aliases:
+        if alias and (created and alias != name or alias not in aliases):
             aliases[alias] = target
         out.append((seq, target, created))
     return out
 
 
-def test_resolution_equals_one_by_one_processing(spark):
-    rng = random.Random(7)
-    for _ in range(4):
-        names = [f"n{i}" for i in range(12)]
-        mentions, used = [], set()
-        for seq in range(40):
-            name = rng.choice(names)
-            # An alias owned already keeps its owner here: only fresh aliases are offered.
-            free = [n for n in names if n not in used and n != name and all(m[1] != n for m in mentions)]
-            alias = rng.choice(free) if free and rng.random() < 0.3 else None
-            used.add(alias)
-            mentions.append((seq, name, alias))
-        known = spark.createDataFrame([(0, "n0", "n0", [])], "ord int, capability_id string, name string, aliases array<string>")
-        df = spark.createDataFrame(mentions, "seq int, name string, alias string")
-        got = [(r["seq"], r["capability_id"], r["created"]) for r in resolve.resolve_names(df, known).orderBy("seq").collect()]
-        assert got == sequential(mentions, ["n0"])
+@pytest.mark.parametrize("seed", range(4))
+def test_resolution_equals_one_by_one_processing(spark, monkeypatch, seed):
+    monkeypatch.setattr(resolve, "STRETCH", 7)
+    rng = random.Random(seed)
+    names = [f"n{i}" for i in range(14)]
+    mentions = [(seq, rng.choice(names), rng.choice(names) if rng.random() < 0.4 else None) for seq in range(60)]
+    existing, near = [("n0", ["n1", "m1"]), ("n2", [])], {"n3": "n0", "n4": "n2"}
+    known = spark.createDataFrame([(i, n, n, forms) for i, (n, forms) in enumerate(existing)], "ord int, capability_id string, name string, aliases array<string>")
+    close = spark.createDataFrame(list(near.items()), "norm string, capability_id string")
+    df = spark.createDataFrame(mentions, "seq int, name string, alias string")
+    for given, by in ((None, {}), (close, near)):
+        rows = resolve.resolve_names(df, known, given).orderBy("seq").collect()
+        assert [(r["seq"], r["capability_id"], r["created"]) for r in rows] == sequential(mentions, existing, by)
+
+
+def test_a_started_record_takes_its_alias_over(spark):
+    known = spark.createDataFrame([], "ord int, capability_id string, name string, aliases array<string>")
+    df = spark.createDataFrame([(0, "alpha", "x"), (1, "beta", "x"), (2, "x", None)], "seq int, name string, alias string")
+    assert [r["capability_id"] for r in resolve.resolve_names(df, known).orderBy("seq").collect()] == ["alpha", "beta", "beta"]
 
 
 def test_nearest_record_against_brute_force(spark, monkeypatch):
