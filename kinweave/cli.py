@@ -40,7 +40,8 @@ def load_graph(spark: SparkSession, path: str) -> g.GraphTables:
         has_capability = spark.createDataFrame([], empty)
     else:
         names = table("capability").select(F.col("id").alias("capability_id"), "name", "kind")
-        has_capability = able.select(
+        current = (F.col("extractionVersion") == settings.EXTRACTION_VERSION) & (F.col("aggregationVersion") == settings.AGGREGATION_VERSION)
+        has_capability = able.where(current).select(
             F.col("author").alias("person_id"), F.col("capability").alias("capability_id"), F.col("lastSeenYear").alias("last_seen_year")
         ).join(names, "capability_id")
     return g.GraphTables(
@@ -174,13 +175,14 @@ def _ingest(spark: SparkSession, args: argparse.Namespace) -> int:
 def _export(spark: SparkSession, args: argparse.Namespace) -> int:
     query = paged_api.build_query(args.query, args.hal_id, args.title, args.doc_type)
     lines = paged_api.read_publications(spark, args.url, query=query, maxrows=str(args.rows))
-    sinks.write_csv_tables(canonical_tables(stage(records.parse_lines(lines), "records")), args.output, single_file=True)
+    sinks.write_csv_tables(canonical_tables(stage(records.parse_lines(lines), "records")), args.output, single_file=args.single_file)
     return 0
 
 
 def _snapshot(spark: SparkSession, args: argparse.Namespace) -> int:
     lines = stage(paged_api.read_publications(spark, args.url, query=args.query, sort="halId_s asc"), "lines")
-    print(sinks.write_snapshot(lines, args.output, lines.count(), args.query, "halId_s asc"))
+    found = paged_api.count_publications(args.url, query=args.query)
+    print(sinks.write_snapshot(lines, args.output, found, args.query, "halId_s asc"))
     return 0
 
 
@@ -208,6 +210,7 @@ def parser() -> argparse.ArgumentParser:
     export.add_argument("--url", required=True)
     export.add_argument("--rows", type=int, default=100)
     export.add_argument("--output", required=True)
+    export.add_argument("--single-file", action="store_true")
     export.set_defaults(run=_export)
     snapshot = sub.add_parser("snapshot", help="API query to a snapshot")
     snapshot.add_argument("--url", required=True)

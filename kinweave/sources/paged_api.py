@@ -67,14 +67,20 @@ class _PageReader(DataSourceReader):
             params["sort"] = self.options["sort"]
         return params
 
+    def found(self) -> int:
+        """Number of records the source has for the query."""
+        return unwrap(self.fetch(self.options["url"], self._params(0, 0)))[0]
+
     def partitions(self) -> list[InputPartition]:
-        found, _ = unwrap(self.fetch(self.options["url"], self._params(0, 0)))
+        found = self.found()
         limit = self.options.get("maxrows")
         pages = page_starts(found, int(self.options.get("rowsperpage", "500")), int(limit) if limit else None)
         return [Page(start, rows) for start, rows in pages]
 
     def read(self, partition: Page) -> Iterator[tuple[int, str]]:
         _, docs = unwrap(self.fetch(self.options["url"], self._params(partition.start, partition.rows)))
+        if len(docs) != partition.rows:
+            raise ValueError(f"Page at {partition.start} holds {len(docs)} of {partition.rows} records.")
         for offset, doc in enumerate(docs):
             yield partition.start + offset, json.dumps(doc, ensure_ascii=False, sort_keys=True)
 
@@ -100,6 +106,11 @@ def read_publications(spark: SparkSession, url: str, source: type[DataSource] =
     return spark.read.format(source.name()).options(url=url, **options).load()
 
 
+def count_publications(url: str, source: type[DataSource] = PublicationApi, **options: str) -> int:
+    """numFound of a query, asked of the source itself."""
+    return _PageReader({"url": url, **options}, source.fetch).found()
+
+
 def query_arguments(parser: argparse.ArgumentParser) -> None:
     for flag, default in (("--query", settings.FULL_QUERY), ("--hal-id", ""), ("--title", ""), ("--doc-type", "")):
         parser.add_argument(flag, default=default)

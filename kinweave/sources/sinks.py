@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinweave import settings
-from kinweave.functions.records import as_list, list_length
 from kinweave.operators.authors import pad_list
 from kinweave.schemas import CANONICAL_TABLES
 from kinweave.sources.records import build_manifest
@@ -85,26 +84,30 @@ def merge_table(path: str, new: DataFrame, merge, partition_by: list[str] | None
 def snapshot_lines(lines: DataFrame) -> DataFrame:
     """(doc_ord, value): author arrays brought to equal length, keys sorted.
 
-    The record stays JSON text: only its author fields are replaced, zeros fill the gaps.
+    Author arrays are the requested ones and every other field whose name starts with ``auth``. The record
+    stays JSON text: only its author fields are replaced, zeros fill the gaps.
     """
-    doc = F.try_parse_json("value")
-    authors = settings.AUTHOR_ARRAY_FIELDS
-    names = F.size(as_list(F.col("doc"), "authFullName_s"))
-    longest = F.greatest(*[list_length(F.col("doc"), f) for f in authors])
-    sized = lines.select("doc_ord", doc.alias("doc")).withColumn("n", F.when(names > 0, names).otherwise(longest))
-
-    def element(value: Column) -> Column:
-        return F.when(value == "0", F.lit("0")).otherwise(F.regexp_replace(F.to_json(F.array(value)), r"^\[|\]$", ""))
-
-    def padded(field: str) -> Column:
-        items = F.transform(pad_list(as_list(F.col("doc"), field), F.col("n")), element)
-        return F.concat(F.lit(f'"{field}": ['), F.array_join(items, ", "), F.lit("]"))
-
-    # Rebuild: untouched fields as a map of variants, author fields spelled out.
-    rest = F.to_json(F.map_filter(F.try_variant_get(F.col("doc"), "$", "map<string,variant>"), lambda k, _: ~k.isin(authors)))
-    spelled = F.array_join(F.array(*[padded(f) for f in authors]), ", ")
+    requested = F.array(*[F.lit(f) for f in settings.AUTHOR_ARRAY_FIELDS])
+    parsed = lines.select("doc_ord", F.try_variant_get(F.try_parse_json("value"), "$", "map<string,variant>").alias("fields"))
+    is_author = lambda k: k.startswith("auth")
+    keyed = parsed.withColumn("authors", F.array_sort(F.array_union(requested, F.filter(F.map_keys("fields"), is_author))))
+
+    def items(key: Column) -> Column:
+        """JSON text of the elements of a list, of a lone value, or nothing."""
+        value = F.try_element_at("fields", key)
+        several = F.try_variant_get(value, "$", "array<variant>")
+        one = F.when(value.isNotNull() & ~F.is_variant_null(value), F.array(F.to_json(value)))
+        listed = F.transform(several, lambda v: F.coalesce(F.to_json(v), F.lit("null")))
+        return F.coalesce(F.when(F.schema_of_variant(value).startswith("ARRAY"), listed), one, F.array().cast("array<string>"))
+
+    sized = keyed.withColumn("lists", F.transform("authors", items))
+    names = F.size(F.element_at("lists", F.array_position("authors", F.lit("authFullName_s")).cast("int")))
+    sized = sized.withColumn("n", F.when(names > 0, names).otherwise(F.array_max(F.transform("lists", F.size))))
+    quoted = lambda k: F.regexp_replace(F.to_json(F.array(k)), r"^\[|\]$", "")
+    padded = F.zip_with("authors", "lists", lambda k, v: F.concat(quoted(k), F.lit(": ["), F.array_join(pad_list(v, F.col("n")), ", "), F.lit("]")))
+    rest = F.to_json(F.map_filter("fields", lambda k, _: ~is_author(k)))
     body = F.regexp_replace(rest, r"^\{|\}$", "")
-    value = F.concat(F.lit("{"), F.when(body != "", F.concat(body, F.lit(", "))).otherwise(""), spelled, F.lit("}"))
+    value = F.concat(F.lit("{"), F.when(body != "", F.concat(body, F.lit(", "))).otherwise(""), F.array_join(padded, ", "), F.lit("}"))
     return sized.select("doc_ord", value.alias("value"))
 
 
@@ -112,11 +115,11 @@ def write_snapshot(
     lines: DataFrame, folder: str, num_found: int, query: str = settings.FULL_QUERY, sort: str | None = None,
     rows_per_page: int | None = None, timestamp: str | None = None, normalize: bool = True,
 ) -> str:
-    """Write records and manifest below ``folder``/<UTC stamp>; returns that folder."""
+    """Write records and manifest below ``folder``/<UTC stamp>; returns that folder. Files follow ``doc_ord`` as a whole."""
     stamp = timestamp or datetime.datetime.now(datetime.timezone.utc).strftime("%Y%m%dT%H%M%SZ")
     target = f"{folder}/{stamp}"
     rows = snapshot_lines(lines) if normalize else lines
-    rows.sortWithinPartitions("doc_ord").select("value").write.text(f"{target}/records")
+    rows.orderBy("doc_ord").select("value").write.text(f"{target}/records")
     written = lines.sparkSession.read.text(f"{target}/records").count()
     manifest = build_manifest(query, settings.RECORD_FIELDS, sort, num_found, written, stamp, rows_per_page)
     text = json.dumps(manifest, ensure_ascii=False)

@@ -59,6 +59,32 @@ def test_api_scan_and_snapshot(spark, tmp_path):
     assert records.check_manifest(manifest) == 5
 
 
+def test_short_page_raises(spark):
+    class Short(stub_api()):
+        @staticmethod
+        def fetch(url, params):
+            docs = [] if params["rows"] == "0" else [{"halId_s": "h0"}]
+            return {"response": {"numFound": 4, "docs": docs}}
+
+    assert paged_api.count_publications("stub:", Short) == 4
+    with pytest.raises(Exception, match="holds 1 of 2 records"):
+        paged_api.read_publications(spark, "stub:", Short, rowsperpage="2").collect()
+
+
+def test_snapshot_files_follow_the_order_and_pad_every_author_field(spark, tmp_path):
+    docs = [{"halId_s": f"h{i:04d}", "authFullName_s": ["A", "B"], "authQuality_s": "aut", "authIdPerson_i": [7, None, 9], "authNone_s": None} for i in range(400)]
+    lines = spark.createDataFrame([(i, json.dumps(d)) for i, d in enumerate(docs)], "doc_ord long, value string").repartition(5)
+    folder = sinks.write_snapshot(lines, str(tmp_path), 400, timestamp="20260101T000000Z")
+    read = []
+    for name in sorted(glob.glob(f"{folder}/records/part-*")):
+        with open(name, encoding="utf-8") as file:
+            read += [json.loads(line) for line in file]
+    assert [d["halId_s"] for d in read] == [d["halId_s"] for d in docs]
+    assert (read[0]["authQuality_s"], read[0]["authIdPerson_i"], read[0]["authNone_s"]) == (["aut", 0], [7, None], [0, 0])
+    lone = sinks.snapshot_lines(spark.createDataFrame([(0, '{"authX_s": ["a", "b", "c"]}')], "doc_ord long, value string")).first()["value"]
+    assert json.loads(lone)["authX_s"] == ["a", "b", "c"] and json.loads(lone)["authFullName_s"] == [0, 0, 0]
+
+
 def test_line_faults_name_their_line(spark, tmp_path):
     with pytest.raises(records.SnapshotError, match="line 3"):
         records.check_lines(spark, write(tmp_path, [DOCS[0], "", "{bad", DOCS[1]]))
