@@ -1,5 +1,6 @@
 """Column order and keys of the canonical and inferred tables."""
 
+# Table and column names, and the keys below.
 CANONICAL_TABLES = {
     "projects": ["halId", "title", "abstract", "keywords", "documentType", "language",
                  "publicationDate", "publicationYear", "doi", "uri"],

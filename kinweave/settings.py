@@ -87,19 +87,19 @@ LANGUAGE_PATTERN = "^[A-Za-z]{2,3}(-[A-Za-z0-9]+)?$"
 CITATION_PATTERN = r"\[([a-zA-Z0-9_.\-]+)\]"
 DOMAIN_LABEL_SEPARATORS = ["_FacetSep_", "###", "##", "|"]
 
-# Names of the record fields requested from the publication API.
+# Names of the record fields requested from the publication API, in the order the manifest states.
 RECORD_FIELDS = [
-    "halId_s", "docid", "uri_s", "title_s", "subTitle_s", "abstract_s", "keyword_s", "language_s",
-    "docType_s", "publicationDate_s", "publicationDateY_i", "producedDate_s", "doiId_s",
-    "journalTitle_s", "authFullName_s", "authFirstName_s", "authLastName_s", "authIdHal_s",
-    "authIdPerson_i", "authEmailDomain_s", "authORCIDIdExt_s", "authGoogleScholarIdExt_s",
-    "authResearcherIdIdExt_s", "authIdRefIdExt_s", "structId_i", "structName_s", "structAcronym_s",
-    "structType_s", "structCountry_s", "structAddress_s", "structCode_s", "structValid_s",
-    "structRorIdExt_s", "structIdrefIdExt_s", "structIsniIdExt_s", "structRnsrIdExt_s",
-    "structWikidataIdExt_s", "structIsChildOf_fs", "conferenceTitle_s", "conferenceStartDate_s",
-    "conferenceEndDate_s", "city_s", "country_s", "primaryDomain_s", "domainAllCode_s", "domain_s",
-    "en_domainAllCodeLabel_fs", "fr_domainAllCodeLabel_fs", "level0_domain_s", "level1_domain_s",
-    "level2_domain_s", "openAccess_bool",
+    "halId_s", "docid", "title_s", "subTitle_s",
+    "authFullName_s", "authIdPerson_i", "authIdHal_s", "authFirstName_s", "authLastName_s", "authEmailDomain_s",
+    "authORCIDIdExt_s", "authGoogleScholarIdExt_s", "authResearcherIdIdExt_s", "authIdRefIdExt_s",
+    "structId_i", "structName_s", "structAcronym_s", "structType_s", "structCountry_s", "structAddress_s",
+    "structCode_s", "structValid_s", "structRorIdExt_s", "structIdrefIdExt_s", "structIsniIdExt_s",
+    "structRnsrIdExt_s", "structWikidataIdExt_s", "structIsChildOf_fs",
+    "conferenceTitle_s", "conferenceStartDate_s", "conferenceEndDate_s", "city_s", "country_s",
+    "abstract_s", "keyword_s", "domain_s", "primaryDomain_s", "domainAllCode_s", "en_domainAllCodeLabel_fs",
+    "fr_domainAllCodeLabel_fs", "level0_domain_s", "level1_domain_s", "level2_domain_s",
+    "docType_s", "language_s", "publicationDate_s", "producedDate_s", "publicationDateY_i",
+    "journalTitle_s", "doiId_s", "uri_s", "openAccess_bool",
 ]
 AUTHOR_ARRAY_FIELDS = [
     "authFullName_s", "authIdHal_s", "authIdPerson_i", "authFirstName_s", "authLastName_s",
