@@ -1,8 +1,10 @@
-"""Command line: ingest, export, recommend, report."""
+"""Command line: ingest, capabilities, export, snapshot, recommend, report."""
 
 from __future__ import annotations
 
 import argparse
+import datetime
+import importlib
 import json
 import sys
 
@@ -15,9 +17,8 @@ from kinweave.operators import explain
 from kinweave.operators import graph as g
 from kinweave.operators import recommend as rec
 from kinweave.operators.canonical import canonical_tables
+from kinweave.operators.capability_pipeline import extract_to_tables
 from kinweave.operators.report import build_report
-from kinweave.operators.upsert import insert_only
-from kinweave.schemas import TABLE_KEYS
 from kinweave.session import build_session, stage
 from kinweave.sources import paged_api, records, sinks
 
@@ -167,8 +168,19 @@ def _ingest(spark: SparkSession, args: argparse.Namespace) -> int:
         docs = records.load_complete(spark, args.snapshot, args.manifest)
     else:
         docs = records.load_subset(spark, args.snapshot, args.limit)
-    for name, rows in canonical_tables(stage(docs, "records")).items():
-        sinks.merge_table(f"{args.tables}/{name}", rows, lambda old, new, keys=TABLE_KEYS[name]: insert_only(old, new, keys))
+    sinks.merge_graph(args.tables, canonical_tables(stage(docs, "records")))
+    return 0
+
+
+def _capabilities(spark: SparkSession, args: argparse.Namespace) -> int:
+    module, _, name = args.backend.partition(":")
+    backend = getattr(importlib.import_module(module), name)()
+    stamp = datetime.datetime.now(datetime.timezone.utc).isoformat()
+    counts = extract_to_tables(
+        spark, args.tables, backend, args.model, stamp, args.reference_year or int(stamp[:4]), args.project_id, args.limit, args.offset,
+        args.resume, args.dry_run,
+    )
+    print(json.dumps(counts))
     return 0
 
 
@@ -205,6 +217,17 @@ def parser() -> argparse.ArgumentParser:
     ingest.add_argument("--identity-migration-reviewed", action="store_true")
     ingest.add_argument("--tables", required=True)
     ingest.set_defaults(run=_ingest)
+    able = sub.add_parser("capabilities", help="capabilities of the ingested publications and their authors")
+    able.add_argument("--tables", required=True)
+    able.add_argument("--backend", default="kinweave.operators.extraction:KeywordBackend", help="module:class of a callable from prompt to list")
+    able.add_argument("--model", default="keywords")
+    able.add_argument("--project-id")
+    able.add_argument("--limit", type=int)
+    able.add_argument("--offset", type=int, default=0)
+    able.add_argument("--reference-year", type=int)
+    able.add_argument("--resume", action="store_true")
+    able.add_argument("--dry-run", action="store_true")
+    able.set_defaults(run=_capabilities)
     export = sub.add_parser("export", help="API query to CSV tables")
     paged_api.query_arguments(export)
     export.add_argument("--url", required=True)

@@ -47,33 +47,37 @@ def requirement_prompt(title: Column, abstract: Column, keywords: Column, domain
 
 
 def _ask(rows: DataFrame, backend: Callable[[str], object], fallback: object = None) -> DataFrame:
-    """rows(key, project_id, prompt) to (key, project_id, response JSON): one call per row, in the tasks."""
+    """rows(key, project_id, prompt) to (key, project_id, response JSON, error): one call per row, in the tasks.
+
+    A call that fails leaves its error and the fallback, or no response; the other calls are not lost.
+    """
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            answers = []
+            answers, errors = [], []
             for prompt in batch["prompt"]:
                 try:
                     answers.append(json.dumps(backend(prompt), ensure_ascii=False))
-                except Exception:
-                    if fallback is None:
-                        raise
-                    answers.append(json.dumps(fallback))
-            yield batch[["key", "project_id"]].assign(response=answers)
+                    errors.append(None)
+                except Exception as fault:
+                    answers.append(None if fallback is None else json.dumps(fallback))
+                    errors.append(str(fault) or type(fault).__name__)
+            yield batch[["key", "project_id"]].assign(response=answers, error=errors)
 
-    return rows.select("key", "project_id", "prompt").mapInPandas(call, "key string, project_id string, response string")
+    return rows.select("key", "project_id", "prompt").mapInPandas(call, "key string, project_id string, response string, error string")
 
 
 def cached_responses(rows: DataFrame, backend: Callable[[str], object], cache: DataFrame | None, fallback: object = None) -> DataFrame:
     """Answers from cache(key, project_id, response) where present, from the backend otherwise."""
     if cache is None:
         return _ask(rows, backend, fallback)
-    hits = cache.join(rows.select("key"), "key", "left_semi").select("key", "project_id", "response")
+    none = F.lit(None).cast("string").alias("error")
+    hits = cache.join(rows.select("key"), "key", "left_semi").select("key", "project_id", "response", none)
     return hits.unionByName(_ask(rows.join(cache.select("key"), "key", "left_anti"), backend, fallback))
 
 
 def capability_responses(projects: DataFrame, backend: CapabilityBackend, model: str, cache: DataFrame | None = None) -> DataFrame:
-    """Raw answers per project; append them to the cache table to resume later.
+    """Raw answers per project, or the error of the call; append the answers to the cache table to resume later.
 
     projects(project_id, title, abstract, keywords, domains).
     """
@@ -123,6 +127,19 @@ class KeywordBackend:
         ]
 
 
+class KeywordRequirements:
+    """Deterministic stand-in: every keyword is required; prompts that hold ``refuse`` fail."""
+
+    def __init__(self, refuse: str) -> None:
+        self.refuse = refuse
+
+    def __call__(self, prompt: str) -> dict:
+        if self.refuse in prompt:
+            raise RuntimeError("refused")
+        names = [c["name"] for c in KeywordBackend()(prompt)]
+        return {"requirements": [{"name": n, "importance": 0.9} for n in names], "goals": []}
+
+
 class FixedBackend:
     """Answers in turn from a fixed list and repeats the last one, for tests."""
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kinweave import settings
 from kinweave.functions.text import strip
 from kinweave.operators.resolve import resolve_names
+from kinweave.session import stage
 
 
 def map_requirements(raw: DataFrame, existing: DataFrame) -> DataFrame:
@@ -40,6 +41,18 @@ def domain_fallback(project_domains: DataFrame) -> DataFrame:
     )
 
 
+def requirements_or_domains(raw: DataFrame, project_domains: DataFrame, existing: DataFrame) -> DataFrame:
+    """Mapped requirements of every target that stated any, the domains of the others in their place.
+
+    raw as in ``map_requirements``, project_domains as in ``domain_fallback``. A target whose answer failed, or
+    holds nothing usable, thus still ends with requirements.
+    """
+    columns = ["target_id", "name", "importance", "source", "capability_id"]
+    mapped = stage(map_requirements(raw, existing).select(*columns), "requirements")
+    left = project_domains.join(mapped.select("target_id").distinct(), "target_id", "left_anti")
+    return mapped.unionByName(domain_fallback(left).select(*columns))
+
+
 def structure_fault(response: str | dict) -> str | None:
     """Why a backend's answer cannot be used, None when it can."""
     if not isinstance(response, dict):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kinweave import settings
 from kinweave.functions import text as x
-from kinweave.operators import explain, extraction, requirements, resolve
+from kinweave.operators import capability_pipeline, explain, extraction, requirements, resolve
 from kinweave.plans import corpus
 from kinweave.plans.collab import table
 from kinweave.plans.collab_sql import VIEWS
@@ -244,6 +244,67 @@ def capability_extraction(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("project_id", "name", "normalized_name", "kind", F.round("confidence", 6).alias("confidence"))
 
 
+VIEWS.add("accepted", r"""
+SELECT CAST(doc_id AS VARCHAR) AS project_id, source AS person_id, 2000 + n_chars % 20 AS year, i AS pos, (length(word) - 6) / 20.0::DOUBLE AS confidence,
+  replace(""" + _NORM.format("word") + r""", ' ', '_') AS capability_id
+FROM (SELECT doc_id, source, n_chars, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM (
+  SELECT doc_id, source, n_chars, regexp_extract_all(text, '\p{L}{12,}') AS w FROM documents))
+WHERE length(word) >= 16 QUALIFY row_number() OVER (PARTITION BY doc_id, word ORDER BY i) = 1""")
+
+
+def _saved(spark: SparkSession, sf: str) -> capability_pipeline.Saved:
+    projects = _publications(spark, sf)
+    answers = extraction.capability_responses(projects, extraction.KeywordBackend(), "stub")
+    accepted = extraction.accepted_capabilities(projects, answers)
+    return capability_pipeline.save_extraction(accepted, capability_pipeline.no_records(spark), "2026-01-01", "stub")
+
+
+@query("""
+SELECT project_id, count(*) FILTER (WHERE n = 1) AS created, count(*) FILTER (WHERE n > 1) AS merged, 0::BIGINT AS skipped
+FROM (SELECT project_id, row_number() OVER (PARTITION BY capability_id ORDER BY project_id, pos) AS n FROM accepted) GROUP BY 1""", "accepted")
+def save_extraction_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Records started and mentions merged by each document, taken in the order of identifiers."""
+    return capability_pipeline.save_counts(_saved(spark, sf).mentions)
+
+
+@query(f"""
+SELECT person_id, capability_id, count(*) AS publication_count, round(avg(confidence), 6) AS avg_confidence,
+  count(*) FILTER (WHERE year >= 2019 - 5) AS recent_publication_count, min(year) AS first_seen_year, max(year) AS last_seen_year,
+  round(least(1.0::DOUBLE, sum(pow(0.5::DOUBLE, greatest(0, 2019 - year) / 5.0::DOUBLE)) / count(*)), 6) AS score
+FROM (SELECT project_id, person_id, year, capability_id, arg_min(confidence, pos) AS confidence FROM accepted GROUP BY 1, 2, 3, 4)
+WHERE person_id IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= {settings.MIN_EVIDENCE_COUNT}""", "accepted")
+def capability_pipeline_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers, filters, resolution, evidence edges and aggregates, with the source of a document as its author."""
+    docs = table(spark, sf, "documents").select(
+        F.col("doc_id").cast("string").alias("project_id"), F.col("source").alias("person_id"), (F.col("n_chars") % 20 + 2000).alias("year"))
+    rows = capability_pipeline.author_capabilities(
+        _saved(spark, sf).edges, docs.select("person_id", "project_id"), docs.select("project_id", "year"), 2019)
+    return rows.select(
+        F.col("author").alias("person_id"), F.col("capability").alias("capability_id"), F.col("publicationCount").alias("publication_count"),
+        F.round("avgExtractionConfidence", 6).alias("avg_confidence"), F.col("recentPublicationCount").alias("recent_publication_count"),
+        F.col("firstSeenYear").alias("first_seen_year"), F.col("lastSeenYear").alias("last_seen_year"), F.round("score", 6).alias("score"))
+
+
+@query(r"""
+WITH said AS (SELECT doc_id, lang, word, i FROM (SELECT doc_id, lang, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM (
+    SELECT doc_id, lang, regexp_extract_all(text, '\p{L}{12,}') AS w FROM documents WHERE source NOT LIKE '%1' OR source IS NULL))
+  QUALIFY row_number() OVER (PARTITION BY doc_id, word ORDER BY i) = 1)
+SELECT CAST(doc_id AS VARCHAR) AS target_id, count(*) AS n, 0::BIGINT AS n_domains FROM said GROUP BY 1 UNION ALL
+SELECT CAST(doc_id AS VARCHAR), count(*), count(*) FROM documents WHERE lang IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM said) GROUP BY 1""")
+def requirement_pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    """Requirements of every document: its long words, or its language where the backend fails or names nothing."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("project_id"), "source")
+    refused = F.coalesce(F.col("source").endswith("1"), F.lit(False))
+    projects = _publications(spark, sf).join(docs, "project_id").withColumn("title", F.when(refused, F.lit("refused")).otherwise(F.lit("")))
+    answers = extraction.requirement_responses(projects, extraction.KeywordRequirements("Title: refused"))
+    raw = extraction.raw_requirements(answers)
+    numbered = raw.drop("seq").select("*", F.xxhash64("target_id", "name").alias("seq"))
+    domains = projects.where("domains[0] IS NOT NULL").select(
+        F.col("project_id").alias("target_id"), F.col("domains")[0].alias("domain_id"), F.col("domains")[0].alias("name"))
+    found = requirements.requirements_or_domains(numbered, domains, capability_pipeline.no_records(spark))
+    return found.groupBy("target_id").agg(F.count("*").alias("n"), F.count_if(F.col("importance") == settings.DEFAULT_IMPORTANCE).alias("n_domains"))
+
+
 # -- explanations ----------------------------------------------------------
 
 VIEWS.add("lead", """

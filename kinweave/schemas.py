@@ -45,3 +45,9 @@ RELATION_ENDPOINTS = {
     "organization_relationships": ("sourceId", "targetId"),
     "research_domain_hierarchy": ("childId", "parentId"),
 }
+
+# Node tables whose rows may be known from a hierarchy alone: (edges, key).
+BARE_ENDPOINTS = {
+    "organizations": ("organization_relationships", "halId"),
+    "research_domains": ("research_domain_hierarchy", "id"),
+}

@@ -1,18 +1,21 @@
-"""Writers: CSV tables, versioned table merges, snapshots, reports."""
+"""Writers: CSV tables, appended and partition-wise replaced tables, snapshots, reports."""
 
 from __future__ import annotations
 
 import datetime
 import json
+import uuid
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinweave import settings
 from kinweave.operators.authors import pad_list
-from kinweave.schemas import CANONICAL_TABLES
+from kinweave.operators.upsert import with_bare_endpoints
+from kinweave.schemas import BARE_ENDPOINTS, CANONICAL_TABLES, RELATION_ENDPOINTS, TABLE_KEYS
 from kinweave.sources.records import build_manifest
 
 
@@ -44,41 +47,50 @@ def write_csv_tables(tables: dict[str, DataFrame], folder: str, single_file: boo
         rows.write.mode("overwrite").option("header", True).option("emptyValue", "").option("escape", '"').csv(f"{folder}/{name}")
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the finished versions of a table."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not store.exists(folder):
-        return []
-    done = []
-    for status in store.listStatus(folder):
-        name = status.getPath().getName()
-        if name.startswith("v") and name[1:].isdigit() and store.exists(jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
-            done.append(int(name[1:]))
-    return sorted(done)
+#: Partition column of appended tables: which write brought a row.
+BATCH = "added_batch"
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame | None:
-    """The newest finished version, None before the first write."""
-    versions = _versions(spark, path)
-    return spark.read.parquet(f"{path}/v{versions[-1]:06d}") if versions else None
+def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame | None:
+    """All rows written so far, with their batch where the table is an appended one; None before the first write."""
+    try:
+        return (spark.read if schema is None else spark.read.schema(schema)).parquet(path)
+    except AnalysisException as fault:
+        if fault.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
 
-def merge_table(path: str, new: DataFrame, merge, partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``merge(existing, new)`` as the next version.
+def append_new(path: str, new: DataFrame, keys: list[str], batch: str | int | None = None) -> None:
+    """Append those rows of ``new`` whose key is not there yet, one row per key, as one batch.
 
-    Readers keep the version they opened. A write that dies leaves no success mark, so it is never
-    read and the next attempt may replace it.
+    Rows written before are read for their keys only and never written again. A batch that is repeated
+    replaces its own rows, so a retry after a failure leaves the same table.
     """
     spark = new.sparkSession
-    versions = _versions(spark, path)
-    existing = read_table(spark, path)
-    rows = merge(new.limit(0) if existing is None else existing, new)
-    target = f"{path}/v{(versions[-1] + 1 if versions else 1):06d}"
-    writer = rows.write.mode("overwrite")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(target)
-    return spark.read.schema(rows.schema).parquet(target)
+    mark = f"b{uuid.uuid4().hex if batch is None else batch}"
+    rows, present = new.dropDuplicates(keys), read_table(spark, path)
+    if present is not None:
+        others = present.where(F.col(BATCH) != mark).select(*keys)
+        rows = rows.join(others, keys, "left_anti").select(*new.columns)
+    rows.write.mode("overwrite").parquet(f"{path}/{BATCH}={mark}")
+
+
+def replace_partitions(path: str, rows: DataFrame, partition_by: list[str]) -> None:
+    """Write ``rows`` over the partitions they belong to; other partitions stay as they are."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
+
+
+def merge_graph(folder: str, tables: dict[str, DataFrame], batch: str | int | None = None) -> None:
+    """Append new rows of every canonical table below ``folder``; the first writer of a key wins.
+
+    Part-of links may name organisations and domains without a row of their own: these get one without properties.
+    """
+    for name, rows in tables.items():
+        if name in BARE_ENDPOINTS:
+            edges, key = BARE_ENDPOINTS[name]
+            rows = with_bare_endpoints(rows, tables[edges], key, list(RELATION_ENDPOINTS[edges])) if edges in tables else rows
+        append_new(f"{folder}/{name}", rows, TABLE_KEYS[name], batch)
 
 
 def snapshot_lines(lines: DataFrame) -> DataFrame:

@@ -7,11 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from kinweave.operators.canonical import canonical_tables
-from kinweave.operators.upsert import insert_only
-from kinweave.schemas import TABLE_KEYS
 from kinweave.session import stage
 from kinweave.sources.records import parse_lines
-from kinweave.sources.sinks import merge_table
+from kinweave.sources.sinks import merge_graph
 
 
 def read_stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -22,17 +20,16 @@ def read_stream(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def merge_batch(batch: DataFrame, target: str) -> None:
+def merge_batch(batch: DataFrame, number: int, target: str) -> None:
     """First writer wins, across batches and within one; repeating a batch changes nothing."""
     ordered = batch.select(F.struct("place", F.monotonically_increasing_id().alias("row")).alias("doc_ord"), "value")
     records = stage(parse_lines(ordered).where(F.col("doc").isNotNull()), "batch")
-    for name, rows in canonical_tables(records).items():
-        merge_table(f"{target}/{name}", rows, lambda old, new, keys=TABLE_KEYS[name]: insert_only(old, new, keys))
+    merge_graph(target, canonical_tables(records), number)
 
 
 def start_ingest(spark: SparkSession, folder: str, target: str, checkpoint: str) -> StreamingQuery:
     """Process all files present, then stop; run again for later files."""
     return (
-        read_stream(spark, folder).writeStream.foreachBatch(lambda df, _: merge_batch(df, target))
+        read_stream(spark, folder).writeStream.foreachBatch(lambda df, number: merge_batch(df, number, target))
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )

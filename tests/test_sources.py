@@ -1,13 +1,15 @@
 import csv
 import glob
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from kinweave import cli, settings
 from kinweave.operators.canonical import canonical_tables
-from kinweave.operators.upsert import insert_only, with_bare_endpoints
+from kinweave.operators.capability_pipeline import extract_to_tables
+from kinweave.operators.upsert import with_bare_endpoints
 from kinweave.schemas import CANONICAL_TABLES
 from kinweave.sources import paged_api, records, sinks
 from kinweave.streaming import ingest
@@ -131,17 +133,23 @@ def test_csv_tables(spark, tmp_path):
     assert {(r["domainId"], r["primary"]) for r in rows("project_research_domains")} == {("x", "True"), ("x.y", "False")}
 
 
-def test_versions_and_first_writer(spark, tmp_path):
-    merge = lambda old, new: insert_only(old, new, ["k"])
+def test_appended_batches_and_first_writer(spark, tmp_path):
     path = str(tmp_path / "t")
+    rows = lambda *r: spark.createDataFrame(r, "k string, v int")
+    read = lambda: {tuple(r) for r in sinks.read_table(spark, path).select("k", "v").collect()}
     assert sinks.read_table(spark, path) is None
-    sinks.merge_table(path, spark.createDataFrame([("a", 1), ("b", 1)], "k string, v int"), merge)
-    sinks.merge_table(path, spark.createDataFrame([("a", 2), ("c", 2)], "k string, v int"), merge)
-    assert {tuple(r) for r in sinks.read_table(spark, path).collect()} == {("a", 1), ("b", 1), ("c", 2)}
-    (tmp_path / "t" / "v000003").mkdir()
-    assert sinks.read_table(spark, path).count() == 3
-    nodes = with_bare_endpoints(spark.createDataFrame([("a", 1)], "k string, v int"), spark.createDataFrame([("a", "z")], "s string, t string"), "k", ["s", "t"])
+    sinks.append_new(path, rows(("a", 1), ("b", 1)), ["k"], 0)
+    before = {f: os.path.getmtime(f) for f in glob.glob(f"{path}/*/part-*")}
+    for _ in range(2):
+        sinks.append_new(path, rows(("a", 2), ("c", 2)), ["k"], 1)
+        assert read() == {("a", 1), ("b", 1), ("c", 2)}
+    assert all(os.path.getmtime(f) == t for f, t in before.items())
+    assert spark.read.parquet(f"{path}/{sinks.BATCH}=b1").count() == 1
+    nodes = with_bare_endpoints(rows(("a", 1)), spark.createDataFrame([("a", "z")], "s string, t string"), "k", ["s", "t"])
     assert {tuple(r) for r in nodes.collect()} == {("a", 1), ("z", None)}
+    for version, value in (("v1", 1), ("v2", 1), ("v1", 2)):
+        sinks.replace_partitions(str(tmp_path / "p"), rows(("a", value)).withColumn("version", F.lit(version)), ["version"])
+    assert {(r["version"], r["v"]) for r in sinks.read_table(spark, str(tmp_path / "p")).collect()} == {("v1", 2), ("v2", 1)}
 
 
 def test_streamed_batches_and_recommendation(spark, tmp_path, capsys):
@@ -162,6 +170,43 @@ def test_streamed_batches_and_recommendation(spark, tmp_path, capsys):
     assert len(free) == 2 and free[0]["gap_match"] == 0.0
 
 
+def test_capabilities_of_ingested_tables(spark, tmp_path, capsys):
+    inbox, tables = tmp_path / "in", str(tmp_path / "tables")
+    inbox.mkdir()
+    words = ["electromagnetism", "crystallography"]
+    docs = [{"halId_s": f"h{i}", "title_s": [f"T {i}"], "authFullName_s": ["Ada Byron", f"P {i}"], "authIdHal_s": ["ada-byron", f"p-{i}"],
+             "keyword_s": [w.title() if i else w for w in words] + ["short"], "publicationDateY_i": 2020 + i,
+             "structId_i": [1], "structName_s": ["Lab"], "structIsChildOf_fs": ["1_x_JoinSep_77_FacetSep_y"],
+             "domainAllCode_s": ["x", "x.y"], "level0_domain_s": ["x"], "level1_domain_s": ["x.y"]} for i in range(3)]
+    write(inbox, docs, "one.jsonl")
+    ingest.start_ingest(spark, str(inbox), tables, str(tmp_path / "marks")).awaitTermination()
+    organizations = {r["halId"]: r["name"] for r in sinks.read_table(spark, f"{tables}/organizations").collect()}
+    assert organizations[1] == "Lab" and organizations[77] is None
+    run = lambda backend, **kw: extract_to_tables(spark, tables, backend, "m", "2024-01-01", 2024, **kw)
+
+    def keywords(prompt):
+        if "Title: T 1" in prompt:
+            raise RuntimeError("no answer")
+        line = next(x for x in prompt.split("\n") if x.startswith("Keywords: "))
+        return [{"name": w, "normalized_name": w, "kind": "topic", "evidence": w, "confidence": (len(w) - 6) / 10} for w in line[10:].split(", ")]
+
+    def broken(prompt):
+        raise RuntimeError("asked again")
+
+    assert run(keywords, dry_run=True) == {"created": 2, "merged": 2, "skipped": 0, "asked": 3, "failed": 1}
+    assert sinks.read_table(spark, f"{tables}/capability") is None
+    assert run(keywords)["created"] == 2
+    assert run(broken, resume=True, project_id="h0") == {"created": 0, "merged": 2, "skipped": 0, "asked": 1, "failed": 0}
+    assert sinks.read_table(spark, f"{tables}/evidences_capability").count() == 4
+    able = {(r["author"], r["capability"], r["publicationCount"]) for r in sinks.read_table(spark, f"{tables}/has_capability").collect()}
+    assert able == {("ada-byron", w, 2) for w in words}
+    graph = cli.load_graph(spark, tables)
+    rows = cli.recommendation_rows(graph, cli.text_target(graph, "about", ["electromagnetism", "x.y"]), 1, False)
+    assert rows[0]["person_id"] == "ada-byron" and rows[0]["gap_match"] > 0
+    assert cli.main(["capabilities", "--tables", tables, "--limit", "1", "--dry-run"]) == 0
+    assert json.loads(capsys.readouterr().out.strip().split("\n")[-1])["asked"] == 1
+
+
 def test_environment_settings():
     env = {"NEO4J_URI": "bolt://x", "NEO4J_USER": "u", "NEO4J_PASSWORD": "secret", "NEO4J_DATABASE": "d"}
     store = settings.graph_store_from_env(env=env)
