@@ -11,7 +11,7 @@ from kinweave import settings
 from kinweave.functions.text import normalize
 from kinweave.operators import capability as cap
 from kinweave.operators import extraction
-from kinweave.operators.resolve import resolve_names
+from kinweave.operators.resolve import numbered, resolve_names
 from kinweave.operators.upsert import first_wins
 from kinweave.schemas import TABLE_KEYS
 from kinweave.session import stage
@@ -37,17 +37,11 @@ def no_records(spark: SparkSession) -> DataFrame:
 def save_extraction(
     accepted: DataFrame, existing: DataFrame, extracted_at: str, model: str, nearest: DataFrame | None = None,
 ) -> Saved:
-    """Resolve accepted(project_id, pos, name, normalized_name, kind, confidence, evidence) by project and place.
-
-    The numbers mentions are taken in come from a range sort, so no task sees them all; they are written out
-    before use, since they depend on how the sort was dealt.
-    """
+    """Resolve accepted(project_id, pos, name, normalized_name, kind, confidence, evidence) in the order of project and place."""
     surface = F.when(F.col("name") != F.col("normalized_name"), F.col("name"))
-    ordered = accepted.orderBy("project_id", "pos").select(
-        F.monotonically_increasing_id().alias("seq"), "project_id", F.col("normalized_name").alias("name"), surface.alias("alias"),
-        "kind", "confidence", "evidence",
-    )
-    mentions = stage(resolve_names(stage(ordered, "mentions"), existing, nearest), "resolved")
+    rows = numbered(accepted.select("project_id", "pos", F.col("normalized_name").alias("name"), surface.alias("alias"), "kind", "confidence", "evidence"),
+                    "project_id", "pos")
+    mentions = stage(resolve_names(rows, existing, nearest), "resolved")
     other = F.col("alias").isNotNull() & (normalize(F.col("alias")) != normalize(F.col("name")))
     nodes = mentions.where("created").select(
         F.col("capability_id").alias("id"), "name", "kind", F.when(other, F.array("alias")).otherwise(F.array().cast("array<string>")).alias("aliases"))

@@ -7,28 +7,28 @@ from pyspark.sql import functions as F
 
 from kinweave import settings
 from kinweave.functions.text import strip
-from kinweave.operators.resolve import resolve_names
+from kinweave.operators.resolve import numbered, resolve_names
 from kinweave.session import stage
 
 
 def map_requirements(raw: DataFrame, existing: DataFrame) -> DataFrame:
-    """raw(target_id, seq, name, importance STRING, source) with capability_id and final importance.
+    """raw(target_id, seq, name, importance STRING, source) with capability_id and final importance; seq may be anything sortable.
 
     A name that is not known yet counts as unresolved and loses weight; mentioned again, it resolves
     to the record its first mention started.
     """
     rows = raw.select(
-        "target_id", "seq", strip(F.coalesce("name", F.lit(""))).alias("name"),
+        "target_id", F.col("seq").alias("place"), strip(F.coalesce("name", F.lit(""))).alias("name"),
         F.coalesce(F.col("importance").try_cast("double"), F.lit(settings.DEFAULT_IMPORTANCE)).alias("importance"),
         F.coalesce("source", F.lit("extracted")).alias("source"), F.lit(None).cast("string").alias("alias"),
     ).where(F.col("name") != "")
-    resolved = resolve_names(rows, existing)
+    resolved = resolve_names(numbered(rows, "place"), existing)
     known = ~F.col("created")
     weight = F.when(known, F.col("importance")).otherwise(
         F.greatest(F.lit(0.0), F.col("importance") * settings.UNRESOLVED_IMPORTANCE_FACTOR)
     )
     out = resolved.select(
-        "target_id", "seq", "name", weight.alias("importance"), "source", F.when(known, F.col("capability_id")).alias("capability_id")
+        "target_id", F.col("place").alias("seq"), "name", weight.alias("importance"), "source", F.when(known, F.col("capability_id")).alias("capability_id")
     )
     return out.where(F.col("importance") > 0)
 

@@ -55,6 +55,15 @@ def last_before(asked: DataFrame, events: DataFrame) -> DataFrame:
     return near.join(far, ["norm", "stretch"]).select("norm", "seq", F.coalesce("near", "far").alias("value"))
 
 
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """rows with ``seq``, numbers that follow ``order``.
+
+    They come from a range sort, so no task sees all rows, and are written out before use, since they
+    depend on how the sort was dealt.
+    """
+    return stage(rows.orderBy(*order).withColumn("seq", F.monotonically_increasing_id()), "numbered")
+
+
 def resolve_names(mentions: DataFrame, existing: DataFrame, nearest: DataFrame | None = None) -> DataFrame:
     """mentions(seq, name, alias) with capability_id and whether the mention creates the record.
 

@@ -297,11 +297,9 @@ def requirement_pipeline(spark: SparkSession, sf: str) -> DataFrame:
     refused = F.coalesce(F.col("source").endswith("1"), F.lit(False))
     projects = _publications(spark, sf).join(docs, "project_id").withColumn("title", F.when(refused, F.lit("refused")).otherwise(F.lit("")))
     answers = extraction.requirement_responses(projects, extraction.KeywordRequirements("Title: refused"))
-    raw = extraction.raw_requirements(answers)
-    numbered = raw.drop("seq").select("*", F.xxhash64("target_id", "name").alias("seq"))
     domains = projects.where("domains[0] IS NOT NULL").select(
         F.col("project_id").alias("target_id"), F.col("domains")[0].alias("domain_id"), F.col("domains")[0].alias("name"))
-    found = requirements.requirements_or_domains(numbered, domains, capability_pipeline.no_records(spark))
+    found = requirements.requirements_or_domains(extraction.raw_requirements(answers), domains, capability_pipeline.no_records(spark))
     return found.groupBy("target_id").agg(F.count("*").alias("n"), F.count_if(F.col("importance") == settings.DEFAULT_IMPORTANCE).alias("n_domains"))
 
 
