@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from kinweave.functions import scoring
 from kinweave.operators import graph as g
 from kinweave.operators import recommend as rec
+from kinweave.plans import collab, graph_queries
 
 WROTE = [("a", "p1"), ("b", "p1"), ("b", "p2"), ("c", "p2"), ("c", "p3"), ("d", "p3"), ("d", "p4"), ("e", "p4"), ("unknown_z", "p3")]
 DOMAINS = [("p1", "x.y"), ("p2", "x.y"), ("p3", "x"), ("p4", "q")]
@@ -135,3 +136,11 @@ def test_held_out_author_is_the_first(spark, graph):
     rates = rec.hit_rates(rec.evaluate_held_out(held, ranked)).first()
     assert (rates["total_evaluated"], rates["hit_at_1"], rates["hit_at_3"], rates["mrr"]) == (4, 0.0, 0.25, 0.125)
     assert rec.hit_rates(rec.evaluate_held_out(held.limit(0), ranked)).first()["mrr"] == 0.0
+
+
+def test_leave_one_out_query_takes_every_project_of_three_authors(spark):
+    sf = "/root/testdata/sf0.001"
+    authors = collab.base_graph(spark, sf).wrote.groupBy("project_id").agg(F.countDistinct("person_id").alias("n"))
+    eligible = {r["project_id"]: r["n"] for r in authors.where("n >= 3").collect()}
+    assert 3 in eligible.values()
+    assert {r["target_id"] for r in graph_queries.held_out_authors(spark, sf).collect()} == set(eligible)
