@@ -163,6 +163,19 @@ def test_substrings(spark, odd_docs, no_docs):
     assert substring_dedup.substring_report(odd_docs).count() == odd_docs.count() and substring_dedup.substring_report(no_docs).count() == 0
 
 
+def test_substrings_of_short_units(spark):
+    """Short lines, passages of short sentences, scripts without spaces; what overlaps the occurrence that stays is kept."""
+    passage = "He came. She saw. They went home. Why not? "
+    texts = [(1, "All rights reserved.\nOwn words. " + passage + "Mine."), (2, "Second text\nall rights reserved.\nOther words. " + passage + "His."),
+             (3, "\u6211\u4eec\u4eca\u5929\u53bb\u5b66\u6821\u3002\u4ed6\u6ca1\u6709\u6765\u5462\u3002"), (4, "\u4f60\u597d\u3002\u6211\u4eec\u4eca\u5929\u53bb\u5b66\u6821\u3002\u518d\u89c1\u3002"),
+             (5, "Ha. " * 8 + "\nEnd")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in substring_dedup.remove_repeats(docs).collect()}
+    assert got == {1: texts[0][1], 2: "Second text\nOther words. His.", 3: texts[2][1], 4: "\u4f60\u597d\u3002\u518d\u89c1\u3002", 5: texts[4][1]}
+    wrapped = spark.createDataFrame([(1, "one two\nthree\n\nfour"), (2, "zero\n\none\ntwo three")], "doc_id long, text string")
+    assert {r["text"] for r in substring_dedup.remove_repeats(wrapped).collect()} == {"one two\nthree\n\nfour", "zero\n\n"}
+
+
 def test_two_stage_order():
     rng = random.Random(3)
     for trial in range(40):
