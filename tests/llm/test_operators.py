@@ -8,7 +8,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from kinweave.llm import components, decontaminate, html_extract, jaccard_join, language_crf, packing, quality, secrets, substring_dedup, suffix_dedup, warc_revisits
+from kinweave.llm import components, decontaminate, html_extract, jaccard_join, language_crf, packing, quality, queries, secrets, substring_dedup, suffix_dedup, warc_revisits
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
@@ -239,6 +239,18 @@ def test_packing(odd_docs, no_docs):
     assert packing.pack(no_docs).count() == 0
 
 
+def test_packing_keeps_near_copies_apart(spark, tmp_path):
+    rng = random.Random(9)
+    base = prose(rng, 80).split()
+    rows = [(i, " ".join([*base[:i], f"other{i}", *base[i + 1:]]), "en", f"s{i}", 1) for i in range(8)]
+    rows += [(8, rows[0][1].upper(), "en", "s8", 1), (None, rows[0][1], "en", "s9", 1), (9, prose(rng, 60), "en", "s10", 1), (10, "", "en", "s11", 0)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op9_packing(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    bins = [(r["shard"], r["bin"]) for r in got if r["doc_id"] not in (9, 10)]
+    assert len(set(bins)) == len(bins) == 10
+
+
 def test_packing_takes_the_tightest_compatible_bin():
     rng = random.Random(6)
     rows = sorted(((rng.randint(1, 100), rng.choice("abcd"), rng.randrange(30)) for _ in range(300)), key=lambda r: -r[0])
