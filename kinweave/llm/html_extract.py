@@ -4,8 +4,8 @@ Tags are read in one pass into a tree with the end tags that HTML implies. Parts
 text (menus, headers, footers, sidebars, forms, scripts, notices, adverts, comments) are left out by tag,
 role or the words of their class and id. Every remaining paragraph passes points for its length and its
 commas to its container in full, to the next in half and on in thirds, sixths and so on; a container's
-points are discounted by the share of link text. The container with most points is kept, and those of
-its siblings that reach a fifth of its points, are headings, or are long paragraphs without links.
+points are discounted by the share of link text. The container with most points is kept, or the nearest
+article or main element around it as a whole, and those of its siblings that reach a fifth of its points, are headings, or are long paragraphs without links.
 
 Defined cases: null or empty html, and pages of left-out parts only, give empty text; tags left open
 end with their parents; an unfinished comment or script runs to the end; unknown character references
@@ -47,7 +47,9 @@ _IMPLIED = {
 _FENCES = frozenset("table ul ol dl menu article section div body td th".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|aria-hidden|hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+# Each attribute with its value, so that neither values nor longer names are searched for the names that count.
+_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
+_JUDGED = frozenset("class id role aria-hidden hidden style".split())
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
@@ -68,7 +70,10 @@ def _judge(tag: str, attributes: str, in_article: bool) -> tuple[bool, int]:
         return True, 0
     if attributes:
         for name, a, b, c in _ATTRIBUTE.findall(attributes):
-            name, value = name.lower(), (a or b or c).lower()
+            name = name.lower()
+            if name not in _JUDGED:
+                continue
+            value = (a or b or c).lower()
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in _ROLES \
                     or name == "style" and "display:none" in value.replace(" ", ""):
                 return True, 0
@@ -176,6 +181,11 @@ def extract(page: str | None) -> str:
             node.link_chars += linked
     score = {n: (n.points + n.weight) * (1 - n.link_chars / max(n.chars, 1)) for n in seen}
     best = max(seen, key=lambda n: score[n])
+    # An article is kept whole, whichever of its inner containers has most points.
+    around = best
+    while around is not None and around.tag not in ("article", "main"):
+        around = around.parent
+    best = around or best
 
     def kept(node: _Node) -> bool:
         if node is best:

@@ -221,6 +221,19 @@ def test_html(spark):
     assert html_extract.page_report(pages.limit(0)).count() == 0
 
 
+def test_html_keeps_the_whole_article():
+    long = "".join(f"<p>{'word, ' * 5}{'x' * 370} {i}</p>" for i in range(40))
+    page = f"<body><article><section>{long}</section><section><h2>Short one</h2><p>Brief words</p></section><ul><li>Item</li></ul><p>Last</p></article></body>"
+    got = html_extract.extract(page)
+    assert got.endswith("xxx 39\n\nShort one\n\nBrief words\n\nItem\n\nLast") and got.count("\n\n") == 43
+
+
+@pytest.mark.parametrize("attributes", ["href='/hidden/x'", "title='hidden role=banner'", "data-hidden='false'", "href='?id=share'", "data-id=share", "href=/a?id=share"])
+def test_html_judges_attributes_by_name(attributes):
+    assert html_extract.extract(f"<article><p>One <a {attributes}>two</a> three</p></article>") == "One two three"
+    assert html_extract.extract(f"<article><p>One</p><div {attributes} hidden><p>two</p></div></article>") == "One"
+
+
 def test_packing(odd_docs, no_docs):
     got = packing.pack(odd_docs, capacity=100).collect()
     words = {r["doc_id"]: len((r["text"] or "").split()) for r in odd_docs.collect()}
