@@ -9,6 +9,7 @@ from kinweave.llm.html_extract import page_report
 from kinweave.llm.jaccard_join import similar_components
 from kinweave.llm.language_crf import language_report
 from kinweave.llm.packing import near_copies, pack
+from kinweave.llm.periodic_runs import run_report, with_loops
 from kinweave.llm.quality import quality_report
 from kinweave.llm.secrets import secret_report
 from kinweave.llm.substring_dedup import substring_report
@@ -72,6 +73,11 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(docs, near=near_copies(docs))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of all documents, every tenth of them with a looping tail."""
+    return run_report(with_loops(_table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_decontamination": op2_decontamination,
@@ -83,6 +89,7 @@ QUERIES = {
     "op8_html_extraction": op8_html_extraction,
     "op9_packing": op9_packing,
     "op10_quality": op10_quality,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 _FOLD = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
