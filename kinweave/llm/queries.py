@@ -12,8 +12,10 @@ from kinweave.llm.packing import near_copies, pack
 from kinweave.llm.periodic_runs import run_report, with_loops
 from kinweave.llm.quality import quality_report
 from kinweave.llm.secrets import secret_report
+from kinweave.llm.slack_packing import slack_report
 from kinweave.llm.substring_dedup import substring_report
 from kinweave.llm.suffix_dedup import suffix_report
+from kinweave.llm.turn_repair import damaged, repair_report
 from kinweave.llm.warc_revisits import revisit_report
 
 
@@ -78,6 +80,19 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_report(with_loops(_table(spark, sf_dir, "documents")))
 
 
+def op12_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all documents in sequences of at most 2,048, filled by minimum bin slack."""
+    import public_tokenizers
+
+    return slack_report(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cheapest repair of the turns of all conversations, a fifth of them damaged before."""
+    conversations = _table(spark, sf_dir, "conversations")
+    return repair_report(conversations, damaged(conversations))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_decontamination": op2_decontamination,
@@ -90,6 +105,8 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_quality": op10_quality,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_slack_packing": op12_slack_packing,
+    "op13_turn_repair": op13_turn_repair,
 }
 
 _FOLD = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
