@@ -19,13 +19,14 @@ gives an empty result. Ranks follow the order in which tasks read rows, fixed on
 
 from __future__ import annotations
 
+import struct
 import zlib
 from bisect import bisect_right, insort
 from collections import Counter, deque
 from collections.abc import Iterator
 from functools import lru_cache
+from string import punctuation
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -36,10 +37,13 @@ from kinweave.session import stage
 
 CAPACITY = 2048
 END_ID = 1
-#: Words whose ids a Python worker remembers, and the longest of them in bytes.
-KNOWN_WORDS = 500_000
+#: Words, and stems of words, whose ids a Python worker remembers, and the longest of them in bytes.
+KNOWN_WORDS = 700_000
 KNOWN_BYTES = 64
-_TAIL = ".,;:!?"
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class WordIds:
@@ -57,25 +61,38 @@ class WordIds:
         self.letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.by_word = by_word
         self.known: dict[bytes, bytes] = {}
+        self.stems: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _word(self, word: bytes) -> bytes:
         text = word.decode()
-        stem = text.rstrip(_TAIL).lower()
-        if stem.isalpha() and max(stem) < "ɐ":
-            # Latin letters are one unit of the vocabulary's merges; a tail of punctuation is a unit of its own
-            ids = [t.id for t in self.tokenizer.model.tokenize(self.letters.pre_tokenize_str(stem)[0][0])]
-            tail = text[len(text.rstrip(_TAIL)):]
-            ids += self._whole(tail) if tail else []
-        else:
-            ids = self._whole(text)
-        return np.array(ids, "<u4").tobytes()
+        body = text.rstrip(punctuation)
+        stem = body.lower()
+        if not stem.isalpha() or max(stem) >= "ɐ":
+            return _packed(self._whole(text))
+        # Latin letters are one unit of the vocabulary's merges; a tail of punctuation is units of its own
+        ids = self.stems.get(stem)
+        if ids is None:
+            unit = stem if stem.isascii() else self.letters.pre_tokenize_str(stem)[0][0]
+            ids = _packed([t.id for t in self.tokenizer.model.tokenize(unit)])
+            if len(stem) <= KNOWN_BYTES:
+                self.stems[stem] = ids
+        if len(body) == len(text):
+            return ids
+        tail = text[len(body):]
+        if tail not in self.tails:
+            found = _packed(self._whole(tail))
+            if len(tail) > KNOWN_BYTES or len(self.tails) > KNOWN_WORDS:
+                return ids + found
+            self.tails[tail] = found
+        return ids + self.tails[tail]
 
     def of(self, text: bytes) -> bytes:
         if not self.by_word:
-            return np.array(self._whole(text.decode()), "<u4").tobytes()
+            return _packed(self._whole(text.decode()))
         words = text.split()
         try:
             return b"".join(map(self.known.__getitem__, words))
@@ -83,6 +100,8 @@ class WordIds:
             pass
         if len(self.known) > KNOWN_WORDS:
             self.known.clear()
+        if len(self.stems) > KNOWN_WORDS:
+            self.stems.clear()
         new = {w: self._word(w) for w in set(words).difference(self.known)}
         ids = b"".join([new[w] if w in new else self.known[w] for w in words])
         self.known.update((w, x) for w, x in new.items() if len(w) <= KNOWN_BYTES)
@@ -100,7 +119,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     ``length`` ids from id ``start`` of its document; ``rank`` counts the pieces of its length in the task."""
     small_batches(docs.sparkSession)
     id_kind = docs.schema[id_col].dataType.simpleString()
-    end = np.array([end_id], "<u4").tobytes()
+    end = _packed([end_id])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, part, n, seen = _word_ids(tokenizer, by_word), TaskContext.get().partitionId(), 0, Counter()

@@ -81,7 +81,7 @@ def test_words_give_the_ids_of_whole_texts(spark, tokenizer):
     rng = random.Random(4)
     alphabet = "aA zé ÉßŉİΣσςǅ.,;:!?'’s'll’t 09½²<|endoftext|>\n\t\r\x0b\x0c\x1c\x85  ́é‍한中\U0001F600ẞﬁ"
     texts += ["".join(rng.choice(alphabet) for _ in range(rng.randrange(60))) for _ in range(4000)]
-    texts += ["it's. I'LL, we're; 'S x.'s a.b ...! é.,É", "<|endoftext|> <|STARTOFTEXT|>.", "a" * 100_000, "w" * 70 + ". " + "w" * 70 + "."]
+    texts += ["it's. I'LL, we're; 'S x.'s a.b ...! é.,É", "<|endoftext|> <|STARTOFTEXT|>.", "a" * 100_000, "x%%% É***,' don't' d'*s ''s a'... <|e|>. ≠ a≠ é̂. H̱. ẖ ", "." * 200 + "x" + "." * 200, "w" * 70 + ". " + "w" * 70 + "."]
     for text in texts:
         assert np.frombuffer(ids.of(text.encode()), "<u4").tolist() == whole(tokenizer, text)[:-1], text[:80]
 
