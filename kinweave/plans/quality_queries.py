@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from kinweave.operators import authors, compare, domains, hierarchy, integrity, organizations, publications, quality, validation
 from kinweave.operators.canonical import canonical_table, with_project_id
-from kinweave.operators.graph import ancestor_closure
 from kinweave.plans import collab, corpus
 from kinweave.plans.corpus_sql import VIEWS
 from kinweave.session import stage
@@ -335,8 +334,7 @@ def _hierarchy_query(check: str):
         if check in simple:
             return simple[check]()
         pairs = stage(hierarchy.inner_edges(nodes, edges), "edges")
-        closure = ancestor_closure(pairs)
-        return hierarchy.excessive_depth(hierarchy.domain_levels(nodes, pairs, closure))
+        return hierarchy.excessive_depth(hierarchy.domain_levels(nodes, pairs, hierarchy.cyclic_components(pairs)))
 
     return run
 
@@ -348,7 +346,28 @@ for _check, (_body, _needs) in _HIERARCHY.items():
 @query("SELECT d AS domain_id FROM tx_cyclic", "tx_cyclic")
 def hierarchy_cyclic_domains(spark: SparkSession, sf: str) -> DataFrame:
     nodes, edges, _ = taxonomy(spark, sf)
-    return hierarchy.cyclic_domains(ancestor_closure(hierarchy.inner_edges(nodes, edges)))
+    return hierarchy.cyclic_domains(hierarchy.cyclic_components(stage(hierarchy.inner_edges(nodes, edges), "edges")))
+
+
+VIEWS.add("tx_members", """
+SELECT c.a AS domain_id, min(c.d) AS component_id FROM tx_closure c JOIN tx_closure b ON b.d = c.a AND b.a = c.d GROUP BY 1""", "tx_closure")
+VIEWS.add("tx_walks", """
+SELECT DISTINCT component_id, component_id AS tip, [component_id] AS path FROM tx_members UNION ALL
+SELECT w.component_id, e.child_id, list_append(w.path, e.child_id) FROM tx_walks w
+JOIN tx_inner e ON e.parent_id = w.tip JOIN tx_members m ON m.domain_id = e.child_id AND m.component_id = w.component_id
+WHERE (len(w.path) = 1 OR w.tip <> w.component_id) AND NOT list_contains(w.path[2:], e.child_id)""", "tx_inner", "tx_members")
+
+
+@query("""
+SELECT component_id, size, array_to_string(path, ' > ') AS cycle FROM tx_walks
+JOIN (SELECT component_id, count(*) AS size FROM tx_members GROUP BY 1) USING (component_id) WHERE len(path) > 1 AND tip = component_id
+QUALIFY row_number() OVER (PARTITION BY component_id ORDER BY len(path), path) = 1""", "tx_walks", "tx_members")
+def hierarchy_components(spark: SparkSession, sf: str) -> DataFrame:
+    """Strongly connected domains: name, size and one shortest cycle of each component."""
+    nodes, edges, _ = taxonomy(spark, sf)
+    pairs = stage(hierarchy.inner_edges(nodes, edges), "edges")
+    found = hierarchy.cycles(pairs, hierarchy.cyclic_components(pairs))
+    return found.withColumn("cycle", F.array_join("cycle", " > "))
 
 
 # -- comparison of expected tables with a store that drifted -------------------

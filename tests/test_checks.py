@@ -9,7 +9,7 @@ SF = "/root/testdata/sf0.001"
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations").split()
 CHOSEN = [
     "project_members", "author_capability_agg", "gap_cover", "recommend_end_to_end", "authors_extracted", "domains_table",
-    "validator_issues", "quality_homonyms", "hierarchy_maximum_depth", "resolve_names", "resolve_embedding", "capability_extraction",
+    "validator_issues", "quality_homonyms", "hierarchy_maximum_depth", "hierarchy_components", "hierarchy_cyclic_domains", "resolve_names", "resolve_embedding", "capability_extraction",
     "capability_pipeline_rows", "save_extraction_counts", "requirement_pipeline", "requirement_mapping",
 ]
 

@@ -1,11 +1,11 @@
 import datetime
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from kinweave.operators import compare, hierarchy, integrity, quality, report, validation
-from kinweave.operators.graph import ancestor_closure
 
 GOOD = {
     "halId_s": "h", "title_s": "T", "abstract_s": "A", "keyword_s": ["k"], "doiId_s": "d", "authFullName_s": ["A B"],
@@ -64,7 +64,7 @@ def test_hierarchy_faults(spark):
     used = spark.createDataFrame([("a",), ("ghost",), ("e..f",)], "domain_id string")
     checks = hierarchy.all_checks(domains, links, used)
     rows = {n: df.collect() for n, df in checks.items()}
-    assert {r["domain_id"] for r in rows["cyclic_domains"]} == {"x", "y"}
+    assert [tuple(r) for r in rows["cycles"]] == [("x", 2, ["x", "y", "x"])]
     assert [r["domain_id"] for r in rows["orphan_domains"]] == ["lone"]
     assert {(r["child_id"], r["reason"]) for r in rows["missing_hierarchy_endpoints"]} == {(None, "blank"), ("z.z", "absent")}
     assert {(r["child_id"], r["parent_id"]) for r in rows["dotted_prefix_parent_rules"]} == {("x", "y"), ("y", "x"), ("y", "y")}
@@ -75,7 +75,7 @@ def test_hierarchy_faults(spark):
     assert [tuple(r) for r in rows["duplicate_domain_ids"]] == [("x", 2)]
     assert [r["domain_id"] for r in rows["unknown_project_domain_associations"]] == ["ghost"]
     summary = {r["name"]: r["finding_count"] for r in hierarchy.summary(checks).collect()}
-    assert summary["cyclic_domains"] == 2 and len(summary) == 10
+    assert summary["cycles"] == 1 and len(summary) == 10
     with pytest.raises(ValueError):
         hierarchy.excessive_depth(domains, 0)
 
@@ -84,10 +84,59 @@ def test_cyclic_domain_counts_as_root(spark):
     domains = spark.createDataFrame([(i, c, c, None) for i, c in enumerate("abcd")], "ord int, id string, name string, name_fr string")
     edges = spark.createDataFrame([(0, "a", "b"), (1, "b", "a"), (2, "c", "a"), (3, "d", "c")], "ord int, child_id string, parent_id string")
     pairs = hierarchy.inner_edges(domains, edges)
-    levels = {r["domain_id"]: r["levels"] for r in hierarchy.domain_levels(domains, pairs, ancestor_closure(pairs)).collect()}
+    levels = {r["domain_id"]: r["levels"] for r in hierarchy.domain_levels(domains, pairs, hierarchy.cyclic_components(pairs)).collect()}
     assert levels == {"a": 1, "b": 1, "c": 2, "d": 3}
 
 
+def _reach(edges, start):
+    seen, todo = set(), [start]
+    while todo:
+        at = todo.pop()
+        for parent, child in edges:
+            if parent == at and child not in seen:
+                seen.add(child)
+                todo.append(child)
+    return seen
+
+
+def _first_cycle(edges, root):
+    """Shortest closed walk from ``root`` from parent to child, first in order among those of its length."""
+    walks = [[root]]
+    while True:
+        walks = [w + [c] for w in walks for c in sorted(c for p, c in edges if p == w[-1]) if c not in w[1:]]
+        closed = sorted(w for w in walks if w[-1] == root)
+        if closed:
+            return closed[0]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_components_cycles_and_levels_equal_brute_force(spark, seed):
+    rng = random.Random(seed)
+    names = [f"n{i}" for i in range(26)]
+    edges = {(rng.choice(names), rng.choice(names)) for _ in range(30)} | {("n1", "n1"), ("n0", "n2"), ("n2", "n3"), ("n3", "n0"), ("n3", "m"), ("m", "w")}
+    names += ["m", "w"]
+    reach = {n: _reach(edges, n) for n in names}
+    members = {n: min(x for x in reach[n] if n in reach[x]) for n in names if n in reach[n]}
+    domains = spark.createDataFrame([(i, n, n, None) for i, n in enumerate(names)], "ord int, id string, name string, name_fr string")
+    pairs = spark.createDataFrame([(c, p) for p, c in edges], "child_id string, parent_id string")
+    components = hierarchy.cyclic_components(pairs)
+    assert {r["domain_id"]: r["component_id"] for r in components.collect()} == members
+    found = {r["component_id"]: (r["size"], r["cycle"]) for r in hierarchy.cycles(pairs, components).collect()}
+    roots = set(members.values())
+    assert found == {c: (sum(m == c for m in members.values()), _first_cycle({(p, x) for p, x in edges if members.get(p) == c == members.get(x)}, c)) for c in roots}
+
+    def level(n):
+        return 1 if n in members else 1 + max((level(p) for p, c in edges if c == n), default=0)
+
+    assert {r["domain_id"]: r["levels"] for r in hierarchy.domain_levels(domains, pairs, components).collect()} == {n: level(n) for n in names}
+
+
+def test_taxonomy_without_cycles(spark):
+    pairs = spark.createDataFrame([("b", "a"), ("c", "b")], "child_id string, parent_id string")
+    components = hierarchy.cyclic_components(pairs)
+    assert components.collect() == [] and hierarchy.cycles(pairs, components).collect() == []
+
+
 @pytest.fixture
 def graph_tables(spark):
     return {
