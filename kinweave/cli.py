@@ -1,4 +1,4 @@
-"""Command line: ingest, capabilities, export, snapshot, recommend, report."""
+"""Command line: ingest, capabilities, export, snapshot, recommend, compare, integrity, hierarchy, report."""
 
 from __future__ import annotations
 
@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 
 from kinweave import settings
 from kinweave.functions import text as x
-from kinweave.operators import explain
+from kinweave.operators import compare, explain, integrity, quality
 from kinweave.operators import graph as g
 from kinweave.operators import recommend as rec
 from kinweave.operators.canonical import canonical_tables
 from kinweave.operators.capability_pipeline import extract_to_tables
-from kinweave.operators.report import build_report
-from kinweave.session import build_session, stage
+from kinweave.operators.report import build_report, hierarchy_section, integrity_section
+from kinweave.schemas import CANONICAL_TABLES
+from kinweave.session import build_session, stage, stage_all
 from kinweave.sources import paged_api, records, sinks
 
 FEATURES = list(settings.RANKING_WEIGHTS)
@@ -198,11 +199,65 @@ def _snapshot(spark: SparkSession, args: argparse.Namespace) -> int:
     return 0
 
 
+def stored_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The canonical tables below ``path``."""
+    found = {name: sinks.read_table(spark, f"{path}/{name}") for name in CANONICAL_TABLES}
+    absent = [name for name, rows in found.items() if rows is None]
+    if absent:
+        raise FileNotFoundError(f"no table {', '.join(absent)} below {path}")
+    return {name: rows.select(*CANONICAL_TABLES[name]) for name, rows in found.items()}
+
+
+def taxonomy_summary(tables: dict[str, DataFrame]) -> DataFrame:
+    """Findings of each hierarchy check. Rows are told apart by a hash of their key, of which the tables hold one each."""
+    domains = tables["research_domains"].select(F.xxhash64("id").alias("ord"), "id", "name", F.col("nameFr").alias("name_fr"))
+    edges = tables["research_domain_hierarchy"].select(
+        F.xxhash64("childId", "parentId").alias("ord"), F.col("childId").alias("child_id"), F.col("parentId").alias("parent_id"))
+    return hierarchy_section(domains, edges, tables["project_research_domains"].select(F.col("domainId").alias("domain_id")))
+
+
+def _print_rows(df: DataFrame) -> None:
+    """One JSON object per check; their number is fixed."""
+    print(json.dumps([r.asDict() for r in df.collect()], ensure_ascii=False, indent=2))
+
+
+def _integrity(spark: SparkSession, args: argparse.Namespace) -> int:
+    checks = stage(integrity_section(stored_tables(spark, args.tables)), "integrity")
+    _print_rows(checks)
+    _print_rows(integrity.totals(checks))
+    return 0
+
+
+def _hierarchy(spark: SparkSession, args: argparse.Namespace) -> int:
+    _print_rows(taxonomy_summary(stored_tables(spark, args.tables)))
+    return 0
+
+
+def _comparison(spark: SparkSession, docs: DataFrame, tables: str) -> compare.Comparison:
+    return compare.compare_tables(stage_all(canonical_tables(docs)), stored_tables(spark, tables))
+
+
+def _compare(spark: SparkSession, args: argparse.Namespace) -> int:
+    records.check_lines(spark, args.snapshot)
+    docs = stage(records.parse_lines(records.read_lines(spark, args.snapshot)), "records")
+    found = _comparison(spark, docs, args.tables)
+    made = compare.comparison_report(found, quality.duplicate_ids(docs))
+    path = compare.write_comparison(made, found, args.output, args.findings)
+    print(json.dumps(made["summary"], indent=2))
+    print(f"Report: {path}")
+    return 0
+
+
 def _report(spark: SparkSession, args: argparse.Namespace) -> int:
     records.check_lines(spark, args.snapshot)
     docs = stage(records.parse_lines(records.read_lines(spark, args.snapshot)), "records")
     manifest = records.read_manifest(spark, args.manifest) if args.manifest else None
-    print(sinks.write_report(build_report(docs, manifest), args.output))
+    sections = {}
+    if args.tables:
+        tables, found = stored_tables(spark, args.tables), _comparison(spark, docs, args.tables)
+        sections = {"integrity": integrity_section(tables), "hierarchy": taxonomy_summary(tables),
+                    "entity_findings": found.entities, "relation_findings": found.relations}
+    print(sinks.write_report(build_report(docs, manifest, **sections), args.output))
     return 0
 
 
@@ -249,9 +304,20 @@ def parser() -> argparse.ArgumentParser:
     recommend.add_argument("--format", choices=["text", "json"], default="text")
     recommend.add_argument("--no-explain", action="store_true")
     recommend.set_defaults(run=_recommend)
+    compared = sub.add_parser("compare", help="a snapshot's tables against the graph tables")
+    compared.add_argument("--snapshot", required=True)
+    compared.add_argument("--tables", required=True)
+    compared.add_argument("--output", default="reports/comparison.json")
+    compared.add_argument("--findings", help="folder for the finding lists as tables")
+    compared.set_defaults(run=_compare)
+    for name, run, text in (("integrity", _integrity, "integrity checks of the graph tables"), ("hierarchy", _hierarchy, "checks of the domain taxonomy")):
+        checks = sub.add_parser(name, help=text)
+        checks.add_argument("--tables", required=True)
+        checks.set_defaults(run=run)
     report = sub.add_parser("report", help="data-quality report of a snapshot")
     report.add_argument("--snapshot", required=True)
     report.add_argument("--manifest")
+    report.add_argument("--tables", help="graph tables to check and compare as well")
     report.add_argument("--output", default="reports")
     report.set_defaults(run=_report)
     return top

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.operators import authors, compare, domains, hierarchy, integrity, organizations, publications, quality, validation
-from kinweave.operators.canonical import canonical_table, with_project_id
+from kinweave.operators.canonical import canonical_table, canonical_tables, with_project_id
 from kinweave.plans import collab, corpus
 from kinweave.plans.corpus_sql import VIEWS
-from kinweave.session import stage
+from kinweave.schemas import RELATION_ENDPOINTS, TABLE_KEYS
+from kinweave.session import stage, stage_all
 
 QUERIES = {}
 SQL = {}
@@ -405,3 +406,93 @@ def compare_relations(spark: SparkSession, sf: str) -> DataFrame:
     turned = expected.where(F.col("targetId") == 1).select(F.col("targetId").alias("sourceId"), F.col("sourceId").alias("targetId"), "type")
     actual = kept.unionByName(expected.where(F.col("targetId") == 4)).unionByName(turned)
     return compare.compare_relations("organization_relationships", expected, actual, "sourceId", "targetId")
+
+
+# -- comparison of all tables with a store that drifted -------------------------
+
+#: Property that changes in each entity table of the drifted store.
+_CHANGED = {"projects": "doi", "authors": "orcidId", "conferences": "city", "organizations": "acronym", "research_domains": "source"}
+
+
+def drifted_store(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Canonical tables as a store might hold them. The first digit of a key's hash decides: rows are lost (0, 1),
+    doubled (2, 3, 6, 7), changed (4 to 7), and there are nodes and edges of other corpora (8, a) and wrong edges (4, 5)."""
+    store = {}
+    for name, rows in tables.items():
+        keys = list(RELATION_ENDPOINTS.get(name, TABLE_KEYS[name]))
+        marked = rows.withColumn("mark", F.substring(F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys])), 1, 1))
+        other = lambda k: F.concat(F.lit("9"), F.col(k).cast("string")).cast(rows.schema[k].dataType)
+        doubled = F.col("mark").isin("2", "3") | (F.col("mark").isin("6", "7") & F.lit(name in _CHANGED))
+        kept = marked.where(~F.col("mark").isin("0", "1"))
+        if name in _CHANGED:
+            field = _CHANGED[name]
+            kept = kept.withColumn(field, F.when(F.col("mark").isin("4", "5", "6", "7"), F.concat(F.coalesce(field, F.lit("")), F.lit("~"))).otherwise(F.col(field)))
+            strange = marked.where(F.col("mark") == "8").withColumn(keys[0], other(keys[0]))
+        else:
+            strange = marked.where(F.col("mark").isin("4", "5")).withColumn(keys[1], other(keys[1])).unionByName(
+                marked.where(F.col("mark") == "a").withColumns({k: other(k) for k in keys}))
+        store[name] = kept.unionByName(kept.where(doubled)).unionByName(strange).drop("mark")
+    return store
+
+
+def _compared(spark: SparkSession, sf: str) -> compare.Comparison:
+    expected = stage_all(canonical_tables(_records(spark, sf)))
+    return compare.compare_tables(expected, stage_all(drifted_store(expected)))
+
+
+VIEWS.add("store_nodes", """
+SELECT *, substr(md5(id), 1, 1) AS mark FROM (
+SELECT DISTINCT 'projects' AS tbl, hal_id AS id FROM docs UNION ALL SELECT DISTINCT 'authors', id FROM author_rows UNION ALL
+SELECT DISTINCT 'conferences', id FROM conferences UNION ALL SELECT DISTINCT 'organizations', CAST(lab AS VARCHAR) FROM docs UNION ALL
+SELECT DISTINCT 'organizations', CAST(country AS VARCHAR) FROM docs UNION ALL SELECT DISTINCT 'research_domains', code FROM codes)""",
+          "docs", "author_rows", "conferences", "codes")
+VIEWS.add("store_edges", """
+SELECT *, substr(md5(a || '|' || b), 1, 1) AS mark FROM (
+SELECT DISTINCT 'project_authors' AS tbl, project AS a, id AS b FROM author_rows UNION ALL
+SELECT DISTINCT 'project_conferences', project, id FROM conferences UNION ALL
+SELECT DISTINCT 'project_organizations', hal_id, CAST(lab AS VARCHAR) FROM docs UNION ALL
+SELECT DISTINCT 'project_organizations', hal_id, CAST(country AS VARCHAR) FROM docs UNION ALL
+SELECT DISTINCT 'organization_relationships', CAST(lab AS VARCHAR), CAST(country AS VARCHAR) FROM docs UNION ALL
+SELECT DISTINCT 'project_research_domains', project, code FROM codes UNION ALL
+SELECT DISTINCT 'research_domain_hierarchy', lang || '.' || source, lang FROM docs)""", "docs", "author_rows", "conferences", "codes")
+VIEWS.add("store_node_findings", """
+SELECT tbl, id, 'missing_node' AS code FROM store_nodes WHERE mark IN ('0', '1') UNION ALL
+SELECT tbl, id, 'duplicate_node' FROM store_nodes WHERE mark IN ('2', '3', '6', '7') UNION ALL
+SELECT tbl, id, 'field_mismatch' FROM store_nodes WHERE mark IN ('4', '5', '6', '7')""", "store_nodes")
+VIEWS.add("store_edge_findings", """
+SELECT tbl, a, b, 'missing' AS code, 1::BIGINT AS expected_count, 0::BIGINT AS actual_count FROM store_edges WHERE mark IN ('0', '1') UNION ALL
+SELECT tbl, a, b, 'duplicate', 1, 2 FROM store_edges WHERE mark IN ('2', '3') UNION ALL
+SELECT tbl, a, '9' || b, 'unexpected', 0, 1 FROM store_edges WHERE mark IN ('4', '5')""", "store_edges")
+
+
+@query("""SELECT tbl AS "table", id, code, CASE WHEN code <> 'field_mismatch' THEN '' WHEN tbl = 'projects' THEN 'doi' WHEN tbl = 'authors' THEN 'orcidId'
+  WHEN tbl = 'conferences' THEN 'city' WHEN tbl = 'organizations' THEN 'acronym' ELSE 'source' END AS field FROM store_node_findings""", "store_node_findings")
+def compare_store_entities(spark: SparkSession, sf: str) -> DataFrame:
+    """Lost, repeated and changed nodes of all five entity tables."""
+    return _compared(spark, sf).entities.select("table", "id", "code", F.coalesce("field", F.lit("")).alias("field"))
+
+
+@query("""SELECT tbl AS "table", a AS source, b AS target, code, expected_count, actual_count FROM store_edge_findings""", "store_edge_findings")
+def compare_store_relations(spark: SparkSession, sf: str) -> DataFrame:
+    """Lost, repeated and unexpected edges of all six relation tables."""
+    return _compared(spark, sf).relations
+
+
+VIEWS.add("store_counts", """
+SELECT tbl, count(*) FILTER (WHERE code LIKE 'missing%') AS missing, count(*) FILTER (WHERE code LIKE 'duplicate%') AS duplicate,
+  count(*) FILTER (WHERE code = 'field_mismatch') AS mismatched, count(*) FILTER (WHERE code = 'unexpected') AS unexpected
+  FROM (SELECT tbl, code FROM store_node_findings UNION ALL SELECT tbl, code FROM store_edge_findings) GROUP BY 1""",
+          "store_node_findings", "store_edge_findings")
+VIEWS.add("store_sizes", """
+SELECT tbl, count(*) AS expected_count, NULL::BIGINT AS actual_count FROM store_nodes GROUP BY 1 UNION ALL
+  SELECT tbl, count(*), CAST(sum(CASE WHEN mark IN ('0', '1') THEN 0 WHEN mark IN ('2', '3', '4', '5') THEN 2 ELSE 1 END) AS BIGINT) FROM store_edges GROUP BY 1""", "store_nodes", "store_edges")
+
+
+@query("""
+SELECT tbl AS "table", expected_count, actual_count,
+  CASE WHEN actual_count IS NULL THEN expected_count - coalesce(missing, 0) END AS matched_count,
+  coalesce(missing, 0) AS missing, coalesce(duplicate, 0) AS duplicate, coalesce(mismatched, 0) AS mismatched, coalesce(unexpected, 0) AS unexpected
+FROM store_sizes LEFT JOIN store_counts USING (tbl)""", "store_sizes", "store_counts")
+def compare_store_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Expected, present and faulty rows of all eleven tables."""
+    return _compared(spark, sf).summary

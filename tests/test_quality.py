@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinweave.operators import compare, hierarchy, integrity, quality, report, validation
+from kinweave.operators.canonical import canonical_tables
+from kinweave.session import stage_all
 
 GOOD = {
     "halId_s": "h", "title_s": "T", "abstract_s": "A", "keyword_s": ["k"], "doiId_s": "d", "authFullName_s": ["A B"],
@@ -177,6 +179,60 @@ def test_comparison(spark):
     assert sorted((r["source"], r["code"]) for r in rows.collect()) == [("a", "missing"), ("b", "duplicate"), ("c", "unexpected")]
 
 
+def test_store_comparison(spark, records, tmp_path):
+    docs = records({**GOOD, "authIdHal_s": ["a-b"], "domainAllCode_s": ["x", "x.y"]}, {**GOOD, "halId_s": "h2"}, GOOD)
+    expected = stage_all(canonical_tables(docs))
+    same = compare.comparison_report(compare.compare_tables(expected, expected), quality.duplicate_ids(docs))
+    assert (same["summary"]["errors"], same["summary"]["warnings"]) == (0, 1)
+    assert same["source_duplicates"]["duplicate_project_record_count"] == 1 and len(same["cause_hypotheses"]) == 1
+    projects, edges = expected["projects"], expected["project_authors"]
+    store = {**expected, "project_authors": edges.where("projectHalId <> 'h2'"), "authors": expected["authors"].limit(0),
+             "projects": projects.withColumn("doi", F.when(F.col("halId") == "h", "other").otherwise(F.col("doi"))).union(projects.where("halId = 'h2'")).union(
+                 projects.where("halId = 'h2'").withColumn("halId", F.lit("stranger")))}
+    found = compare.compare_tables(expected, store, 7)
+    made = compare.comparison_report(found, quality.duplicate_ids(docs))
+    rows = found.entities.where("table = 'projects'").collect()
+    assert sorted((r["id"], r["code"], r["field"], r["actual"]) for r in rows if r["code"] == "field_mismatch") == [("h", "field_mismatch", "doi", '{"v":"other"}')]
+    assert [(r["id"], r["actual"]) for r in rows if r["code"] == "duplicate_node"] == [("h2", "2")]
+    assert made["entities"]["projects"] == {"expected_count": 2, "matched_count": 2, "missing": 0, "duplicate": 1, "mismatched": 1, "unexpected": 0}
+    assert made["relationships"]["project_authors"] == {
+        "expected_count": edges.count(), "actual_count": edges.where("projectHalId <> 'h2'").count(), "missing": 1, "duplicate": 0, "mismatched": 0, "unexpected": 0}
+    n = expected["authors"].count()
+    assert made["summary"]["error_categories"] == {"missing_node": n, "duplicate_node": 1, "field_mismatch": 1, "relationship_mismatch": 1}
+    assert made["summary"]["errors"] == n + 3 and len(made["cause_hypotheses"]) == 5
+    path = compare.write_comparison(made, found, str(tmp_path / "r" / "c.json"), str(tmp_path / "lists"))
+    assert json.loads(path.read_text())["summary"] == made["summary"]
+    assert spark.read.parquet(str(tmp_path / "lists/entities")).count() == found.entities.count()
+
+
+def test_equal_buckets_are_not_joined(spark):
+    rows = spark.range(5000).select(F.col("id").cast("string").alias("k"), F.lit(None).cast("string").alias("a"), F.col("id").cast("string").alias("b"))
+    changed = rows.withColumn("a", F.when(F.col("k") == "17", "x")).withColumn("b", F.when(F.col("k") == "18", None).otherwise(F.col("b")))
+    assert compare.differing_buckets(rows, rows.repartition(7), ["k"], ["a", "b"]).where("differs").count() == 0
+    assert compare.differing_buckets(rows, changed, ["k"], ["a", "b"]).where("differs").count() == 2
+    doubled = rows.union(rows.where("k = '3'")).union(rows.where("k = '3'"))
+    assert compare.differing_buckets(rows, doubled, ["k"], ["a", "b"]).where("differs").count() == 1
+
+
+def test_commands_check_and_compare(spark, tmp_path, capsys):
+    from kinweave import cli
+
+    path, tables = tmp_path / "records.jsonl", str(tmp_path / "tables")
+    path.write_text("\n".join(json.dumps(d) for d in (GOOD, {**GOOD, "halId_s": "h2"})), encoding="utf-8")
+    assert cli.main(["ingest", "--snapshot", str(path), "--tables", tables]) == 0
+    capsys.readouterr()
+    cli.main(["integrity", "--tables", tables])
+    assert '"name": "duplicate_ids"' in capsys.readouterr().out
+    cli.main(["hierarchy", "--tables", tables])
+    assert {r["name"]: r["status"] for r in json.loads(capsys.readouterr().out)}["cycles"] == "pass"
+    cli.main(["compare", "--snapshot", str(path), "--tables", tables, "--output", str(tmp_path / "c.json")])
+    assert json.loads((tmp_path / "c.json").read_text())["summary"]["errors"] == 0
+    cli.main(["report", "--snapshot", str(path), "--tables", tables, "--output", str(tmp_path / "out")])
+    made = json.loads(next((tmp_path / "out").glob("*.json")).read_text())
+    assert [made[k]["status"] for k in ("integrity", "hierarchy", "comparison")] == ["completed"] * 3
+    assert not any("not run" in r for r in made["open_risks"])
+
+
 def test_report(records, tmp_path):
     from kinweave.sources.sinks import write_report
 
