@@ -12,7 +12,7 @@ from kinweave.session import build_session
 HEADLINE = [
     "recommend_end_to_end", "coauthor_distance", "author_capability_agg", "capability_evidence_join",
     "project_domains_with_ancestors", "authors_extracted", "canonical_table_counts", "issue_counts",
-    "quality_homonyms", "integrity_relationship_multiplicity", "resolve_embedding", "normalize_text",
+    "quality_homonyms", "integrity_relationship_multiplicity", "resolve_embedding", "normalize_text", "leave_one_out_eval",
 ]
 
 

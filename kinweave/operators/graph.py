@@ -180,11 +180,14 @@ def coauthor_distance(
     """Fewest co-authorship hops from each person to a team, (target_id, person_id, hops).
 
     ``team`` is (target_id, person_id); members have 0 hops; people further than ``max_hops`` get no
-    row. With ``people`` given, the last hop is walked from their side: a person is at the last
-    distance when one of their own co-authors is one hop nearer, which spares the widest expansion.
-    Each hop is written out, so that the next one does not walk the earlier ones again.
+    row. With ``people`` given, the last hop is walked from both sides: a person is at the last
+    distance when one of their own projects has a member one hop nearer, which spares the widest expansion.
+    Each hop is written out, so that the next one does not walk the earlier ones again. Projects of a
+    single person lead nowhere and are left out before the first hop.
     """
     keys = ["target_id"]
+    shared = wrote.groupBy("project_id").agg(F.min("person_id").alias("a"), F.max("person_id").alias("b")).where("a <> b").select("project_id")
+    wrote = stage(wrote.select("person_id", "project_id").join(shared, "project_id", "left_semi"), "shared-projects")
     pair = [*keys, "person_id"]
     team = team.select(*pair).distinct()
     known = team.withColumn("hops", F.lit(0))
@@ -198,8 +201,8 @@ def coauthor_distance(
     asked = people.select(*pair).distinct()
     near = asked.join(known, pair)
     far = asked.join(known, pair, "left_anti")
-    around = _coauthors(far.withColumn("origin", F.col("person_id")), wrote, [*keys, "origin"])
-    last = around.join(frontier, pair, "left_semi").select("target_id", F.col("origin").alias("person_id")).distinct()
+    reached = frontier.join(wrote, "person_id").select(*keys, "project_id").distinct()
+    last = far.join(wrote, "person_id").join(reached, [*keys, "project_id"], "left_semi").select(*pair).distinct()
     return near.unionByName(last.withColumn("hops", F.lit(max_hops)))
 
 
@@ -215,6 +218,14 @@ class Candidates:
     matches: DataFrame
 
 
+def person_domains(graph: GraphTables, closure: DataFrame | None = None) -> DataFrame:
+    """Distinct (person_id, domain_id) over all projects; with ``closure`` the ancestors of their domains too."""
+    links = graph.project_domain.select("project_id", "domain_id")
+    if closure is not None:
+        links = with_ancestors(links, closure, ["project_id"])
+    return graph.wrote.select("person_id", "project_id").join(links, "project_id").select("person_id", "domain_id").distinct()
+
+
 def find_candidates(
     graph: GraphTables,
     wanted_domains: DataFrame,
@@ -223,28 +234,25 @@ def find_candidates(
     limit: int | None = None,
     by_matches: bool = True,
     closure: DataFrame | None = None,
+    shows: DataFrame | None = None,
 ) -> Candidates:
     """People with a project in a wanted domain or with a wanted capability, team left out; all of them unless ``limit`` is given.
 
     ``by_matches`` orders by matched capabilities, matched domains, identifier; otherwise by
     identifier alone. ``closure`` also counts the ancestors of a project's domains as matches.
+    ``shows`` are ``person_domains`` known already.
     """
-    links = graph.project_domain.select("project_id", "domain_id")
-    if closure is not None:
-        links = with_ancestors(links, closure, ["project_id"])
-    in_domain = (
-        wanted_domains.select("target_id", "domain_id").distinct()
-        .join(links, "domain_id")
-        .join(graph.wrote.select("person_id", "project_id"), "project_id")
-        .select("target_id", "person_id", F.lit("domain").alias("kind"), F.col("domain_id").alias("id"))
-    )
+    shows = person_domains(graph, closure) if shows is None else shows
+    in_domain = wanted_domains.select("target_id", "domain_id").distinct().join(shows, "domain_id").select(
+        "target_id", "person_id", F.lit("domain").alias("kind"), F.col("domain_id").alias("id"))
     able = (
         wanted_capabilities.select("target_id", "capability_id").where(F.col("capability_id").isNotNull()).distinct()
-        .join(graph.has_capability.select("person_id", "capability_id"), "capability_id")
+        .join(graph.has_capability.select("person_id", "capability_id").distinct(), "capability_id")
         .select("target_id", "person_id", F.lit("capability").alias("kind"), F.col("capability_id").alias("id"))
     )
     pair = ["target_id", "person_id"]
-    matches = in_domain.unionByName(able).distinct().join(excluded.select(*pair).distinct(), pair, "left_anti")
+    # both sides of each join are distinct, so are the matches
+    matches = in_domain.unionByName(able).join(excluded.select(*pair).distinct(), pair, "left_anti")
     counted = matches.groupBy(*pair).agg(
         F.count_if(F.col("kind") == "capability").alias("n_caps"), F.count_if(F.col("kind") == "domain").alias("n_domains")
     )

@@ -17,6 +17,7 @@ from kinweave.operators.graph import (
     candidate_evidence,
     coauthor_distance,
     find_candidates,
+    person_domains,
     project_page,
     with_ancestors,
 )
@@ -125,80 +126,78 @@ def target_profile(targets: Targets, gaps: DataFrame, team_caps: DataFrame) -> D
     )
 
 
-def candidate_profile(graph: GraphTables, candidates: Candidates, evidence: DataFrame) -> DataFrame:
-    """What a candidate shows, one row per (target_id, person_id, key), and the years it was shown in.
+@dataclass(frozen=True)
+class PersonTables:
+    """What people show whatever the target, one pass over the graph for any number of targets.
 
-    Project evidence only dates a candidate: it keeps its years under an empty key. An identifier that
-    is not in lower case also stands under its lower-cased form, for requirements met by name.
+    domains(person_id, domain_id) of all their projects; keys(person_id, key, own, both): capability identifiers (own)
+    and their lower-cased forms, ``both`` where the key is also one of their domains; dates(person_id, n_able, last_year).
     """
-    people = candidates.people.select(*PAIR)
-    able = people.join(graph.has_capability.select("person_id", "capability_id", "last_seen_year"), "person_id")
-    year = F.col("year").cast("int").alias("year")
-
-    def rows(df: DataFrame, key, able=False, matched=False, shown=True, year=F.lit(None).cast("int").alias("year")):
-        return df.select(
-            *PAIR, key.alias("key"), F.lit(able).alias("able"), F.lit(matched).alias("matched"), F.lit(shown).alias("shown"), year
-        )
 
-    lowered = able.where(F.col("capability_id") != F.lower("capability_id"))
-    is_project = F.col("kind") == "project"
-    parts = [
-        rows(able, F.col("capability_id"), able=True, year=F.col("last_seen_year").cast("int").alias("year")),
-        rows(lowered, F.lower("capability_id"), shown=False),
-        rows(candidates.matches.where(F.col("kind") == "domain"), F.col("id"), matched=True),
-        rows(evidence.where(~is_project), F.col("id"), year=year),
-        rows(evidence.where(is_project), F.lit(""), shown=False, year=year),
-    ]
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    return every.groupBy(*PAIR, "key").agg(
-        *[F.bool_or(c).alias(c) for c in ("able", "matched", "shown")], F.max("year").alias("year")
-    )
+    domains: DataFrame
+    keys: DataFrame
+    dates: DataFrame
 
 
-def compute_features(
-    targets: Targets, gaps: DataFrame, profile: DataFrame, shown: DataFrame, people: DataFrame, distance: DataFrame,
-) -> DataFrame:
+def person_tables(graph: GraphTables, domains: DataFrame) -> PersonTables:
+    """Tables of all people, written out; ``domains`` is ``person_domains`` of the same graph."""
+    able = graph.has_capability.groupBy("person_id", "capability_id").agg(F.max(F.col("last_seen_year").cast("int")).alias("year"))
+    lowered = able.where(F.col("capability_id") != F.lower("capability_id"))
+    spelled = able.select("person_id", F.col("capability_id").alias("key"), F.lit(True).alias("own")).unionByName(
+        lowered.select("person_id", F.lower("capability_id").alias("key"), F.lit(False).alias("own")))
+    keys = spelled.groupBy("person_id", "key").agg(F.bool_or("own").alias("own"))
+    shown = domains.select("person_id", F.col("domain_id").alias("key"), F.lit(True).alias("both"))
+    keys = keys.join(shown, ["person_id", "key"], "left").withColumn("both", F.coalesce("both", F.lit(False)))
+    published = graph.wrote.select("person_id", "project_id").join(graph.projects.select("project_id", "year"), "project_id")
+    every = able.select("person_id", F.lit(1).alias("n"), "year").unionByName(
+        published.select("person_id", F.lit(0).alias("n"), F.col("year").cast("int").alias("year")))
+    dates = every.groupBy("person_id").agg(F.sum("n").alias("n_able"), F.max("year").alias("last_year"))
+    made = stage_all({"person-keys": keys, "person-dates": dates})
+    return PersonTables(domains, made["person-keys"], made["person-dates"])
+
+
+def overlaps(profile: DataFrame, persons: PersonTables) -> DataFrame:
+    """(target_id, person_id) with counts of the capabilities a person has that the target names, and the importance of
+    the open requirements the person meets. Only common keys are joined; of what a person shows beside, sizes suffice."""
+    flags = profile.select("target_id", "key", "wanted", "domain", "required", "team")
+    counts = persons.keys.where("own").join(flags.where("wanted OR domain OR required OR team"), "key").groupBy(*PAIR).agg(
+        F.count_if("required").alias("n_required"), F.count_if("team").alias("n_team"),
+        F.count_if(F.col("required") & ~F.col("team")).alias("n_required_new"), F.count_if("wanted").alias("n_wanted_able"),
+        F.count_if(F.col("both") & F.col("domain")).alias("n_both"))
+    open_keys = profile.where(F.size("gaps") > 0).select("target_id", "key", "domain", "gaps")
+    meets = persons.keys.join(open_keys, "key").select(*PAIR, "gaps").unionByName(
+        persons.domains.withColumnRenamed("domain_id", "key").join(open_keys.where("domain"), "key").select(*PAIR, "gaps"))
+    met = F.array_distinct(F.flatten(F.collect_list("gaps")))
+    gained = meets.groupBy(*PAIR).agg(F.aggregate(F.array_sort(met), F.lit(0.0), lambda total, m: total + m["importance"]).alias("gained"))
+    return counts.join(gained, PAIR, "full_outer")
+
+
+def compute_features(gaps: DataFrame, profile: DataFrame, persons: PersonTables, people: DataFrame, distance: DataFrame) -> DataFrame:
     """The seven features per candidate, each in [0, 1].
 
-    One join of what candidates show with what targets ask, one aggregate that counts every overlap.
-    A candidate's profile is never gathered; only the open requirements it meets are, and those are
-    no more than the target has.
+    Counts that do not depend on the target are read per person, matched domains were counted with the candidates, and
+    what is left are keys that target and person have in common.
     """
-    joined = shown.join(profile, ["target_id", "key"], "left")
-    is_set = lambda name: F.coalesce(F.col(name), F.lit(False))
-    met = F.array_distinct(F.flatten(F.collect_list(F.when(F.size("gaps") > 0, F.col("gaps")))))
-    counts = joined.groupBy(*PAIR).agg(
-        F.count_if("able").alias("n_able"),
-        F.count_if(F.col("able") & is_set("required")).alias("n_required"),
-        F.count_if(F.col("able") & ~is_set("team")).alias("n_new"),
-        F.count_if(F.col("able") & is_set("required") & ~is_set("team")).alias("n_required_new"),
-        F.count_if("shown").alias("n_shown"),
-        F.count_if(F.col("shown") & is_set("wanted")).alias("n_common"),
-        F.count_if("matched").alias("n_matched"),
-        F.count_if(F.col("matched") & is_set("domain")).alias("n_matched_target"),
-        F.aggregate(F.array_sort(met), F.lit(0.0), lambda total, m: total + m["importance"]).alias("gained"),
-        F.max("year").alias("last_year"),
-    )
     sizes = profile.groupBy("target_id").agg(
         F.count_if("domain").alias("n_target_domains"), F.count_if("required").alias("n_target_required"),
         F.count_if("wanted").alias("n_wanted"),
     )
     importance = gap_importance(gaps).withColumnRenamed("importance", "open_importance")
     whole = (
-        people.select(*PAIR).join(counts, PAIR, "left").join(distance.select(*PAIR, "hops"), PAIR, "left")
-        .join(sizes, "target_id", "left").join(importance, "target_id", "left")
+        people.select(*PAIR, "n_domains").join(overlaps(profile, persons), PAIR, "left").join(distance.select(*PAIR, "hops"), PAIR, "left")
+        .join(persons.dates, "person_id", "left").join(sizes, "target_id", "left").join(importance, "target_id", "left")
     )
     zero = lambda name: F.coalesce(F.col(name), F.lit(0))
+    # matched domains are all wanted; one that is also a capability of the person counts once
+    beside = zero("n_domains") - zero("n_both")
     return whole.select(
         *PAIR,
         share(zero("gained"), zero("open_importance")).alias("gap_match"),
-        jaccard(zero("n_matched_target"), zero("n_matched"), zero("n_target_domains")).alias("domain_relevance"),
+        jaccard(zero("n_domains"), zero("n_domains"), zero("n_target_domains")).alias("domain_relevance"),
         share(zero("n_required"), zero("n_target_required")).alias("semantic"),
         F.when(zero("n_target_required") > 0, share(zero("n_required_new"), zero("n_required")))
-        .otherwise(share(zero("n_new"), zero("n_able"))).alias("complementarity"),
-        tversky(zero("n_common"), zero("n_wanted"), zero("n_shown")).alias("project_similarity"),
+        .otherwise(share(zero("n_able") - zero("n_team"), zero("n_able"))).alias("complementarity"),
+        tversky(zero("n_wanted_able") + beside, zero("n_wanted"), zero("n_able") + beside).alias("project_similarity"),
         proximity(F.col("hops")).alias("graph"),
         recency(F.col("last_year")).alias("recency"),
     )
@@ -238,24 +237,20 @@ def recommend(
 ) -> Recommendation:
     """Gaps, candidates, evidence, features and ranking for all targets at once.
 
-    All candidates are scored unless ``candidate_limit`` cuts them per target. The set is written out, since evidence,
-    distance and every feature start from it, and with its true size known those joins need no
-    shuffle of the large edge tables.
+    All candidates are scored unless ``candidate_limit`` cuts them per target. Their pairs with the targets are written
+    out; matches and evidence are rows to be asked for, no feature needs them.
     """
-    found = find_candidates(
-        graph, targets.domains, targets.requirements, targets.team, candidate_limit, by_matches, closure
-    )
+    shows = stage(person_domains(graph, closure), "person-domains")
+    found = find_candidates(graph, targets.domains, targets.requirements, targets.team, candidate_limit, by_matches, shows=shows)
     first = stage_all({"team-caps": team_capabilities(graph, targets.team), "candidates": found.people})
     team_caps, people = first["team-caps"], first["candidates"]
     gaps = capability_gaps(targets.requirements, team_caps)
-    kept = found.matches.join(people.select(*PAIR), PAIR, "left_semi")
-    second = stage_all({"gaps": gaps, "matches": kept, "profile": target_profile(targets, gaps, team_caps)})
+    second = stage_all({"gaps": gaps, "profile": target_profile(targets, gaps, team_caps)})
     gaps, profile = second["gaps"], second["profile"]
-    candidates = Candidates(people, second["matches"])
+    candidates = Candidates(people, found.matches.join(people.select(*PAIR), PAIR, "left_semi"))
     evidence = candidate_evidence(graph, people, targets.domains, targets.requirements)
-    distance = coauthor_distance(graph.wrote, targets.team, people)
-    shown = candidate_profile(graph, candidates, evidence)
-    features = stage(compute_features(targets, gaps, profile, shown, people, distance), "features")
+    distance = stage(coauthor_distance(graph.wrote, targets.team, people), "distance")
+    features = stage(compute_features(gaps, profile, person_tables(graph, shows), people, distance), "features")
     return Recommendation(gaps, candidates, evidence, features, rank_candidates(features, weights, top_k))
 
 

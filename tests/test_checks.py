@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 SF = "/root/testdata/sf0.001"
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations").split()
 CHOSEN = [
-    "project_members", "author_capability_agg", "gap_cover", "recommend_end_to_end", "authors_extracted", "domains_table",
+    "project_members", "author_capability_agg", "gap_cover", "leave_one_out_eval", "recommend_end_to_end", "authors_extracted", "domains_table",
     "validator_issues", "quality_homonyms", "hierarchy_maximum_depth", "hierarchy_components", "compare_store_summary", "hierarchy_cyclic_domains", "resolve_names", "resolve_embedding", "capability_extraction",
     "capability_pipeline_rows", "save_extraction_counts", "requirement_pipeline", "requirement_mapping",
 ]
