@@ -193,7 +193,11 @@ def _export(spark: SparkSession, args: argparse.Namespace) -> int:
 
 
 def _snapshot(spark: SparkSession, args: argparse.Namespace) -> int:
-    lines = stage(paged_api.read_publications(spark, args.url, query=args.query, sort="halId_s asc"), "lines")
+    asked = {"query": args.query, "sort": "halId_s asc"}
+    if args.pages:
+        lines = paged_api.harvest(spark, args.url, args.pages, **asked)
+    else:
+        lines = stage(paged_api.read_publications(spark, args.url, **asked), "lines")
     found = paged_api.count_publications(args.url, query=args.query)
     print(sinks.write_snapshot(lines, args.output, found, args.query, "halId_s asc"))
     return 0
@@ -294,6 +298,7 @@ def parser() -> argparse.ArgumentParser:
     snapshot.add_argument("--url", required=True)
     snapshot.add_argument("--query", default=settings.FULL_QUERY)
     snapshot.add_argument("--output", required=True)
+    snapshot.add_argument("--pages", help="folder that keeps fetched pages, so that the same call goes on after a failure")
     snapshot.set_defaults(run=_snapshot)
     recommend = sub.add_parser("recommend", help="collaborators for a publication or a text")
     recommend.add_argument("--tables", required=True)

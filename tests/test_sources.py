@@ -50,6 +50,47 @@ def test_pages_and_queries():
         paged_api.unwrap({"response": {}})
 
 
+def test_harvest_goes_on_where_it_failed(spark, tmp_path):
+    log, state = tmp_path / "log", tmp_path / "state"
+    log.mkdir()
+    state.mkdir()
+    marks = (str(log), str(state))
+
+    class Flaky(paged_api.PublicationPages):
+        @classmethod
+        def name(cls):
+            return "flaky_pages"
+
+        @staticmethod
+        def fetch(url, params):
+            import os
+            import uuid
+
+            start, rows = int(params["start"]), int(params["rows"])
+            found = 7 if os.path.exists(f"{marks[1]}/grown") else 5
+            if rows:
+                open(f"{marks[0]}/{start}-{uuid.uuid4().hex}", "w").close()
+            if start == 2 and rows and not os.path.exists(f"{marks[1]}/tried"):
+                open(f"{marks[1]}/tried", "w").close()
+                raise OSError("cut off")
+            return {"response": {"numFound": found, "docs": [{"halId_s": f"h{i}"} for i in range(found)][start:start + rows]}}
+
+    folder = str(tmp_path / "pages")
+    ask = lambda **more: paged_api.harvest(spark, "flaky:", folder, Flaky, 2, rowsperpage="2", **more)
+    fetched = lambda: sorted(f.split("-")[0] for f in os.listdir(log))
+    with pytest.raises(paged_api.HarvestIncomplete, match="1 of 3 pages"):
+        ask()
+    assert fetched() == ["0", "2", "4"]
+    rows = ask().orderBy("doc_ord").collect()
+    assert [r["doc_ord"] for r in rows] == [0, 1, 2, 3, 4] and json.loads(rows[4]["value"]) == {"halId_s": "h4"}
+    assert fetched() == ["0", "2", "2", "4"]
+    assert ask().count() == 5 and len(fetched()) == 4
+    (state / "grown").touch()
+    assert [r["doc_ord"] for r in ask().orderBy("doc_ord").collect()] == list(range(7)) and fetched() == ["0", "2", "2", "4", "4", "6"]
+    with pytest.raises(ValueError, match="another request"):
+        ask(sort="x")
+
+
 def test_api_scan_and_snapshot(spark, tmp_path):
     lines = paged_api.read_publications(spark, "stub:", stub_api(), rowsperpage="2", sort="halId_s asc")
     assert lines.rdd.getNumPartitions() == 3 and lines.count() == 5
