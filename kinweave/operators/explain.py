@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinweave.functions.text import cited_ids, strip
+from kinweave.session import stage
 
 PAIR = ["target_id", "person_id"]
 CITED_CAPABILITIES = 3
@@ -126,14 +127,81 @@ def verified_explanations(generated: DataFrame, templates: DataFrame, valid: Dat
     )
 
 
+#: Evidence of each kind that a prompt shows, the first in evidence order.
+PROMPT_EVIDENCE = 20
+INSTRUCTIONS = (
+    "Explain in two to four sentences why this researcher fits the target as a collaborator.\n"
+    "- Rely on the evidence below alone; invent no publication, skill, affiliation or relation.\n"
+    "- Write 'publication evidence related to X'; do not call anybody an expert.\n"
+    "- Put the identifier behind each claim in square brackets. Allowed are those listed as evidence and the candidate's own.\n"
+    "- Name the caveats. Do not speak of databases or queries."
+)
+
+
+def explanation_contexts(
+    ranked: DataFrame, evidence: DataFrame, gaps: DataFrame, titles: DataFrame | None = None, per_kind: int = PROMPT_EVIDENCE,
+) -> DataFrame:
+    """One row per candidate: ranked columns with title, evidence (kind, id, text, year), missing and covered.
+
+    Only the first ``per_kind`` evidence rows of each kind are gathered; a ranking window with a limit drops the rest in
+    each task. titles(target_id, title) may name the targets.
+    """
+    shown = evidence.join(ranked.select(*PAIR), PAIR, "left_semi")
+    place = F.row_number().over(W.partitionBy(*PAIR, "kind").orderBy("ord"))
+    items = shown.withColumn("place", place).where(F.col("place") <= per_kind).groupBy(*PAIR).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("ord", "kind", "id", "text", "year"))),
+                    lambda e: F.struct(e["kind"].alias("kind"), e["id"].alias("id"), e["text"].alias("text"), e["year"].alias("year"))).alias("evidence"))
+    met = covered_gaps(ranked, evidence, gaps).groupBy(*PAIR).agg(F.array_sort(F.collect_set("name")).alias("covered"))
+    known = gaps.select("target_id").distinct().withColumn("gaps_known", F.lit(True))
+    rows = ranked.join(items, PAIR, "left").join(met, PAIR, "left").join(known, "target_id", "left")
+    rows = rows.withColumn("title", F.lit("")) if titles is None else rows.join(titles.select("target_id", "title"), "target_id", "left")
+    none = "array<struct<kind:string,id:string,text:string,year:int>>"
+    return rows.withColumns({
+        "title": F.coalesce(F.nullif("title", F.lit("")), "target_id"), "missing": caveats(F.col("gaps_known").isNotNull()),
+        "evidence": F.coalesce(F.col("evidence").cast(none), F.array().cast(none)), "covered": F.coalesce("covered", F.array().cast("array<string>")),
+    }).drop("gaps_known")
+
+
 def context_text(features: list[str]) -> Column:
-    """Candidate facts as lines, for a prompt: scores and contributions."""
-    lines = [
-        F.format_string("- " + n + ": score=%.3f, contribution=%.3f", F.col(n), F.col(f"contrib_{n}")) for n in features
-    ]
+    """A row of ``explanation_contexts`` as lines: who is meant, scores and contributions, evidence, caveats."""
+    scores = [F.format_string("- " + n + ": score=%.3f, contribution=%.3f", F.col(n), F.col(f"contrib_{n}")) for n in features]
     head = F.format_string("### Candidate: %s (ID: %s)", "full_name", "person_id")
     kind = F.concat(F.lit("Placeholder ID: "), F.when(F.col("is_placeholder"), "Yes (unreliable author identity)").otherwise("No"))
-    return F.concat_ws("\n", head, kind, F.concat(F.lit("Target Project: "), F.col("target_id")), *lines)
+
+    def line(e: Column) -> Column:
+        year = F.when(e["year"].isNotNull() & (e["year"] != 0), F.concat(F.lit(" (Year: "), e["year"], F.lit(")"))).otherwise("")
+        return F.concat(F.lit("- ["), e["id"], F.lit("] ("), e["kind"], F.lit("): "), e["text"], year)
+
+    def listed(values: Column, empty: str) -> Column:
+        return F.when(F.size(values) > 0, F.array_join(values, "\n")).otherwise(F.lit(empty))
+
+    return F.concat_ws(
+        "\n", head, kind, F.concat(F.lit("Target Project: "), F.col("title")), F.lit("\n#### Scores and contributions"), *scores,
+        F.lit("\n#### Evidence (identifiers that may be cited in brackets)"), listed(F.transform("evidence", line), "- None."),
+        F.lit("\n#### Caveats"), listed(F.transform("missing", lambda m: F.concat(F.lit("- "), m)), "- None noted."))
+
+
+def explanation_prompts(contexts: DataFrame, features: list[str]) -> DataFrame:
+    """(target_id, person_id, prompt)."""
+    return contexts.select(*PAIR, F.concat(F.lit(INSTRUCTIONS + "\n\n"), context_text(features), F.lit("\n\nExplanation:")).alias("prompt"))
+
+
+def explain_candidates(
+    ranked: DataFrame, evidence: DataFrame, gaps: DataFrame, features: list[str], backend: Callable[[str], str] | None = None,
+    titles: DataFrame | None = None, per_kind: int = PROMPT_EVIDENCE,
+) -> DataFrame:
+    """(target_id, person_id, explanation, cited_ids, used_template, fallback_reason) of every ranked candidate.
+
+    Each candidate's context goes to the backend once, and answers are written out before they are read several times.
+    A text stays if all it cites is known of the candidate; a failed call, an unknown identifier or no backend at
+    all leads to the template.
+    """
+    templates = template_explanations(ranked, evidence, gaps)
+    if backend is None:
+        texts = ranked.select(*PAIR, F.lit(None).cast("string").alias("explanation"), F.lit(None).cast("string").alias("error"))
+    else:
+        texts = stage(generate(explanation_prompts(explanation_contexts(ranked, evidence, gaps, titles, per_kind), features), backend), "explanations")
+    return verified_explanations(texts, templates, valid_ids(ranked, evidence))
 
 
 def generate(prompts: DataFrame, backend: Callable[[str], str]) -> DataFrame:

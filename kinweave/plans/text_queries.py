@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from kinweave.plans import corpus
 from kinweave.plans.collab import table
 from kinweave.plans.collab_sql import VIEWS
 from kinweave.plans.graph_queries import _recommendation
+from kinweave.sources import nested_graph
 
 QUERIES = {}
 SQL = {}
@@ -346,3 +349,60 @@ def citation_verification(spark: SparkSession, sf: str) -> DataFrame:
                               F.lit(None).cast("string").alias("error"))
     out = explain.verified_explanations(texts, templates, explain.valid_ids(res.ranked, res.evidence))
     return out.select("target_id", "person_id", "used_template", "fallback_reason")
+
+
+@query("""
+SELECT target_id, person_id, count(*) FILTER (WHERE id IS NOT NULL) AS n_items,
+  coalesce(string_agg('- [' || id || '] (' || kind || '): ' || text || CASE WHEN year <> 0 THEN ' (Year: ' || year || ')' ELSE '' END, chr(10)
+    ORDER BY kind = 'capability', project_id, kind <> 'project', id), '- None.') AS items
+FROM (SELECT r.target_id, r.person_id, kind, id, text, project_id, year FROM ranked r LEFT JOIN (
+  SELECT * FROM evidence QUALIFY row_number() OVER (PARTITION BY target_id, person_id, kind ORDER BY project_id, id) <= 3) e
+  ON e.target_id = r.target_id AND e.person_id = r.person_id) GROUP BY 1, 2""", "ranked", "evidence")
+def explanation_prompt(spark: SparkSession, sf: str) -> DataFrame:
+    """Evidence lines of each candidate's prompt, the first three of each kind."""
+    res = _recommendation(spark, sf)
+    contexts = explain.explanation_contexts(res.ranked, res.evidence, res.gaps, per_kind=3)
+    prompts = explain.explanation_prompts(contexts, list(settings.RANKING_WEIGHTS)).join(contexts.select(*explain.PAIR, F.size("evidence").cast("long").alias("n_items")), explain.PAIR)
+    lines = F.regexp_extract("prompt", r"(?s)#### Evidence[^\n]*\n(.*?)\n\n#### Caveats", 1)
+    return prompts.select("target_id", "person_id", "n_items", lines.alias("items"))
+
+
+@query("""
+SELECT target_id, person_id, rank % 3 <> 0 AS used_template, CASE rank % 3 WHEN 1 THEN 'Rejected: cited unknown IDs [''nowhere'']'
+  WHEN 2 THEN 'LLM failure: refused' END AS fallback_reason FROM ranked""", "ranked")
+def explanations_with_backend(spark: SparkSession, sf: str) -> DataFrame:
+    """Prompt, call, verification and template in one: by rank the backend cites wrongly, fails, or cites the candidate."""
+    res = _recommendation(spark, sf)
+    ranked = res.ranked.withColumn("full_name", F.concat("full_name", F.lit(" #"), F.col("rank") % 3))
+
+    def backend(prompt: str) -> str:
+        head = prompt.split("### Candidate: ", 1)[1].split("\n", 1)[0]
+        name, _, person = head[:-1].rpartition(" (ID: ")
+        case = name.rsplit("#", 1)[1]
+        if case == "2":
+            raise RuntimeError("refused")
+        return f"Publication evidence of [{person}]" + (" and [nowhere]." if case == "1" else ".")
+
+    out = explain.explain_candidates(ranked, res.evidence, res.gaps, list(settings.RANKING_WEIGHTS), backend)
+    return out.select("target_id", "person_id", "used_template", "fallback_reason")
+
+
+@query("""
+WITH o AS (SELECT DISTINCT l_orderkey AS p, l_suppkey AS s, l_partkey % 50 AS d FROM lineitem)
+SELECT 'projects' AS table_name, count(DISTINCT p) AS n FROM o UNION ALL SELECT 'authors', count(DISTINCT s) FROM o UNION ALL
+SELECT 'wrote', count(DISTINCT (p, s)) FROM o UNION ALL SELECT 'project_domain', count(DISTINCT (p, d)) FROM o UNION ALL
+SELECT 'domains', count(DISTINCT d) FROM o UNION ALL SELECT 'subdomain_of', count(DISTINCT d) FROM o WHERE d >= 5 UNION ALL
+SELECT 'has_capability', count(DISTINCT (s, d)) FROM o""")
+def nested_graph_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as nested JSON, with suppliers as members and part groups as domains, loaded as graph tables."""
+    rows = table(spark, sf, "lineitem").select("l_orderkey", F.concat(F.lit("s"), "l_suppkey").alias("s"), (F.col("l_partkey") % 50).alias("d"))
+    code = F.concat(F.lit("p"), F.col("d"))
+    up = F.when(F.col("d") >= 5, F.array(F.concat(F.lit("p"), F.col("d") % 5))).otherwise(F.array())
+    orders = rows.groupBy(F.col("l_orderkey").alias("project_id")).agg(  # an order has few lines
+        F.collect_list(F.struct(F.col("s").alias("person_id"))).alias("members"),
+        F.collect_list(F.struct(code.alias("domain_id"), up.alias("parent_ids"))).alias("domains"))
+    able = rows.select(F.col("s").alias("person_id"), code.alias("capability_id")).distinct()
+    as_text = lambda df: nested_graph.documents(df.select(F.to_json(F.struct("*")).alias("value")))
+    loaded = nested_graph.nested_graph(as_text(orders), as_text(able))
+    names = ["projects", "authors", "wrote", "project_domain", "domains", "subdomain_of", "has_capability"]
+    return reduce(DataFrame.unionAll, [getattr(loaded, n).agg(F.lit(n).alias("table_name"), F.count(F.lit(1)).alias("n")) for n in names])

@@ -59,3 +59,39 @@ def test_unknown_citations_and_failures_fall_back(spark, case):
 def test_covered_gaps(case):
     ranked, evidence, gaps = case
     assert [(r["person_id"], r["name"]) for r in explain.covered_gaps(ranked, evidence, gaps).collect()] == [("ada", "One")]
+
+
+FEATURES = ["graph", "gap_match"]
+
+
+@pytest.fixture
+def scored(case):
+    ranked, evidence, gaps = case
+    return ranked.withColumns({f"contrib_{n}": F.col(n) * 0.5 for n in FEATURES}), evidence, gaps
+
+
+def test_contexts_are_bounded_per_kind_and_worded(spark, scored):
+    titles = spark.createDataFrame([("t", "Target title")], "target_id string, title string")
+    rows = {r["person_id"]: r for r in explain.explanation_contexts(*scored, titles, per_kind=2).collect()}
+    assert [e["id"] for e in rows["ada"]["evidence"]] == ["p1", "x.y", "p2", "c0", "c1"]
+    assert rows["ada"]["covered"] == ["One"] and rows["ada"]["title"] == "Target title"
+    assert rows["unknown_x"]["evidence"] == [] and rows["unknown_x"]["covered"] == [] and len(rows["unknown_x"]["missing"]) == 3
+    prompts = {r["person_id"]: r["prompt"] for r in explain.explanation_prompts(explain.explanation_contexts(*scored), FEATURES).collect()}
+    assert "- [p2] (project): New (Year: 2024)\n- [c0] (capability): C0\n" in prompts["ada"] and "- gap_match: score=0.500, contribution=0.250" in prompts["ada"]
+    assert "Target Project: t\n" in prompts["ada"] and "- None.\n" in prompts["unknown_x"] and prompts["unknown_x"].count("\n- ") > 6
+
+
+def test_backend_answers_are_verified_in_one_go(scored):
+    ranked, evidence, gaps = scored
+
+    def backend(prompt):
+        if "unknown_x" in prompt:
+            raise RuntimeError("down")
+        return " Worked on [p1] and [c1], see [ada]. "
+
+    rows = {r["person_id"]: r for r in explain.explain_candidates(ranked, evidence, gaps, FEATURES, backend).collect()}
+    assert (rows["ada"]["explanation"], rows["ada"]["used_template"], rows["ada"]["fallback_reason"]) == ("Worked on [p1] and [c1], see [ada].", False, None)
+    assert rows["unknown_x"]["used_template"] and rows["unknown_x"]["fallback_reason"] == "LLM failure: down"
+    assert {r["fallback_reason"] for r in explain.explain_candidates(ranked, evidence, gaps, FEATURES).collect()} == {"No LLM backend provided"}
+    wrong = explain.explain_candidates(ranked, evidence, gaps, FEATURES, lambda prompt: "See [p9].").collect()
+    assert all(r["used_template"] and "p9" in r["fallback_reason"] and r["explanation"].startswith("Collaborator") for r in wrong)

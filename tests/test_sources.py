@@ -11,7 +11,7 @@ from kinweave.operators.canonical import canonical_tables
 from kinweave.operators.capability_pipeline import extract_to_tables
 from kinweave.operators.upsert import with_bare_endpoints
 from kinweave.schemas import CANONICAL_TABLES
-from kinweave.sources import paged_api, records, sinks
+from kinweave.sources import nested_graph, paged_api, records, sinks
 from kinweave.streaming import ingest
 
 DOCS = [{"halId_s": f"h{i}", "title_s": [f"T {i}"], "authFullName_s": ["Ada Byron", f"P {i}"], "domainAllCode_s": ["x", "x.y"],
@@ -50,6 +50,30 @@ def test_pages_and_queries():
         paged_api.unwrap({"response": {}})
 
 
+def test_nested_json_becomes_graph_tables(spark, tmp_path):
+    projects = [
+        {"project_id": "p1", "title": "Old", "members": [{"person_id": "zoe"}]},
+        {"project_id": "p2", "keywords": ["k"], "year": 2024, "members": [{"person_id": "ada", "full_name": "Ada"}, {"full_name": "no id"}, {"person_id": "ada"}],
+         "domains": [{"domain_id": "x.y", "name": "XY", "parent_ids": ["x"]}, {"domain_id": "x"}]},
+        {"project_id": "p1", "title": "New", "members": [{"person_id": "unknown_q"}, {"person_id": "ada", "full_name": "Ada B"}], "domains": [{"domain_id": "x", "name": "X"}]},
+    ]
+    able = [{"person_id": "ada", "capability_id": "sql", "name": "SQL", "last_seen_year": 2020}, {"person_id": "eve", "capability_id": "ml", "name": "ML", "kind": "TOOL"},
+            {"person_id": "bob", "capability_id": "ml"}]
+    (tmp_path / "p.json").write_text(json.dumps(projects))
+    (tmp_path / "c.jsonl").write_text("\n".join(map(json.dumps, able)))
+    graph = nested_graph.nested_graph(nested_graph.read_documents(spark, str(tmp_path / "p.json")), nested_graph.read_documents(spark, str(tmp_path / "c.jsonl"), lines=True))
+    rows = lambda df, *c: sorted((tuple(r[x] for x in c) for r in df.collect()), key=repr)
+    assert rows(graph.projects, "project_id", "title", "keywords", "year") == [("p1", "New", [], None), ("p2", "", ["k"], 2024)]
+    assert rows(graph.authors, "person_id", "full_name") == [("ada", "Ada B"), ("bob", "bob"), ("eve", "ML"), ("unknown_q", "")]
+    assert rows(graph.wrote, "person_id", "project_id", "pos") == [("ada", "p1", 1), ("ada", "p2", 0), ("unknown_q", "p1", 0)]
+    assert rows(graph.project_domain, "project_id", "domain_id") == [("p1", "x"), ("p2", "x"), ("p2", "x.y")]
+    assert rows(graph.domains, "domain_id", "name") == [("x", "X"), ("x.y", "XY")] and rows(graph.subdomain_of, "child_id", "parent_id") == [("x.y", "x")]
+    assert rows(graph.has_capability, "person_id", "capability_id", "kind", "publication_count", "last_seen_year") == [
+        ("ada", "sql", "UNKNOWN", 1, 2020), ("bob", "ml", "UNKNOWN", 1, None), ("eve", "ml", "TOOL", 1, None)]
+    none = nested_graph.read_documents(spark, str(tmp_path / "absent.json"))
+    assert none.count() == 0 and nested_graph.nested_graph(none, none).authors.count() == 0
+
+
 def test_harvest_goes_on_where_it_failed(spark, tmp_path):
     log, state = tmp_path / "log", tmp_path / "state"
     log.mkdir()
