@@ -92,11 +92,33 @@ def _with_parents(domains: DataFrame, closure: DataFrame) -> DataFrame:
 # Lookups
 # ---------------------------------------------------------------------------
 
-def project_page(projects: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame:
-    """One page of projects ordered by identifier."""
+#: Rows one task may sort to find a page; pages further on are found by counts of ranges.
+PAGE_ROWS = 10_000
+
+
+def project_page(projects: DataFrame, limit: int = 100, offset: int = 0, page_rows: int = PAGE_ROWS) -> DataFrame:
+    """One page of projects ordered by identifier.
+
+    A page that ends beyond ``page_rows`` is not sorted out by one task that sees all rows before it. The projects are
+    sorted by range and written with their place in their range; the sizes of the ranges tell which places the page
+    holds, and only these are read.
+    """
     if limit < 0 or offset < 0:
         raise ValueError("limit and offset must be non-negative")
-    return projects.orderBy("project_id").offset(offset).limit(limit)
+    if offset + limit <= page_rows:
+        return projects.orderBy("project_id").offset(offset).limit(limit)
+    ordered = projects.repartitionByRange("project_id").sortWithinPartitions("project_id")
+    placed = stage(ordered.withColumn("_place", F.monotonically_increasing_id()), "project-ranges")
+    part = F.shiftright("_place", 33)
+    sizes = placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect()  # one row per range
+    wanted, before = F.lit(False), 0
+    for row in sizes:
+        low, high = max(offset - before, 0), min(offset + limit - before, row["n"])
+        if low < high:
+            first = row["part"] << 33
+            wanted = wanted | F.col("_place").between(first + low, first + high - 1)
+        before += row["n"]
+    return placed.where(wanted).orderBy("_place").drop("_place")
 
 
 def project_members(graph: GraphTables) -> DataFrame:

@@ -53,6 +53,13 @@ def project_page(spark: SparkSession, sf: str) -> DataFrame:
     return g.project_page(collab.base_graph(spark, sf).projects, limit=100, offset=50)
 
 
+@query("SELECT project_id, title, year FROM projects ORDER BY project_id LIMIT 200 OFFSET (SELECT count(*) // 2 FROM projects)", "projects")
+def project_page_deep(spark: SparkSession, sf: str) -> DataFrame:
+    """A page in the middle of all projects, found by counts of ranges."""
+    projects = stage(collab.base_graph(spark, sf).projects, "projects")
+    return g.project_page(projects, limit=200, offset=projects.count() // 2, page_rows=0).select("project_id", "title", "year")
+
+
 @query("""SELECT project_id, title, year FROM projects WHERE project_id = (SELECT max(project_id) FROM projects)""", "projects")
 def project_lookup(spark: SparkSession, sf: str) -> DataFrame:
     projects = collab.base_graph(spark, sf).projects

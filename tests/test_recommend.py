@@ -66,6 +66,10 @@ def test_pages_concatenate(graph):
     pages = [[r["project_id"] for r in g.project_page(graph.projects, 2, o).collect()] for o in (0, 2)]
     assert sum(pages, []) == ["p1", "p2", "p3", "p4"]
     assert g.project_page(graph.projects, 0).collect() == []
+    many = graph.projects.sparkSession.range(1000).select(F.format_string("p%05d", "id").alias("project_id"), F.lit("t").alias("title"))
+    for limit, offset in ((7, 0), (300, 400), (50, 980), (5, 2000), (0, 3)):
+        deep = [r["project_id"] for r in g.project_page(many, limit, offset, page_rows=0).collect()]
+        assert deep == [f"p{i:05d}" for i in range(1000)][offset:offset + limit]
     with pytest.raises(ValueError):
         g.project_page(graph.projects, -1)
 
