@@ -37,9 +37,9 @@ _UNSPACED = "\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3005-\u3007\u3031-\u312F\u
 _WORD = re.compile(rf"[{_UNSPACED}]|[^\W{_UNSPACED}]+")
 
 
-def units(text: str) -> Iterator[tuple[int, int, int, str]]:
+def units(text: str) -> Iterator[tuple[int, int, int, bytes]]:
     """(start, end, place of the first word, normalised words) of every unit; a unit takes the white space behind it along."""
-    spans: list[tuple[int, int, int, list[str]]] = []  # sentences with a word
+    spans: list[tuple[int, int, int, int, bytes]] = []  # sentences with a word: where, number of words, the words
     found: dict[tuple[int, int], tuple[int, int]] = {}  # first and last sentence of a unit, and where it stands
     start = line = paragraph = 0
     line_from = paragraph_from = 0
@@ -47,7 +47,7 @@ def units(text: str) -> Iterator[tuple[int, int, int, str]]:
         words = _WORD.findall(text[start:end].lower())
         if words:
             first = _WORD.search(text, start, end)
-            spans.append((start, end, first.start() if first else start, words))
+            spans.append((start, end, first.start() if first else start, len(words), " ".join(words).encode("utf-8", "surrogatepass")))
         if broken:
             if len(spans) > line:
                 found[line, len(spans)] = line_from, end
@@ -59,15 +59,15 @@ def units(text: str) -> Iterator[tuple[int, int, int, str]]:
         start = end
     for i in range(len(spans)):
         for step in (1, -1):
-            at, count = i, len(spans[i][3])
+            at, count = i, spans[i][3]
             while count < LEAST_WORDS and 0 <= at + step < len(spans):
                 at += step
-                count += len(spans[at][3])
+                count += spans[at][3]
             if count >= LEAST_WORDS:
                 low, high = min(i, at), max(i, at)
                 found.setdefault((low, high + 1), (spans[low][0], spans[high][1]))
     for (low, high), (start, end) in found.items():
-        yield start, end, spans[low][2], " ".join(w for x in spans[low:high] for w in x[3])
+        yield start, end, spans[low][2], spans[low][4] if high == low + 1 else b" ".join([x[4] for x in spans[low:high]])
 
 
 def _unit_rows(docs: DataFrame) -> DataFrame:
@@ -77,7 +77,7 @@ def _unit_rows(docs: DataFrame) -> DataFrame:
             at, out = [], ([], [], [], [], [])
             for i, text in enumerate(batch.column(2)):
                 for start, end, place, words in units(text.as_py() or ""):
-                    digest = xxhash.xxh3_128_intdigest(words.encode("utf-8", "surrogatepass"))
+                    digest = xxhash.xxh3_128_intdigest(words)
                     at.append(i)
                     for column, value in zip(out, (start, end, place, (digest >> 64) - (1 << 63), (digest & ((1 << 64) - 1)) - (1 << 63))):
                         column.append(value)
@@ -93,11 +93,12 @@ def _unit_rows(docs: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row, spans) of the rows that lose something; ``row`` is the hash of identifier and text, spans are (start, end), sorted, and may overlap."""
     W.small_batches(docs.sparkSession)
-    found = _unit_rows(docs.select(F.col(id_col).alias("rank"), F.xxhash64(id_col, text_col).alias("row"), F.col(text_col).alias("text")))
+    # Written out, so that texts are cut into units once for the aggregate and the join.
+    found = stage(_unit_rows(docs.select(F.col(id_col).alias("rank"), F.xxhash64(id_col, text_col).alias("row"), F.col(text_col).alias("text"))), "units")
     # By its first word, as a line and a sentence in it may differ in what stands before that.
     own = [F.col("rank").isNull().alias("last"), "rank", "row", "place"]
     spot, first = F.struct(*own), F.struct(*[F.col(f"first.{c}").alias(c) for c in ("last", "rank", "row", "place")])
-    # Written out, so that the join below reads plain shuffles on both sides, which adaptive execution can split.
+    # Written out too, so that the join below reads plain shuffles on both sides, which adaptive execution can split.
     shared = stage(found.groupBy("a", "b").agg(F.min(F.struct(*own, "end")).alias("first"), F.max(spot).alias("final")).where(first != F.col("final")).select("a", "b", "first"), "shared")
     overlaps = (F.col("row") == F.col("first.row")) & (F.col("start") < F.col("first.end"))
     gone = found.join(shared, ["a", "b"]).where((spot != first) & ~overlaps)
