@@ -26,8 +26,8 @@ Candidate documents are found again by an exact join on those rows alone that a
 lets through (``idfilter``); texts are not shuffled.
 
 Defined cases: null or empty texts have no n-grams, size 0 and a component of their own; fewer words
-than ``width`` make one n-gram; rows with equal identifier count as equal nodes of their own sets;
-a null identifier gets a null component; an empty table gives an empty result.
+than ``width`` make one n-gram; rows with equal identifier are one node, which has the links of all their
+texts; a null identifier gets a null component; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -187,7 +187,7 @@ def _prefixes(segments: DataFrame, percent: int) -> DataFrame:
 
 
 def _linked(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
-    """Pairs (x, y) of sets, each named by its representative's identifier, that reach the similarity."""
+    """Pairs (x, y) of sets, each by its name, that reach the similarity."""
     side = lambda c: segments.select(F.col("rep").alias(c), "part", F.col("n").alias(f"n_{c}"), F.col("grams").alias(f"grams_{c}"))
     partial = pairs.join(side("x"), "x").join(side("y"), ["y", "part"]).select(
         "x", "y", "n_x", "n_y", F.size(F.array_intersect("grams_x", "grams_y")).alias("common"))
@@ -201,22 +201,35 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     described = stage(_describe(chosen, width, Grid(percent)), "described")
     ids = described.select("id", "n", "set_a", "set_b")
-    sets = stage(ids.where("set_a IS NOT NULL AND id IS NOT NULL").groupBy("set_a", "set_b").agg(F.min("id").alias("rep"), F.min("n").alias("n")), "sets")
+    sets = ids.where("set_a IS NOT NULL AND id IS NOT NULL").groupBy("set_a", "set_b").agg(F.min("id").alias("least"), F.min("n").alias("n"))
+    # Names are given once, in a written table, and mean nothing but the set.
+    sets = stage(sets.withColumn("rep", F.monotonically_increasing_id()), "sets")
+    own_set = F.xxhash64("set_a", "set_b")
+    several = stage(ids.where("id IS NOT NULL").groupBy("id").agg(F.min(own_set).alias("low"), F.max(own_set).alias("high")).where("low < high").select("id"), "several")
+    named_rows = ids.join(several, "id").join(sets.select("set_a", "set_b", "rep"), ["set_a", "set_b"]).select("id", "rep").distinct()
+    first_set = named_rows.groupBy("id").agg(F.min("rep").alias("y"))
+    same = stage(named_rows.join(first_set, "id").where("rep != y").select(F.col("rep").alias("x"), "y"), "same")
 
     # Sets that state a digest which another set states too. They are named by set_a here; a name two sets share only adds candidates.
     stated = described.where("set_a IS NOT NULL AND id IS NOT NULL").select(F.explode("digests").alias("digest"), F.col("set_a").alias("s"))
     shared = stated.groupBy("digest").agg(F.min("s").alias("low"), F.max("s").alias("high")).where("low < high").select("digest")
-    wanted = stage(stated.join(shared, "digest").select(F.col("s").alias("set_a")).distinct().join(sets, "set_a").select(F.col("rep").alias("id")), "wanted")
+    wanted = stage(stated.join(shared, "digest").select(F.col("s").alias("set_a")).distinct().join(sets, "set_a").select(F.col("least").alias("id")), "wanted")
     _, perhaps = idfilter.split(chosen, "id", wanted, "id")
     segments = stage(_segments(perhaps, width).join(sets, ["set_a", "set_b"]).groupBy("rep", "part", "n").agg(F.first("grams").alias("grams")), "segments")
-    members = stage(_prefixes(segments, percent), "prefixes")
+    # Heads are drawn by what a set holds, not by its name, so that they are the same in every run.
+    members = stage(_prefixes(segments, percent).join(sets.select("rep", F.col("set_a").alias("seed")), "rep"), "prefixes")
+
+    def labelled(links: DataFrame) -> DataFrame:
+        linked = smallest_reachable(links, "x", "y")
+        alone = members.select(F.col("rep").alias("node")).distinct().join(linked.select("node"), "node", "left_anti")
+        return stage(linked.union(alone.select("node", F.col("node").alias("label"))), "components")
 
     links = checked = None
-    labels = members.select(F.col("rep").alias("node"), F.col("rep").alias("label")).distinct()
+    labels = labelled(same) if same.limit(1).count() else members.select(F.col("rep").alias("node"), F.col("rep").alias("label")).distinct()
     for turn in range(HEADS + 1):
         placed = members.join(labels.select(F.col("node").alias("rep"), "label"), "rep")
         # The head is the set with the fewest rare n-grams, in later turns any.
-        first = F.struct((F.col("pos") if turn == 0 else F.lit(0)).alias("rank"), F.xxhash64("rep", F.lit(turn)).alias("draw"), "rep", "pos", "n", "label")
+        first = F.struct((F.col("pos") if turn == 0 else F.lit(0)).alias("rank"), F.xxhash64("seed", F.lit(turn)).alias("draw"), "rep", "pos", "n", "label")
         open_ = placed.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(first).alias("head")).where("low < high")
         if turn < HEADS:
             other = open_.select("gram", *[F.col(f"head.{c}").alias(f"{c}_2") for c in ("rep", "pos", "n", "label")])
@@ -237,17 +250,20 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         checked = pairs if checked is None else checked.union(pairs)
         found = stage(_linked(pairs, segments, percent), "links")
         links = found if links is None else links.union(found)
-        linked = smallest_reachable(links, "x", "y")
-        alone = labels.select("node").join(linked.select("node"), "node", "left_anti").select("node", F.col("node").alias("label"))
-        labels = stage(linked.union(alone), "components")
+        labels = labelled(links.union(same))
 
     degree = None if links is None else links.select(F.explode(F.array("x", "y")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     named = sets.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
     named = named.join(degree, "rep", "left") if degree is not None else named.withColumn("n_links", F.lit(None).cast("long"))
-    named = named.select("set_a", "set_b", F.coalesce("label", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return ids.join(named, ["set_a", "set_b"], "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
-        F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    named = named.withColumn("label", F.coalesce("label", "rep"))
+    lowest = named.groupBy("label").agg(F.min("least").alias("component_id"))
+    named = named.join(lowest, "label").select("set_a", "set_b", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    rows = ids.join(named, ["set_a", "set_b"], "left").select(
+        "id", "n", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    # A row without n-grams shares the component of the other rows of its identifier.
+    shared_by = rows.join(several, "id").groupBy("id").agg(F.min("component_id").alias("whole"))
+    return rows.join(shared_by, "id", "left").select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("whole", "component_id").alias("component_id"), "n_links")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:

@@ -82,6 +82,18 @@ def test_jaccard_odd_rows(odd_docs, no_docs):
     assert kept == [0, 1, 2, 3, 6, 7, 8, 9, 10, *range(20, 40)]
 
 
+@pytest.mark.parametrize("backwards", [False, True])
+def test_jaccard_links_all_texts_of_an_identifier(spark, backwards):
+    rng = random.Random(11)
+    a, b = prose(rng, 60), prose(rng, 60)
+    rows = [(1, a), (1, b), (2, a.rsplit(" ", 1)[0] + " other"), (3, b.rsplit(" ", 1)[0] + " other"), (4, prose(rng, 60)), (5, ""), (5, a), (6, b), (6, a)]
+    docs = spark.createDataFrame(rows[::-1] if backwards else rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.similar_components(docs).collect()}
+    assert got == {(1, 57, 1), (2, 57, 1), (3, 57, 1), (4, 57, 4), (5, 0, 1), (5, 57, 1), (6, 57, 1)}
+    apart = docs.where("doc_id IN (1, 2, 3)").where(f"text != '{b}' OR doc_id != 1")
+    assert {(r["doc_id"], r["component_id"]) for r in jaccard_join.similar_components(apart).collect()} == {(1, 1), (2, 1), (3, 3)}
+
+
 def test_decontamination_odd_rows(spark, odd_docs, no_docs):
     text = odd_docs.where("doc_id = 20").first()["text"]
     bench = spark.createDataFrame([(1, " ".join(text.split()[5:17]).upper()), (2, "ONE!"), (3, None), (None, "nowhere else")], "item_id long, text string")
