@@ -8,7 +8,7 @@ from kinweave.llm.decontaminate import contamination_report
 from kinweave.llm.html_extract import page_report
 from kinweave.llm.jaccard_join import similar_components
 from kinweave.llm.language_crf import language_report
-from kinweave.llm.packing import near_copies, pack
+from kinweave.llm.packing import pack
 from kinweave.llm.periodic_runs import run_report, with_loops
 from kinweave.llm.quality import quality_report
 from kinweave.llm.secrets import secret_report
@@ -71,8 +71,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequences of 2,048 words without two pieces of a source or of a cluster of near copies."""
-    docs = _table(spark, sf_dir, "documents")
-    return pack(docs, near=near_copies(docs))
+    return pack(_table(spark, sf_dir, "documents"), near=True)
 
 
 def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:

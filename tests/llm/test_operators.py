@@ -276,6 +276,31 @@ def test_packing_keeps_near_copies_apart(spark, tmp_path):
     assert len(set(bins)) == len(bins) == 10
 
 
+def test_packing_deals_null_identifiers_and_finds_near_copies(spark):
+    rng = random.Random(12)
+    docs = spark.createDataFrame([(None, prose(rng, 20), "en", f"s{i}", 1) for i in range(200)], SCHEMA)
+    assert docs.count() == 200 and len({r["shard"] for r in packing.pack(docs, shard_size=20).collect()}) > 5
+    rows, group = [], {}
+    for g in range(60):
+        base = prose(rng, rng.choice([30, 80, 300])).split()
+        for _ in range(rng.choice([1, 2, 5, 12])):
+            words = list(base)
+            for _ in range(rng.randrange(0, 1 + len(words) // 60)):
+                words[rng.randrange(len(words))] = "new" + str(rng.randrange(1000))
+            group[len(rows)] = g
+            rows.append((len(rows), " ".join(words), "en", "a", 1))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    exact = defaultdict(set)
+    for r in jaccard_join.similar_components(docs).collect():
+        exact[r["component_id"]].add(r["doc_id"])
+    described = packing.describe(docs, "doc_id", "text", "source", None, True)
+    label = {r["node"]: r["label"] for r in packing.near_clusters(described).collect()}
+    found = {r["id"]: label.get(r["cluster"], r["cluster"]) for r in described.collect()}
+    pairs = [(a, b) for c in exact.values() for a in c for b in c if a < b]
+    assert sum(found[a] == found[b] for a, b in pairs) >= 0.9 * len(pairs)
+    assert all(group[a] == group[b] for a in found for b in found if found[a] == found[b])
+
+
 def test_packing_takes_the_tightest_compatible_bin():
     rng = random.Random(6)
     rows = sorted(((rng.randint(1, 100), rng.choice("abcd"), rng.randrange(30)) for _ in range(300)), key=lambda r: -r[0])
