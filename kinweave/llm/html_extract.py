@@ -2,10 +2,13 @@
 
 Tags are read in one pass into a tree with the end tags that HTML implies. Parts that are never article
 text (menus, headers, footers, sidebars, forms, scripts, notices, adverts, comments) are left out by tag,
-role or the words of their class and id. Every remaining paragraph passes points for its length and its
-commas to its container in full, to the next in half and on in thirds, sixths and so on; a container's
+role or the words of their class and id. A part named like a frame of the page (header, sidebar, form and the like)
+is left out only if it holds no more than half of the page's unlinked paragraph points, since wrappers of whole pages
+bear such names too. Every remaining paragraph passes points for its length and its
+commas to its container in full, to the next in half and on in thirds, sixths and so on for ``LEVELS`` containers; a container's
 points are discounted by the share of link text. The container with most points is kept, or the nearest
-article or main element around it as a whole, and those of its siblings that reach a fifth of its points, are headings, or are long paragraphs without links.
+article or main element around it as a whole, and those of its siblings that reach a fifth of its points, are
+headings, paragraphs that are long or end like a sentence and have no links, or articles beside an article.
 
 Defined cases: null or empty html, and pages of left-out parts only, give empty text; tags left open
 end with their parents; an unfinished comment or script runs to the end; unknown character references
@@ -16,6 +19,7 @@ from __future__ import annotations
 
 import html as html_module
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,12 +37,16 @@ _BLOCK = frozenset(
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _LEAF_BLOCKS = _HEADINGS | frozenset("p pre li dd dt blockquote figcaption summary legend td th".split())
 _RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
-_LEFT_OUT = _RAW | frozenset("head nav footer aside form button select option noscript svg math canvas template dialog object audio video menu search".split())
+_LEFT_OUT = _RAW | frozenset("head nav footer aside button select option noscript svg math canvas template dialog object audio video menu search".split())
 _ROLES = frozenset("navigation banner complementary contentinfo search dialog alertdialog alert menu menubar form".split())
 _BAD_WORDS = frozenset(
     "ad ads adv advert advertisement adverts banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer header masthead menu "
     "modal nav navbar navigation newsletter notice notices pagination popup promo promotion related replies respond share sharing sidebar social "
     "sponsor sponsored subscribe toolbar widget".split())
+# Names of frames, which wrappers of whole pages bear too; words that turn a class into a statement about the page; wholes whose header is their own.
+_FRAMES = frozenset("banner breadcrumb breadcrumbs footer header masthead menu nav navbar navigation pagination promo promotion related share sharing sidebar social toolbar widget".split())
+_STATES = frozenset("closed disabled enabled has is no off open with without".split())
+_WHOLES = frozenset("article entry post story".split())
 _GOOD_WORDS = frozenset("article body content entry main page post story text blog".split())
 _IMPLIED = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
@@ -46,50 +54,75 @@ _IMPLIED = {
 }
 _FENCES = frozenset("table ul ol dl menu article section div body td th".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>", re.S)
+# Quotes count only behind an equals sign, as in HTML; elsewhere they are characters like any other.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>=]+|=(?>\s*(?:\"[^\"]*\"|'[^']*'))?)*+)>", re.S)
 # Each attribute with its value, so that neither values nor longer names are searched for the names that count.
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
 _JUDGED = frozenset("class id role aria-hidden hidden style".split())
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
+_SENTENCE_END = re.compile(r"[.!?\u2026\u3002\uFF01\uFF1F][\"')\]\u201D\u2019]*\Z")
+LEVELS = 16
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "points", "chars", "link_chars", "weight", "dropped")
+    __slots__ = ("tag", "parent", "points", "prose", "chars", "link_chars", "weight", "dropped", "frame", "last")
 
-    def __init__(self, tag: str, parent: _Node | None, dropped: bool, weight: int) -> None:
-        self.tag, self.parent, self.dropped, self.weight = tag, parent, dropped, weight
-        self.points = 0.0
+    def __init__(self, tag: str, parent: _Node | None, dropped: bool, weight: int, frame: bool = False) -> None:
+        self.tag, self.parent, self.dropped, self.weight, self.frame = tag, parent, dropped, weight, frame
+        self.points = self.prose = 0.0
         self.chars = self.link_chars = 0
+        self.last = ""
 
 
-def _judge(tag: str, attributes: str, in_article: bool) -> tuple[bool, int]:
-    """(left out, points given or taken beforehand) of an element by its tag and attributes."""
+def _named(value: str, in_article: bool) -> tuple[bool, bool]:
+    """(boilerplate, frame) by the words of each name in a class or id."""
+    bad = frame = False
+    for name in value.split():
+        words = set(_WORD.findall(name))
+        found = words & _BAD_WORDS
+        if not found or words & _STATES or found == {"header"} and (in_article or words & _WHOLES):
+            continue
+        if found <= _FRAMES:
+            frame = True
+        else:
+            bad = True
+    return bad, frame
+
+
+def _judge(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool, int]:
+    """(left out, frame, points given or taken beforehand) of an element by its tag and attributes."""
     weight = {"article": 25, "main": 25, "section": 5, "div": 5}.get(tag, 0)
+    frame = tag == "form"
     if tag in _LEFT_OUT or tag == "header" and not in_article:
-        return True, 0
+        return True, False, 0
     if attributes:
         for name, a, b, c in _ATTRIBUTE.findall(attributes):
             name = name.lower()
             if name not in _JUDGED:
                 continue
             value = (a or b or c).lower()
-            if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in _ROLES \
+            if name == "role" and value == "form":
+                frame = True
+            elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in _ROLES \
                     or name == "style" and "display:none" in value.replace(" ", ""):
-                return True, 0
+                return True, False, 0
             if name in ("class", "id"):
-                words = set(_WORD.findall(value))
-                if words & _BAD_WORDS and tag not in ("html", "body", "article", "main"):
-                    return True, 0
-                weight += 25 * bool(words & _GOOD_WORDS)
-    return False, weight
+                if tag not in ("html", "body", "article", "main"):
+                    bad, named = _named(value, in_article)
+                    if bad:
+                        return True, False, 0
+                    frame |= named
+                weight += 25 * bool(set(_WORD.findall(value)) & _GOOD_WORDS)
+    return False, frame, weight
 
 
-def _blocks(page: str) -> list[tuple[_Node, str, int]]:
-    """(element, text, characters in links) of each run of text between block tags, in page order."""
+def _blocks(page: str) -> tuple[list[_Node], list[tuple[_Node, str, int]]]:
+    """All elements in page order, and (element, text, characters in links) of each run of text between block tags."""
     root = _Node("html", None, False, 0)
-    stack, out, text, linked = [root], [], [], 0
+    nodes, stack, out, text, linked = [root], [root], [], [], 0
     links = articles = 0
+    still_open: Counter[str] = Counter()
 
     def flush() -> None:
         nonlocal linked
@@ -105,6 +138,7 @@ def _blocks(page: str) -> list[tuple[_Node, str, int]]:
         nonlocal links, articles
         while len(stack) > depth:
             node = stack.pop()
+            still_open[node.tag] -= 1
             links -= node.tag == "a"
             articles -= node.tag in ("article", "main")
 
@@ -123,7 +157,7 @@ def _blocks(page: str) -> list[tuple[_Node, str, int]]:
         if not tag:
             continue
         if found[1]:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
+            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0) if still_open[tag] else 0
             if depth:
                 if tag in _BLOCK or any(n.tag in _BLOCK for n in stack[depth:]):
                     flush()
@@ -133,7 +167,7 @@ def _blocks(page: str) -> list[tuple[_Node, str, int]]:
             text.append(" ")
         if tag in _BLOCK:
             flush()
-            if tag not in ("html", "body"):
+            if tag not in ("html", "body") and still_open["p"]:
                 depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == "p"), 0)
                 if depth:
                     close(depth)
@@ -147,38 +181,73 @@ def _blocks(page: str) -> list[tuple[_Node, str, int]]:
                     break
         if tag in _VOID:
             continue
-        dropped, weight = _judge(tag, found[3], articles > 0)
+        dropped, frame, weight = _judge(tag, found[3], articles > 0)
         if dropped and tag not in _BLOCK and tag not in _RAW:
             text.append(" ")
-        stack.append(_Node(tag, stack[-1], dropped or stack[-1].dropped, weight))
+        stack.append(_Node(tag, stack[-1], dropped or stack[-1].dropped, weight, frame))
+        nodes.append(stack[-1])
+        still_open[tag] += 1
         links += tag == "a"
         articles += tag in ("article", "main")
         if tag in _RAW:
             end = re.compile(rf"</{re.escape(tag)}\b", re.I).search(page, at)
             at = end.start() if end else len(page)
     flush()
-    return out
+    return nodes, out
+
+
+def _points(text: str) -> float:
+    return 1 + text.count(",") + min(len(text) / 100, 3)
+
+
+def _without_frames(nodes: list[_Node], blocks: list[tuple[_Node, str, int]]) -> list[tuple[_Node, str, int]]:
+    """Blocks outside the frames that do not hold the page; blocks are judged by paragraphs alone."""
+    if not any(n.frame for n in nodes):
+        return blocks
+    total = 0.0
+    for node, text, linked in blocks:
+        if node.tag in _LEAF_BLOCKS:
+            worth = _points(text) * (1 - linked / len(text))
+            node.prose += worth
+            total += worth
+    # An element stands behind its parent, so sums are whole before they are passed on.
+    for node in reversed(nodes):
+        if node.parent is not None:
+            node.parent.prose += node.prose
+    for node in nodes:
+        if node.parent is not None and node.parent.dropped or node.frame and node.prose * 2 <= total:
+            node.dropped = True
+    return [b for b in blocks if not b[0].dropped]
+
+
+def _closes(text: str) -> bool:
+    """Ends like a sentence and is no copyright line."""
+    return bool(_SENTENCE_END.search(text)) and not text.lower().startswith(("\u00A9", "copyright", "(c)"))
 
 
 def extract(page: str | None) -> str:
     """Main text of one page, its blocks joined by empty lines."""
-    blocks = _blocks(page) if page else []
+    nodes, blocks = _blocks(page) if page else ([], [])
+    blocks = _without_frames(nodes, blocks)
     if not blocks:
         return ""
     seen: dict[_Node, None] = {}
     for node, text, linked in blocks:
-        points = 1 + text.count(",") + min(len(text) / 100, 3)
+        points = _points(text)
+        node.chars += len(text)
+        node.link_chars += linked
+        node.last = text
         target = node.parent if node.tag in _LEAF_BLOCKS and node.parent is not None else node
-        level = 0
-        while target is not None:
+        for level in range(LEVELS):
             target.points += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
-            target.chars += len(text)
-            target.link_chars += linked
             seen[target] = None
-            target, level = target.parent, level + 1
-        if node.tag in _LEAF_BLOCKS:
-            node.chars += len(text)
-            node.link_chars += linked
+            target = target.parent
+            if target is None:
+                break
+    for node in reversed(nodes):
+        if node.parent is not None:
+            node.parent.chars += node.chars
+            node.parent.link_chars += node.link_chars
     score = {n: (n.points + n.weight) * (1 - n.link_chars / max(n.chars, 1)) for n in seen}
     best = max(seen, key=lambda n: score[n])
     # An article is kept whole, whichever of its inner containers has most points.
@@ -194,7 +263,8 @@ def extract(page: str | None) -> str:
             return False
         density = node.link_chars / max(node.chars, 1)
         return (node in score and score[node] >= max(10, 0.2 * score[best])) or (node.tag in _HEADINGS and density < 0.3) or (
-            node.tag == "p" and node.chars > 80 and density < 0.25)
+            node.tag == "p" and (node.chars > 80 and density < 0.25 or not node.link_chars and _closes(node.last))) or (
+            node.tag == best.tag == "article" and density < 0.25)
 
     verdict: dict[_Node, bool] = {}
     chosen = []

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -246,6 +247,40 @@ def test_html_judges_attributes_by_name(attributes):
     assert html_extract.extract(f"<article><p>One</p><div {attributes} hidden><p>two</p></div></article>") == "One"
 
 
+_PARAGRAPHS = "".join(f"<p>Paragraph {i} of the story, with some words, and more of them.</p>" for i in range(4))
+
+
+@pytest.mark.parametrize("page, kept", [
+    (f"<body><div class='content has-sidebar'>{_PARAGRAPHS}</div><div class=sidebar>Side</div></body>", "Paragraph 3"),
+    (f"<body><div class='page-header sidebar'>{_PARAGRAPHS}</div></body>", "Paragraph 3"),
+    (f"<body><form action=/x>{_PARAGRAPHS}<div class=sidebar>Side</div></form></body>", "Paragraph 3"),
+    (f"<body><article><p title=it's>First one.</p>{_PARAGRAPHS}<p>It's</p></article></body>", "First one."),
+    (f"<body><article><div class=article-header><h1>Title</h1></div>{_PARAGRAPHS}</article></body>", "Title"),
+    (f"<body><div><div class=content>{_PARAGRAPHS}</div><p>And so it all ended.</p></div></body>", "And so it all ended."),
+    (f"<body><article>{_PARAGRAPHS}</article><article><p>Short second.</p></article></body>", "Short second."),
+    (f"<body><article><section class=related-work><h2>Others</h2>{_PARAGRAPHS}</section><p>End</p></article></body>", "Others"),
+])
+def test_html_loses_no_article(page, kept):
+    got = html_extract.extract(page)
+    assert kept in got and "Paragraph 0" in got and "Side" not in got
+
+
+def test_html_leaves_frames_out():
+    form = "<form class=search><p>Type, here, please.</p></form><div class=comments>" + _PARAGRAPHS.replace("story", "answer") * 3 + "</div>"
+    got = html_extract.extract(f"<body><div class=promo>Buy</div><div class=content>{_PARAGRAPHS}</div>{form}</body>")
+    assert got.count("story") == 4 and "Type" not in got and "answer" not in got and "Buy" not in got
+
+
+def test_html_time_is_linear_in_depth():
+    def seconds(n):
+        start = time.perf_counter()
+        assert html_extract.extract("<div>a, b " * n + "</div>" * n)
+        return time.perf_counter() - start
+
+    seconds(500)
+    assert seconds(16_000) < 12 * seconds(4_000)
+
+
 def test_packing(odd_docs, no_docs):
     got = packing.pack(odd_docs, capacity=100).collect()
     words = {r["doc_id"]: len((r["text"] or "").split()) for r in odd_docs.collect()}
