@@ -8,6 +8,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kinweave.llm import components, decontaminate, html_extract, jaccard_join, language_crf, packing, quality, queries, secrets, substring_dedup, suffix_dedup, warc_revisits
 
@@ -123,6 +124,46 @@ def test_language_held_out_accuracy(spark, odd_docs, no_docs):
     assert language_crf.language_report(no_docs).count() == 0
 
 
+def test_language_spans_of_mixed_text(spark):
+    """The place of each switch, also inside runs of letters without a space."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    kinds = [r["lang"] for r in docs.where("lang IS NOT NULL").select("lang").distinct().orderBy("lang").collect()]
+    one, two = kinds[:2]
+    model = language_crf.fit(docs.where(~language_crf.held_out()))
+    own = {k: [w for r in docs.where(language_crf.held_out() & (F.col("lang") == k)).orderBy("doc_id").limit(60).collect()
+               for w in re.findall(r"[^\W\d_]{6,}", r["text"])] for k in (one, two)}
+    left, right = " ".join(own[one][:40]), " ".join(own[two][:40])
+    glued = "".join(own[two])[:4000]
+    rows = [(1, left + " \U0001F600 " + right), (2, "".join(own[one])[:520] + glued + "".join(own[one])[:520]), (3, None), (4, "123 --"), (5, "\u6211" * 3000)]
+    got = {r["doc_id"]: r for r in language_crf.predict(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    share = lambda r, text, low, high, k: sum(max(0, min(high, x["end"]) - max(low, x["start"])) for x in r["spans"] if x["lang"] == k) / (high - low)
+    text = rows[0][1]
+    assert share(got[1], text, 0, len(left), one) > 0.9 and share(got[1], text, len(left) + 3, len(text), two) > 0.9
+    # The middle of a long run is read: most of the text is of the second language, and so is most of that stretch.
+    assert got[2]["lang_pred"] == two and share(got[2], rows[1][1], 520, 4520, two) > 0.8
+    assert got[3]["lang_pred"] == got[4]["lang_pred"] == "und" and got[3]["spans"] == got[4]["spans"] == []
+    assert got[5]["spans"][0]["start"] == 0 and got[5]["spans"][-1]["end"] == 3000
+    with pytest.raises(ValueError, match="prefix"):
+        language_crf.predict(docs.withColumn("score", F.lit(1)), model)
+
+
+def test_language_learns_every_label(spark):
+    """No language is left out, however many there are; lines are chosen before anything is collected."""
+    rows = [(i, f"w{chr(97 + i % 26)}{chr(97 + i // 26)}q\n" * 50 + "x" * 9000, f"l{i}") for i in range(130)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    chosen = docs.select(language_crf._lines(F.col("text"), 20, 100).alias("t")).first()["t"].split("\n")
+    assert len(chosen) <= 20 and max(map(len, chosen)) <= 100
+    assert len(language_crf.fit(docs, lines_per_row=3, line_chars=20).languages) == 130
+
+
+def test_runs_are_cut_between_characters():
+    text = ("\u6211\u00e9a\U0001F600" * 90 + " b " + "z" * 200).encode()
+    starts, ends, bounds = language_crf._runs(np.frombuffer(text, np.uint8), np.array([0, 5, len(text)]))
+    pieces = [text[a:b] for a, b in zip(starts, ends)]
+    assert b"".join(pieces) == text.replace(b" ", b"") and max(map(len, pieces)) <= language_crf.RUN_BYTES + 3
+    assert bounds[0] == 0 and bounds[-1] == len(pieces) and [p.decode() for p in pieces[1:]]
+
+
 def test_forward_backward_equals_enumeration():
     rng = np.random.default_rng(1)
     pot, step, length = rng.random((7, 3)) + 0.1, rng.random((3, 3)) + 0.1, np.array([3, 4])
