@@ -195,6 +195,31 @@ def test_secret_spans_equal_brute_force(odd_docs, no_docs, spark):
     assert secrets.redact_live(docs).count() == docs.count() and secrets.secret_report(no_docs).count() == 0
 
 
+def test_secrets_are_told_apart_by_owners(spark):
+    """Brute force over values: owners of distinct texts decide, whatever the number of repositories; copies of a text count once."""
+    token = lambda k: f"Qw{k}" + "aB3x" * 6
+    rows = [(i, f"note {i} {token('One')}", "en", "a", 1) for i in range(5)]  # one owner, five repositories
+    rows += [(10 + i, f"note {i} {token('Many')}", "en", "abc"[i], 1) for i in range(3)]  # an example of three owners
+    rows += [(20 + i, f"mirror {token('Copied')}", "en", "abc"[i], 1) for i in range(3)]  # one text, mirrored by three
+    rows += [(30, f"x {token('Null')}", "en", None, 1), (31, f"y {token('Null')}", "en", "a", 1), (None, f"z {token('Null')}", None, "a", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumns({"_new": F.lit("mine"), "_Spans": F.lit("own"), "_hit_a": F.lit(7)})
+    texts = {}
+    for i, text, _, owner, _ in rows:
+        texts.setdefault(text, []).append((i is None, str(i), owner is None, owner or ""))
+    owners = defaultdict(set)
+    for text, held in texts.items():
+        _, _, unowned, owner = min(held)
+        owners[text.split()[-1]] |= set() if unowned else {owner}
+    live = {v for v, o in owners.items() if len(o) <= 1}
+    assert {v[:4] for v in live} == {"QwOn", "QwCo", "QwNu"}
+    want = sorted((-1 if r[0] is None else r[0], int(r[1].split()[-1] in live)) for r in rows)
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_live"]) for r in secrets.secret_report(docs).collect()) == want
+    masked = secrets.redact_live(docs).collect()
+    assert masked[0].asDict().keys() == docs.first().asDict().keys() and all((r["_new"], r["_Spans"], r["_hit_a"]) == ("mine", "own", 7) for r in masked)
+    assert sorted(r["text"] for r in masked) == sorted(" ".join([*r[1].split()[:-1], "[secret]" if r[1].split()[-1] in live else r[1].split()[-1]]) for r in rows)
+    assert all(r["n_chars"] == (len(r["text"]) if "[secret]" in r["text"] else 1) for r in masked)
+
+
 def test_quality_odd_rows(odd_docs, no_docs):
     got = {r["doc_id"]: r for r in quality.quality_report(odd_docs).collect()}
     assert got[1]["n_words"] == got[2]["n_words"] == 0 and got[1]["base_failed"] and not got[1]["kept"]
