@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinweave import settings
@@ -60,9 +61,9 @@ def authors_without_identifier(records: DataFrame) -> DataFrame:
     return records.agg(F.coalesce(F.sum(F.size(names) - F.size(usable)), F.lit(0)).alias("authors_without_hal_id"))
 
 
-def homonyms(records: DataFrame) -> DataFrame:
-    """(normalized_name, author_id) rows of names borne by several non-placeholder identifiers."""
-    borne = appearances(records).select(person_match_key(F.col("name")).alias("normalized_name"), "author_id")
+def homonyms(records: DataFrame, key: Callable[[Column], Column] = person_match_key) -> DataFrame:
+    """(normalized_name, author_id) rows of names borne by several non-placeholder identifiers; ``key`` says which names are equal."""
+    borne = appearances(records).select(key(F.col("name")).alias("normalized_name"), "author_id")
     borne = borne.where(F.col("normalized_name") != "").distinct()
     shared = borne.groupBy("normalized_name").agg(F.count_if(~is_placeholder(F.col("author_id"))).alias("n")).where(F.col("n") > 1)
     return borne.join(shared.select("normalized_name"), "normalized_name", "left_semi")

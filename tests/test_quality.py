@@ -254,3 +254,19 @@ def test_report(records, tmp_path):
 def test_homonyms_need_two_real_identifiers(records):
     docs = records({"authFullName_s": ["A B"], "authIdHal_s": ["a-b"]}, {"authFullName_s": ["a  B"], "authIdPerson_i": [3]}, {"authFullName_s": ["C D"]})
     assert sorted(tuple(r) for r in quality.homonyms(docs).collect()) == [("a b", "a-b"), ("a b", "person_3")]
+
+
+def test_homonyms_of_letters_that_fold_to_two(spark, tmp_path):
+    """The query tells names apart as its SQL does; the operator's own key takes a sharp s for two letters."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    rows = [(1, "Weißer fuß.", "en", "s1", 11), (2, "Weißer fuß.", "es", "s2", 11), (3, "Weisser fuss.", "en", "s1", 13), (4, "Weisser fuss.", "es", "s2", 13)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in entry.queries()["quality_homonyms"](spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(con.execute(entry.oracle_sql()["quality_homonyms"]).fetchall())
+    assert got == want and {name for name, _ in got} == {"weißer fuß"}
