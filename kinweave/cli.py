@@ -93,11 +93,12 @@ def _no_requirements(spark: SparkSession) -> DataFrame:
 def recommendation_rows(graph: g.GraphTables, targets: rec.Targets, top_k: int, with_text: bool) -> list[dict]:
     """The winners as dictionaries: at most ``top_k`` rows reach the driver."""
     found = rec.recommend(graph, targets, top_k=top_k)
-    ranked = found.ranked
+    ranked = stage(found.ranked, "ranked")
+    shown = rec.evidence_of(graph, ranked, targets)
     if with_text:
-        texts = explain.template_explanations(ranked, found.evidence, found.gaps).drop("rank")
+        texts = explain.template_explanations(ranked, shown, found.gaps).drop("rank")
         ranked = ranked.join(texts, ["target_id", "person_id"], "left")
-    seen = g.evidence_ids(found.evidence).join(ranked.select("target_id", "person_id"), ["target_id", "person_id"], "left_semi")
+    seen = g.evidence_ids(shown)
     place = F.row_number().over(g.W.partitionBy("target_id", "person_id").orderBy("ord"))
     first = seen.withColumn("place", place).where(F.col("place") <= SHOWN_EVIDENCE + 1).groupBy("target_id", "person_id").agg(
         F.array_sort(F.collect_list(F.struct("place", "id"))).alias("items")

@@ -13,6 +13,8 @@ from kinweave import settings
 from kinweave.functions.text import capability_id, is_placeholder, normalize, strip
 from kinweave.session import stage, stage_all
 
+PAIR = ["target_id", "person_id"]
+
 
 @dataclass(frozen=True)
 class GraphTables:
@@ -296,49 +298,60 @@ def candidate_evidence(
 
     All projects of a person, each wanted domain once (at the first project that has it), and each
     wanted capability. ``ord`` sorts them: every project, then its domains, capabilities last.
-    """
-    pair = ["target_id", "person_id"]
-    mine = people.select(*pair).join(graph.wrote.select("person_id", "project_id"), "person_id")
-    dated = mine.join(graph.projects.select("project_id", "title", "year"), "project_id")
-
-    def order(section: int, anchor: Column, slot: int, key: Column) -> Column:
-        return F.struct(F.lit(section).alias("section"), anchor.alias("anchor"), F.lit(slot).alias("slot"), key.alias("key"))
 
+    What a person shows is joined before the targets are: rows multiply by the targets last, on their way out.
+    """
+    works = _works(graph, people).select("person_id", "project_id", "title", "year")
     pid = F.col("project_id")
-    projects = dated.select(
-        *pair, F.lit("project").alias("kind"), pid.alias("id"),
+    projects = people.select(*PAIR).join(works, "person_id").select(
+        *PAIR, F.lit("project").alias("kind"), pid.alias("id"),
         F.when(F.col("title") != "", F.col("title")).otherwise(pid).alias("text"),
-        pid, "year", order(0, pid, 0, pid).alias("ord"),
+        pid, "year", _order(0, pid, 0, pid).alias("ord"),
+    )
+    return projects.unionByName(_matched_evidence(graph, people, wanted_domains, wanted_capabilities))
+
+
+def _order(section: int, anchor: Column, slot: int, key: Column) -> Column:
+    return F.struct(F.lit(section).alias("section"), anchor.alias("anchor"), F.lit(slot).alias("slot"), key.alias("key"))
+
+
+def _works(graph: GraphTables, people: DataFrame) -> DataFrame:
+    """Authorships of these people with the project's title and year, whatever the targets."""
+    mine = graph.wrote.select("person_id", "project_id").join(people.select("person_id").distinct(), "person_id", "left_semi")
+    return mine.join(graph.projects.select("project_id", "title", "year"), "project_id")
+
+
+def _matched_evidence(graph: GraphTables, people: DataFrame, wanted_domains: DataFrame, wanted_capabilities: DataFrame) -> DataFrame:
+    """The evidence rows of wanted domains and capabilities, at most one per candidate and wanted key."""
+    wanted = wanted_domains.select("target_id", "domain_id").distinct()
+    links = graph.project_domain.select("project_id", "domain_id").join(wanted.select("domain_id").distinct(), "domain_id", "left_semi")
+    first = (
+        _works(graph, people).select("person_id", "project_id", "year").join(links, "project_id")
+        .groupBy("person_id", "domain_id").agg(F.min(F.struct("project_id", "year")).alias("first"))
     )
     placed = (
-        dated.select(*pair, "project_id", "year")
-        .join(graph.project_domain.select("project_id", "domain_id"), "project_id")
-        .join(wanted_domains.select("target_id", "domain_id").distinct(), ["target_id", "domain_id"])
-        .groupBy(*pair, "domain_id").agg(F.min(F.struct("project_id", "year")).alias("first"))
+        first.join(wanted, "domain_id").join(people.select(*PAIR).distinct(), PAIR)
         .join(graph.domains.select("domain_id", "name"), "domain_id", "left")
     )
     domains = placed.select(
-        *pair, F.lit("domain").alias("kind"), F.col("domain_id").alias("id"),
+        *PAIR, F.lit("domain").alias("kind"), F.col("domain_id").alias("id"),
         F.when(F.col("name") != "", F.col("name")).otherwise(F.col("domain_id")).alias("text"),
         F.col("first.project_id"), F.col("first.year"),
-        order(0, F.col("first.project_id"), 1, F.col("domain_id")).alias("ord"),
+        _order(0, F.col("first.project_id"), 1, F.col("domain_id")).alias("ord"),
     )
+    asked = wanted_capabilities.select("target_id", "capability_id").where(F.col("capability_id").isNotNull()).distinct()
     able = (
-        people.select(*pair)
-        .join(graph.has_capability.select("person_id", "capability_id", "name"), "person_id")
-        .join(
-            wanted_capabilities.select("target_id", "capability_id").where(F.col("capability_id").isNotNull()).distinct(),
-            ["target_id", "capability_id"], "left_semi",
-        )
-        .groupBy(*pair, "capability_id").agg(F.min("name").alias("name"))
+        graph.has_capability.select("person_id", "capability_id", "name").join(asked, "capability_id")
+        .join(people.select(*PAIR).distinct(), PAIR, "left_semi")
+        .groupBy(*PAIR, "capability_id").agg(F.min("name").alias("name"))
     )
     capabilities = able.select(
-        *pair, F.lit("capability").alias("kind"), F.col("capability_id").alias("id"),
+        *PAIR, F.lit("capability").alias("kind"), F.col("capability_id").alias("id"),
         F.when(F.col("name") != "", F.col("name")).otherwise(F.col("capability_id")).alias("text"),
         F.lit(None).cast("string").alias("project_id"), F.lit(None).cast("int").alias("year"),
-        order(1, F.lit(""), 0, F.col("capability_id")).alias("ord"),
+        _order(1, F.lit(""), 0, F.col("capability_id")).alias("ord"),
     )
-    return projects.unionByName(domains).unionByName(capabilities)
+    return domains.unionByName(capabilities)
 
 
 def evidence_ids(evidence: DataFrame) -> DataFrame:
@@ -346,8 +359,36 @@ def evidence_ids(evidence: DataFrame) -> DataFrame:
     return evidence.where(F.col("id") != "").groupBy("target_id", "person_id", "id").agg(F.min("ord").alias("ord"))
 
 
+def candidate_evidence_ids(graph: GraphTables, people: DataFrame, wanted_domains: DataFrame, wanted_capabilities: DataFrame) -> DataFrame:
+    """``evidence_ids`` of ``candidate_evidence`` without gathering the projects of each candidate anew for every target.
+
+    A person's projects are made distinct once, before the targets are joined. Only identifiers that are a project's and
+    also a wanted domain's or capability's can meet twice; they alone are gathered per candidate.
+    """
+    matched = stage(_matched_evidence(graph, people, wanted_domains, wanted_capabilities).select(*PAIR, "id", "ord"), "matched")
+    works = _works(graph, people).where(F.col("project_id") != "").select("person_id", F.col("project_id").alias("id"))
+    both = stage(matched.select("id").distinct().join(graph.projects.select(F.col("project_id").alias("id")), "id", "left_semi"), "both-kinds")
+    place = _order(0, F.col("id"), 0, F.col("id")).alias("ord")
+    asked = people.select(*PAIR).distinct()
+    single = asked.join(works.join(both, "id", "left_anti").distinct(), "person_id").select(*PAIR, "id", place)
+    met = asked.join(works.join(both, "id", "left_semi").distinct(), "person_id").select(*PAIR, "id", place)
+    return single.unionByName(evidence_ids(matched.unionByName(met)))
+
+
 def evidence_by_kind(evidence: DataFrame) -> DataFrame:
     """Number of evidence rows per candidate and kind."""
     return evidence.groupBy("target_id", "person_id").agg(
         *[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in ("project", "domain", "capability")]
     )
+
+
+def candidate_evidence_by_kind(graph: GraphTables, people: DataFrame, wanted_domains: DataFrame, wanted_capabilities: DataFrame) -> DataFrame:
+    """``evidence_by_kind`` of ``candidate_evidence``; projects are counted per person, whatever the targets."""
+    matched = evidence_by_kind(_matched_evidence(graph, people, wanted_domains, wanted_capabilities))
+    # a candidate listed twice has its projects twice
+    asked = people.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("times"))
+    works = _works(graph, people).groupBy("person_id").agg(F.count(F.lit(1)).alias("n"))
+    counted = asked.join(works, "person_id", "left").join(matched.drop("n_project"), PAIR, "left")
+    zero = lambda name: F.coalesce(F.col(name), F.lit(0))
+    rows = counted.select(*PAIR, (F.col("times") * zero("n")).alias("n_project"), zero("n_domain").alias("n_domain"), zero("n_capability").alias("n_capability"))
+    return rows.where("n_project + n_domain + n_capability > 0")

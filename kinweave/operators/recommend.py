@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -42,6 +42,8 @@ class Targets:
 
 @dataclass(frozen=True)
 class Recommendation:
+    """``evidence`` is that of all candidates; ``evidence_of`` gives that of the ranked ones alone."""
+
     gaps: DataFrame
     candidates: Candidates
     evidence: DataFrame
@@ -254,6 +256,17 @@ def recommend(
     return Recommendation(gaps, candidates, evidence, features, rank_candidates(features, weights, top_k))
 
 
+def evidence_of(graph: GraphTables, ranked: DataFrame, targets: Targets) -> DataFrame:
+    """Evidence of the ranked candidates; their own authorships are few and written out, so that joins know it."""
+    people = ranked.select("person_id").distinct()
+    own = stage_all({
+        "ranked-wrote": graph.wrote.select("person_id", "project_id").join(people, "person_id", "left_semi"),
+        "ranked-able": graph.has_capability.select("person_id", "capability_id", "name").join(people, "person_id", "left_semi"),
+    })
+    theirs = replace(graph, wrote=own["ranked-wrote"], has_capability=own["ranked-able"])
+    return candidate_evidence(theirs, ranked.select(*PAIR), targets.domains, targets.requirements)
+
+
 # ---------------------------------------------------------------------------
 # Leave-one-author-out evaluation
 # ---------------------------------------------------------------------------

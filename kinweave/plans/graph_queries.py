@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +41,21 @@ def _recommendation(spark: SparkSession, sf: str):
     return rec.recommend(graph, targets)
 
 
+def _explained(spark: SparkSession, sf: str):
+    """The recommendation with its ranking written out, and the evidence of the ranked alone."""
+    graph, targets = _prepared(spark, sf)
+    found = rec.recommend(graph, targets)
+    found = replace(found, ranked=stage(found.ranked, "ranked"))
+    return found, rec.evidence_of(graph, found.ranked, targets)
+
+
+def _asked_evidence(spark: SparkSession, sf: str):
+    """What the evidence of all candidates is made of; it needs no ranking."""
+    graph, targets = _prepared(spark, sf)
+    found = g.find_candidates(graph, targets.domains, targets.requirements, targets.team)
+    return graph, stage(found.people.select(*PAIR), "candidates"), targets.domains, targets.requirements
+
+
 def _rounded(df: DataFrame, names: list[str]) -> list:
     return [F.round(F.col(n), 6).alias(n) for n in names]
 
@@ -264,19 +281,19 @@ def candidates_id_order_expanded(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT target_id, person_id, kind, id, text, project_id, year FROM evidence", "evidence")
 def candidate_evidence(spark: SparkSession, sf: str) -> DataFrame:
-    return _recommendation(spark, sf).evidence.drop("ord")
+    return g.candidate_evidence(*_asked_evidence(spark, sf)).drop("ord")
 
 
 @query("SELECT DISTINCT target_id, person_id, id FROM evidence", "evidence")
 def evidence_ids(spark: SparkSession, sf: str) -> DataFrame:
-    return g.evidence_ids(_recommendation(spark, sf).evidence).drop("ord")
+    return g.candidate_evidence_ids(*_asked_evidence(spark, sf)).drop("ord")
 
 
 @query("""
 SELECT target_id, person_id, count(*) FILTER (WHERE kind = 'project') AS n_project, count(*) FILTER (WHERE kind = 'domain') AS n_domain,
 count(*) FILTER (WHERE kind = 'capability') AS n_capability FROM evidence GROUP BY 1, 2""", "evidence")
 def evidence_by_kind(spark: SparkSession, sf: str) -> DataFrame:
-    return g.evidence_by_kind(_recommendation(spark, sf).evidence)
+    return g.candidate_evidence_by_kind(*_asked_evidence(spark, sf))
 
 
 @query(f"SELECT target_id, person_id, {_ROUNDED_FEATURES} FROM features", "features")

@@ -148,3 +148,22 @@ def test_leave_one_out_query_takes_every_project_of_three_authors(spark):
     eligible = {r["project_id"]: r["n"] for r in authors.where("n >= 3").collect()}
     assert 3 in eligible.values()
     assert {r["target_id"] for r in graph_queries.held_out_authors(spark, sf).collect()} == set(eligible)
+
+
+def test_evidence_is_gathered_per_person_before_the_targets(spark, graph):
+    """Identifiers and counts equal those of the evidence rows, also where a domain bears the identifier of a project."""
+    from dataclasses import replace
+
+    t = targets(spark)
+    doubled = t.domains.unionByName(t.domains.withColumn("target_id", F.lit("t2")))
+    asked = t.requirements.unionByName(t.requirements.withColumn("target_id", F.lit("t2")))
+    same = graph.project_domain.withColumn("domain_id", F.when(F.col("domain_id") == "x", F.lit("p2")).otherwise(F.col("domain_id")))
+    named = doubled.withColumn("domain_id", F.when(F.col("domain_id") == "x", F.lit("p2")).otherwise(F.col("domain_id")))
+    for tables, wanted in ((graph, doubled), (replace(graph, project_domain=same), named)):
+        people = g.find_candidates(tables, wanted, asked, t.team).people
+        rows = g.candidate_evidence(tables, people, wanted, asked)
+        plain = lambda df: sorted((r.asDict(recursive=True) for r in df.collect()), key=repr)
+        assert plain(g.candidate_evidence_ids(tables, people, wanted, asked)) == plain(g.evidence_ids(rows))
+        assert plain(g.candidate_evidence_by_kind(tables, people, wanted, asked)) == plain(g.evidence_by_kind(rows))
+        few = people.where("person_id = 'c'")
+        assert plain(rec.evidence_of(tables, few, rec.Targets(wanted, asked, t.team))) == plain(rows.where("person_id = 'c'"))
