@@ -11,17 +11,20 @@ from pyspark.sql import functions as F
 
 from kinweave import settings
 
-SPACE = r"[\s\x1c-\x1f]"  # used under (?U), so that it covers every Unicode space
+#: Every Unicode space and the four separators below the blank, spelled out: a class of plain ranges is matched much
+#: faster than ``\\s`` under (?U).
+SPACES = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+SPACE = r"[\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 def strip(text: Column) -> Column:
-    """Drop leading and trailing Unicode white space (``trim`` knows only the blank)."""
-    return F.regexp_replace(text, f"(?U)^{SPACE}+|{SPACE}+$", "")
+    """Drop leading and trailing Unicode white space (``trim`` alone knows only the blank)."""
+    return F.btrim(text, F.lit(SPACES))
 
 
 def squeeze(text: Column) -> Column:
     """Collapse each run of white space to one blank."""
-    return F.regexp_replace(text, f"(?U){SPACE}+", " ")
+    return F.regexp_replace(text, f"{SPACE}+", " ")
 
 
 def blank_to_null(text: Column) -> Column:
@@ -112,7 +115,7 @@ def name_key(name: Column) -> Column:
 def normalize(name: Column) -> Column:
     """Canonical form of a capability name: lower case, no accents, no punctuation, single blanks."""
     plain = F.translate(strip_accents(F.lower(strip(name))), "-_", "  ")
-    return strip(squeeze(F.regexp_replace(plain, f"(?U)[^\\p{{L}}\\p{{N}}_{SPACE[1:-1]}]", "")))
+    return strip(squeeze(F.regexp_replace(plain, f"[^\\p{{L}}\\p{{N}}_{SPACE[1:-1]}]", "")))
 
 
 def capability_id(name: Column) -> Column:
@@ -146,7 +149,7 @@ def is_abbreviation(normal: Column) -> Column:
 
 def slug(text: Column) -> Column:
     """Trimmed, lower-cased text with underscores for white space."""
-    return F.regexp_replace(F.lower(strip(text)), f"(?U){SPACE}+", "_")
+    return F.regexp_replace(F.lower(strip(text)), f"{SPACE}+", "_")
 
 
 def person_match_key(name: Column) -> Column:
@@ -202,7 +205,7 @@ def is_valid_language(value: Column) -> Column:
 
 def query_keywords(query: Column) -> Column:
     """Three-, two- and one-word phrases of a free-text query, stop words removed, first thirty."""
-    cleaned = F.regexp_replace(F.lower(query), f"(?U)[^\\p{{L}}\\p{{N}}_\\-{SPACE[1:-1]}]", " ")
+    cleaned = F.regexp_replace(F.lower(query), f"[^\\p{{L}}\\p{{N}}_\\-{SPACE[1:-1]}]", " ")
     stop = F.array(*[F.lit(w) for w in settings.QUERY_STOPWORDS])
     tokens = F.filter(
         F.split(squeeze(cleaned), " "),

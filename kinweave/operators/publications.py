@@ -38,19 +38,20 @@ def extract_projects(records: DataFrame) -> DataFrame:
 
 
 def extract_conferences(records: DataFrame) -> DataFrame:
-    """At most one conference per record. The end date is not part of its identifier."""
+    """At most one conference per record. The end date is not part of its identifier.
+
+    Records without one drop out by ``explode``: a filter would be moved below the parsing of the record and repeat it.
+    """
     doc = F.col("doc")
-    listed = as_list(doc, "conferenceTitle_s")
-    rows = records.select(
-        "doc_ord",
-        "projectHalId",
-        F.lit(0).alias("pos"),
-        F.get(listed, F.lit(0)).alias("title"),
+    event = F.struct(
+        F.get(as_list(doc, "conferenceTitle_s"), F.lit(0)).alias("title"),
         text(doc, "conferenceStartDate_s").alias("startDate"),
         text(doc, "conferenceEndDate_s").alias("endDate"),
         text(doc, "city_s").alias("city"),
         text(doc, "country_s").alias("country"),
-    ).where(F.col("title") != "")
+    )
+    found = F.explode(F.filter(F.array(event), lambda e: e["title"] != ""))
+    rows = records.select("doc_ord", "projectHalId", F.lit(0).alias("pos"), found.alias("event")).select("doc_ord", "projectHalId", "pos", "event.*")
     parts = F.array(*[slug(F.col(c)) for c in ("title", "startDate", "city", "country")])
     return rows.select(
         "doc_ord", "projectHalId", "pos",

@@ -58,3 +58,28 @@ def test_citations_and_display_names(spark):
     out = df.select(x.cited_ids(F.col("t")), x.display_name(F.col("p"))).collect()
     assert out[0][0] == ["hal-1", "a.b"] and out[1][0] == []
     assert out[0][1] == "ada-o'neil-2x".replace("-", " ").title() and out[1][1] == "unknown_X y"
+
+
+def test_strip_and_squeeze_know_every_space(spark):
+    """The spelled-out spaces are those of the Unicode property and the four separators, and no other character of the plane."""
+    spaces = {c for c in map(chr, range(0x110000)) if c.isspace()}
+    assert set(x.SPACES) == spaces and not any(unicodedata.category(c)[0] in "LN" for c in x.SPACES)
+    points = [p for p in range(1, 0x3100) if not 0xD800 <= p < 0xE000]
+    rows = spark.createDataFrame([(p, f"{chr(p)}a{chr(p)}{chr(p)}b{chr(p)}\n") for p in points], "p int, t string")
+    out = rows.select("p", x.strip(F.col("t")).alias("s"), x.squeeze(F.col("t")).alias("q")).collect()
+    for r in out:
+        c = chr(r["p"])
+        assert r["s"] == (f"a{c}{c}b" if c in spaces else f"{c}a{c}{c}b{c}"), r
+        assert r["q"] == (" a b " if c in spaces else f"{c}a{c}{c}b{c} "), r
+
+
+def test_conferences_parse_a_record_once(spark):
+    """No filter stands below the parsing of a record, where it would repeat it."""
+    from kinweave.operators.canonical import with_project_id
+    from kinweave.operators.publications import extract_conferences
+    from kinweave.sources.records import parse_lines
+
+    lines = spark.createDataFrame([(i, t) for i, t in enumerate(['{"conferenceTitle_s": ["C", "x"]}', '{"conferenceTitle_s": ""}', "{}"])], "doc_ord long, value string")
+    rows = extract_conferences(with_project_id(parse_lines(lines)))
+    assert [r["conferenceId"] for r in rows.collect()] == ["c"]
+    assert str(rows._jdf.queryExecution().optimizedPlan()).count("parseJson") == 1
