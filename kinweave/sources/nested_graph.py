@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from kinweave import settings
 from kinweave.operators.graph import GraphTables
+from kinweave.session import stage
 
 _DEFAULT_CONFIDENCE = 0.7
 
@@ -53,10 +54,11 @@ def _last(rows: DataFrame, key: str, order: str = "ord") -> DataFrame:
 def nested_graph(projects: DataFrame, capabilities: DataFrame) -> GraphTables:
     """Tables of projects(ord, doc) and capabilities(ord, doc); of documents with one project_id the last one counts.
 
-    People known by a capability alone get its name, as no other is given. Parents of a domain become edges.
+    People known by a capability alone get its name, as no other is given. Parents of a domain become edges. Every
+    document is parsed once and written out, since all tables are read from it.
     """
     read = projects.select("ord", F.variant_get("doc", "$.project_id", "string").alias("project_id"), "doc").where("project_id IS NOT NULL")
-    newest = read.groupBy("project_id").agg(F.max_by("doc", "ord").alias("doc"), F.max("ord").alias("ord"))
+    newest = stage(read.groupBy("project_id").agg(F.max_by("doc", "ord").alias("doc"), F.max("ord").alias("ord")), "nested-projects")
     members = newest.select("ord", "project_id", F.posexplode(_items("doc", "members")).alias("pos", "m")).select(
         F.struct("ord", "pos").alias("ord"), "project_id", "pos", F.try_variant_get("m", "$.person_id", "string").alias("person_id"),
         _text("m", "full_name").alias("full_name")).where("person_id IS NOT NULL")
@@ -64,7 +66,7 @@ def nested_graph(projects: DataFrame, capabilities: DataFrame) -> GraphTables:
         F.struct("ord", "pos").alias("ord"), "project_id", F.try_variant_get("d", "$.domain_id", "string").alias("domain_id"),
         _text("d", "name").alias("name"), _text("d", "name_fr").alias("name_fr"), F.try_variant_get("d", "$.parent_ids", "array<string>").alias("parents"),
     ).where("domain_id IS NOT NULL")
-    able = capabilities.select(
+    able = stage(capabilities.select(
         "ord", F.variant_get("doc", "$.person_id", "string").alias("person_id"), F.variant_get("doc", "$.capability_id", "string").alias("capability_id"),
         _text("doc", "name").alias("name"), _text("doc", "kind", "UNKNOWN").alias("kind"),
         F.coalesce(F.try_variant_get("doc", "$.publication_count", "int"), F.lit(1)).alias("publication_count"),
@@ -72,7 +74,7 @@ def nested_graph(projects: DataFrame, capabilities: DataFrame) -> GraphTables:
         F.coalesce(F.try_variant_get("doc", "$.avg_confidence", "double"), F.lit(_DEFAULT_CONFIDENCE)).alias("avg_confidence"),
         F.try_variant_get("doc", "$.last_seen_year", "int").alias("last_seen_year"),
         _text("doc", "extraction_version", settings.EXTRACTION_VERSION).alias("extraction_version"),
-    ).where("person_id IS NOT NULL AND capability_id IS NOT NULL")
+    ).where("person_id IS NOT NULL AND capability_id IS NOT NULL"), "nested-able")
     named = _last(members.select("ord", "person_id", "full_name"), "person_id")
     others = able.join(named, "person_id", "left_anti").groupBy("person_id").agg(
         F.min_by(F.coalesce(F.nullif("name", F.lit("")), F.col("person_id")), "ord").alias("full_name"))

@@ -281,3 +281,12 @@ def test_environment_settings():
         settings.graph_store_from_env(env={})
     assert settings.text_backend_settings({})["provider"] == "fake"
     assert settings.graph_names()["relationships"]["authorship"] == "WROTE"
+
+
+def test_nested_documents_are_parsed_once(spark):
+    text = spark.createDataFrame([('{"project_id": "p", "members": [{"person_id": "a"}], "domains": [{"domain_id": "d"}]}',)], "value string")
+    able = spark.createDataFrame([('{"person_id": "a", "capability_id": "c"}',)], "value string")
+    graph = nested_graph.nested_graph(nested_graph.documents(text), nested_graph.documents(able))
+    for table in (graph.projects, graph.authors, graph.wrote, graph.project_domain, graph.domains, graph.subdomain_of, graph.has_capability):
+        assert "parseJson" not in str(table._jdf.queryExecution().optimizedPlan())
+    assert graph.wrote.count() == graph.has_capability.count() == 1
