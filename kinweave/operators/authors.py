@@ -83,24 +83,28 @@ def aligned_ids(names: Column, ids: Column) -> Column:
     )
 
 
+def _author_id(a: Column, full: Column, i: Column) -> Column:
+    person = F.get(a["personId"], i)
+    fallback = F.when(person.isNotNull(), F.concat(F.lit("person_"), person.cast("string"))).otherwise(
+        F.concat(F.lit("unknown_"), F.coalesce(F.when(full != "", full), i.cast("string")))
+    )
+    return F.coalesce(F.get(a["halId"], i), fallback)
+
+
 def _author(a: Column, full: Column, i: Column) -> Column:
     first, last = F.get(a["firstName"], i), F.get(a["lastName"], i)
     unnamed = first.isNull() & last.isNull() & (full != "")
     parts = F.split(F.regexp_replace(full, f"(?U)^{SPACE}+", ""), f"(?U){SPACE}+", 2)
-    person = F.get(a["personId"], i)
     first_name = F.coalesce(F.when(unnamed, F.get(parts, F.lit(0))).otherwise(first), F.lit(NO_TEXT))
     last_name = F.coalesce(F.when(unnamed, F.get(parts, F.lit(1))).otherwise(last), F.lit(NO_TEXT))
-    fallback = F.when(person.isNotNull(), F.concat(F.lit("person_"), person.cast("string"))).otherwise(
-        F.concat(F.lit("unknown_"), F.coalesce(F.when(full != "", full), i.cast("string")))
-    )
     rest = [
         F.coalesce(F.get(a[name], i), F.lit(NO_TEXT)).alias(name)
         for name in ATTRIBUTE_FIELDS
         if name not in ("firstName", "lastName")
     ]
     return F.struct(
-        F.coalesce(F.get(a["halId"], i), fallback).alias("halId"),
-        person.alias("personId"),
+        _author_id(a, full, i).alias("halId"),
+        F.get(a["personId"], i).alias("personId"),
         first_name.alias("firstName"),
         last_name.alias("lastName"),
         F.concat_ws(" ", F.when(first_name != "", first_name), F.when(last_name != "", last_name)).alias("fullName"),
@@ -109,21 +113,35 @@ def _author(a: Column, full: Column, i: Column) -> Column:
     )
 
 
-def author_array(doc: Column) -> Column:
-    """All authors of one record as an array of structs, in record order."""
+def _bound_ids(doc: Column) -> list[Column]:
+    """Names, aligned identifiers and person numbers of one record."""
     names = as_list(doc, "authFullName_s")
     person = F.transform(
         truthy_list(doc, "authIdPerson_i"), lambda v: let(parse_digits(v), lambda n: F.when(n != 0, n))
     )
-    bound = F.struct(
+    return [
         names.alias("names"),
         aligned_ids(names, truthy_list(doc, "authIdHal_s", promote=True)).alias("halId"),
         person.alias("personId"),
-        *[truthy_list(doc, field).alias(name) for name, field in ATTRIBUTE_FIELDS.items()],
-    )
+    ]
+
+
+def author_array(doc: Column) -> Column:
+    """All authors of one record as an array of structs, in record order."""
+    bound = F.struct(*_bound_ids(doc), *[truthy_list(doc, field).alias(name) for name, field in ATTRIBUTE_FIELDS.items()])
     return let(bound, lambda a: F.transform(a["names"], lambda full, i: _author(a, full, i)))
 
 
+def author_ids(doc: Column) -> Column:
+    """The identifiers of ``author_array`` alone; names and attributes are not read."""
+    return let(F.struct(*_bound_ids(doc)), lambda a: F.transform(a["names"], lambda full, i: _author_id(a, full, i)))
+
+
+def extract_author_links(records: DataFrame) -> DataFrame:
+    """(projectHalId, authorHalId) per author appearance, as in ``extract_authors``."""
+    return records.select("projectHalId", F.explode(author_ids(F.col("doc"))).alias("authorHalId"))
+
+
 def extract_authors(records: DataFrame) -> DataFrame:
     """One row per author appearance: (doc_ord, projectHalId, pos, author columns)."""
     rows = records.select("doc_ord", "projectHalId", F.posexplode(author_array(F.col("doc"))).alias("pos", "author"))

@@ -68,3 +68,16 @@ def test_conference_key_leaves_out_the_end_date(records):
 def test_first_record_of_a_key_wins(records):
     rows = canonical_table(records({"halId_s": "h", "title_s": "first"}, {"halId_s": "h", "title_s": "second"}), "projects").collect()
     assert [r["title"] for r in rows] == ["first"]
+
+
+def test_author_links_are_those_of_the_whole_authors(records):
+    from kinweave.operators import authors as a
+    from kinweave.operators.canonical import with_project_id
+
+    rows = with_project_id(records(
+        {"halId_s": "h1", "authFullName_s": ["Ada B", "Cy D", ""], "authIdHal_s": ["cy-d", "ada-b"], "authIdPerson_i": [0, 5, 7]},
+        {"halId_s": "h2", "authFullName_s": "Solo X", "authIdHal_s": "solo-x"}, {"halId_s": "h3"}, {"authFullName_s": ["No Id", None], "authIdHal_s": ["0"]},
+    ))
+    plain = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    links = plain(a.extract_author_links(rows))
+    assert links == plain(a.extract_authors(rows).select("projectHalId", "halId")) and len(links) == 6
