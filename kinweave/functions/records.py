@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.functions.text import strip
@@ -23,6 +23,11 @@ def raw(doc: Column, field: str) -> Column:
     return F.try_variant_get(doc, f"$.{field}", "variant")
 
 
+def opened(records: DataFrame, name: str, build: Callable[[Column], Column]) -> Column:
+    """``build(doc)``, or the column of that name where the records carry it already."""
+    return F.col(name) if name in records.columns else build(F.col("doc"))
+
+
 def has_key(doc: Column, field: str) -> Column:
     return raw(doc, field).isNotNull()
 

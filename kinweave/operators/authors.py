@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.functions.records import as_list, let, parse_digits, truthy_list
+from kinweave.functions.records import as_list, let, opened, parse_digits, truthy_list
 from kinweave.functions.text import SPACE, name_key, strip
 
 NO_TEXT = ""
@@ -94,23 +94,26 @@ def _author_id(a: Column, full: Column, i: Column) -> Column:
 def _author(a: Column, full: Column, i: Column) -> Column:
     first, last = F.get(a["firstName"], i), F.get(a["lastName"], i)
     unnamed = first.isNull() & last.isNull() & (full != "")
-    parts = F.split(F.regexp_replace(full, f"(?U)^{SPACE}+", ""), f"(?U){SPACE}+", 2)
-    first_name = F.coalesce(F.when(unnamed, F.get(parts, F.lit(0))).otherwise(first), F.lit(NO_TEXT))
-    last_name = F.coalesce(F.when(unnamed, F.get(parts, F.lit(1))).otherwise(last), F.lit(NO_TEXT))
+    parts = F.when(unnamed, F.split(F.regexp_replace(full, f"(?U)^{SPACE}+", ""), f"(?U){SPACE}+", 2)).otherwise(F.array(first, last))
     rest = [
         F.coalesce(F.get(a[name], i), F.lit(NO_TEXT)).alias(name)
         for name in ATTRIBUTE_FIELDS
         if name not in ("firstName", "lastName")
     ]
-    return F.struct(
-        _author_id(a, full, i).alias("halId"),
-        F.get(a["personId"], i).alias("personId"),
-        first_name.alias("firstName"),
-        last_name.alias("lastName"),
-        F.concat_ws(" ", F.when(first_name != "", first_name), F.when(last_name != "", last_name)).alias("fullName"),
-        *rest,
-        full.alias("givenName"),
-    )
+
+    def row(both: Column) -> Column:
+        first_name, last_name = (F.coalesce(F.get(both, F.lit(k)), F.lit(NO_TEXT)) for k in (0, 1))
+        return F.struct(
+            _author_id(a, full, i).alias("halId"),
+            F.get(a["personId"], i).alias("personId"),
+            first_name.alias("firstName"),
+            last_name.alias("lastName"),
+            F.concat_ws(" ", F.when(first_name != "", first_name), F.when(last_name != "", last_name)).alias("fullName"),
+            *rest,
+            full.alias("givenName"),
+        )
+
+    return let(parts, row)  # the name is split once
 
 
 def _bound_ids(doc: Column) -> list[Column]:
@@ -144,7 +147,7 @@ def extract_author_links(records: DataFrame) -> DataFrame:
 
 def extract_authors(records: DataFrame) -> DataFrame:
     """One row per author appearance: (doc_ord, projectHalId, pos, author columns)."""
-    rows = records.select("doc_ord", "projectHalId", F.posexplode(author_array(F.col("doc"))).alias("pos", "author"))
+    rows = records.select("doc_ord", "projectHalId", F.posexplode(opened(records, "author_array", author_array)).alias("pos", "author"))
     return rows.select("doc_ord", "projectHalId", "pos", "author.*")
 
 

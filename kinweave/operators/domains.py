@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinweave import settings
-from kinweave.functions.records import as_list, let, text, unique_text
+from kinweave.functions.records import as_list, let, opened, text, unique_text
 from kinweave.functions.text import clean_domain_label, strip
 
 
@@ -29,9 +29,13 @@ def hierarchy_array(doc: Column) -> Column:
     return let(levels, edges)
 
 
+def main_code(doc: Column) -> Column:
+    return strip(text(doc, "primaryDomain_s"))
+
+
 def association_codes(doc: Column) -> Column:
     """Codes the record is filed under; a primary code that is not listed comes first."""
-    primary = strip(text(doc, "primaryDomain_s"))
+    primary = main_code(doc)
     codes = as_list(doc, "domainAllCode_s")
     listed = unique_text(F.when(F.size(codes) > 0, codes).otherwise(as_list(doc, "domain_s")))
     return let(
@@ -107,15 +111,14 @@ def domain_array(doc: Column) -> Column:
 
 
 def extract_domains(records: DataFrame) -> DataFrame:
-    rows = records.select("doc_ord", F.posexplode(domain_array(F.col("doc"))).alias("pos", "d"))
+    rows = records.select("doc_ord", F.posexplode(opened(records, "domain_array", domain_array)).alias("pos", "d"))
     return rows.select("doc_ord", "pos", "d.*")
 
 
 def extract_domain_links(records: DataFrame) -> DataFrame:
-    primary = strip(text(F.col("doc"), "primaryDomain_s"))
     rows = records.select(
-        "doc_ord", "projectHalId", primary.alias("main"),
-        F.posexplode(association_codes(F.col("doc"))).alias("pos", "domainId"),
+        "doc_ord", "projectHalId", opened(records, "main_code", main_code).alias("main"),
+        F.posexplode(opened(records, "association_codes", association_codes)).alias("pos", "domainId"),
     )
     return rows.select(
         "doc_ord", "projectHalId", "pos", "domainId", ((F.col("main") != "") & (F.col("main") == F.col("domainId"))).alias("primary")
@@ -123,5 +126,5 @@ def extract_domain_links(records: DataFrame) -> DataFrame:
 
 
 def extract_hierarchy(records: DataFrame) -> DataFrame:
-    rows = records.select("doc_ord", F.posexplode(hierarchy_array(F.col("doc"))).alias("pos", "e"))
+    rows = records.select("doc_ord", F.posexplode(opened(records, "hierarchy_array", hierarchy_array)).alias("pos", "e"))
     return rows.select("doc_ord", "pos", "e.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.functions.records import as_list, let, parse_digits
+from kinweave.functions.records import as_list, let, opened, parse_digits
 from kinweave.functions.text import last_segment, strip
 
 ATTRIBUTE_FIELDS = {
@@ -82,10 +82,10 @@ def part_of_array(doc: Column) -> Column:
 
 
 def extract_organizations(records: DataFrame) -> DataFrame:
-    rows = records.select("doc_ord", "projectHalId", F.posexplode(organization_array(F.col("doc"))).alias("pos", "o"))
+    rows = records.select("doc_ord", "projectHalId", F.posexplode(opened(records, "organization_array", organization_array)).alias("pos", "o"))
     return rows.select("doc_ord", "projectHalId", "pos", "o.*")
 
 
 def extract_part_of(records: DataFrame) -> DataFrame:
-    rows = records.select("doc_ord", F.posexplode(part_of_array(F.col("doc"))).alias("pos", "e"))
+    rows = records.select("doc_ord", F.posexplode(opened(records, "part_of_array", part_of_array)).alias("pos", "e"))
     return rows.select("doc_ord", "pos", "e.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.functions.records import as_list, first_text, is_missing, raw, text
+from kinweave.functions.records import as_list, first_text, is_missing, opened, raw, text
 from kinweave.functions.text import parse_year, slug
 
 
@@ -18,13 +18,10 @@ def _text_list(doc: Column, field: str) -> Column:
     return F.transform(as_list(doc, field), lambda x: F.coalesce(x, F.lit("None")))
 
 
-def extract_projects(records: DataFrame) -> DataFrame:
-    doc = F.col("doc")
+def project_fields(doc: Column) -> Column:
+    """What a record says of its publication, one struct."""
     year = F.when(is_missing(doc, "publicationDateY_i"), text(doc, "producedDate_s")).otherwise(text(doc, "publicationDateY_i"))
-    return records.select(
-        "doc_ord",
-        F.lit(0).alias("pos"),
-        F.col("projectHalId").alias("halId"),
+    return F.struct(
         first_text(doc, "title_s", "Untitled").alias("title"),
         first_text(doc, "abstract_s").alias("abstract"),
         _text_list(doc, "keyword_s").alias("keywords"),
@@ -37,12 +34,13 @@ def extract_projects(records: DataFrame) -> DataFrame:
     )
 
 
-def extract_conferences(records: DataFrame) -> DataFrame:
-    """At most one conference per record. The end date is not part of its identifier.
+def extract_projects(records: DataFrame) -> DataFrame:
+    rows = records.select("doc_ord", F.col("projectHalId").alias("halId"), opened(records, "project_fields", project_fields).alias("project"))
+    return rows.select("doc_ord", F.lit(0).alias("pos"), "halId", "project.*")
 
-    Records without one drop out by ``explode``: a filter would be moved below the parsing of the record and repeat it.
-    """
-    doc = F.col("doc")
+
+def conference_array(doc: Column) -> Column:
+    """The record's conference, or an empty array."""
     event = F.struct(
         F.get(as_list(doc, "conferenceTitle_s"), F.lit(0)).alias("title"),
         text(doc, "conferenceStartDate_s").alias("startDate"),
@@ -50,7 +48,15 @@ def extract_conferences(records: DataFrame) -> DataFrame:
         text(doc, "city_s").alias("city"),
         text(doc, "country_s").alias("country"),
     )
-    found = F.explode(F.filter(F.array(event), lambda e: e["title"] != ""))
+    return F.filter(F.array(event), lambda e: e["title"] != "")
+
+
+def extract_conferences(records: DataFrame) -> DataFrame:
+    """At most one conference per record. The end date is not part of its identifier.
+
+    Records without one drop out by ``explode``: a filter would be moved below the parsing of the record and repeat it.
+    """
+    found = F.explode(opened(records, "conference_array", conference_array))
     rows = records.select("doc_ord", "projectHalId", F.lit(0).alias("pos"), found.alias("event")).select("doc_ord", "projectHalId", "pos", "event.*")
     parts = F.array(*[slug(F.col(c)) for c in ("title", "startDate", "city", "country")])
     return rows.select(

@@ -161,7 +161,7 @@ SELECT 'research_domain_hierarchy', count(DISTINCT (lang, source)) FROM docs""",
 def canonical_table_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Row counts of all eleven tables."""
     out = None
-    for name, rows in canonical_tables(stage(corpus.records(spark, sf), "records")).items():
+    for name, rows in canonical_tables(corpus.records(spark, sf)).items():
         counted = rows.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("n"))
         out = counted if out is None else out.unionAll(counted)
     return out

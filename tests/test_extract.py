@@ -81,3 +81,15 @@ def test_author_links_are_those_of_the_whole_authors(records):
     plain = lambda df: sorted(map(tuple, df.collect()), key=repr)
     links = plain(a.extract_author_links(rows))
     assert links == plain(a.extract_authors(rows).select("projectHalId", "halId")) and len(links) == 6
+
+
+def test_tables_read_opened_records(records):
+    """A record is parsed once for all eleven tables, which hold what each gives by itself."""
+    docs = records({**SHIFTED, "structId_i": [1], "structIsChildOf_fs": "1_Lab_JoinSep_2_FacetSep_x", "primaryDomain_s": "a.b",
+                    "level0_domain_s": "a", "level1_domain_s": "a.b", "conferenceTitle_s": "Conf"}, {"docid": 5, "authFullName_s": [" Ada  Byron King"]}, "broken")
+    tables = canonical_tables(docs)
+    for name, rows in tables.items():
+        assert "variant_get" not in rows._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted(map(repr, rows.collect())) == sorted(map(repr, canonical_table(docs, name).collect()))
+    assert all(rows.count() for rows in tables.values())
+    assert {(r["firstName"], r["lastName"]) for r in tables["authors"].where("halId = 'unknown_ Ada  Byron King'").collect()} == {("Ada", "Byron King")}
