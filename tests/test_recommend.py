@@ -167,3 +167,57 @@ def test_evidence_is_gathered_per_person_before_the_targets(spark, graph):
         assert plain(g.candidate_evidence_by_kind(tables, people, wanted, asked)) == plain(g.evidence_by_kind(rows))
         few = people.where("person_id = 'c'")
         assert plain(rec.evidence_of(tables, few, rec.Targets(wanted, asked, t.team))) == plain(rows.where("person_id = 'c'"))
+
+
+def _random_graph(spark, seed, people=60, projects=80):
+    import random
+
+    rnd = random.Random(seed)
+    wrote = [(f"a{a:02d}", f"p{p:02d}", rnd.random()) for p in range(projects) for a in rnd.sample(range(people), rnd.choice([1, 1, 2, 3, 4, 5]))]
+    links = {(f"p{p:02d}", d) for p in range(projects) for d in rnd.sample(["x", "x.y", "x.z", "q", "q.r", "ml"], rnd.choice([0, 1, 2, 3]))}
+    able = {(f"a{a:02d}", c) for a in range(people) for c in rnd.sample(["sql", "ml", "ML", "rust", "x", "R"], rnd.choice([0, 0, 1, 2, 4]))}
+    asked = {(f"p{p:02d}", c): (rnd.choice([c, "ml", "sql "]), rnd.choice([0.5, 1.0, 2.0])) for p in range(projects) for c in rnd.sample(["sql", "ML", "rust", "q"], rnd.choice([0, 1, 3]))}
+    frame = spark.createDataFrame
+    graph = g.GraphTables(
+        projects=frame([(f"p{p:02d}", "T", rnd.choice([None, 2001, 2020, 2024])) for p in range(projects)], "project_id string, title string, year int"),
+        authors=frame([(f"a{a:02d}", "A") for a in range(people)], "person_id string, full_name string"),
+        wrote=frame([(a, p, int(1000 * x)) for a, p, x in wrote], "person_id string, project_id string, pos int"),
+        project_domain=frame(sorted(links), "project_id string, domain_id string"),
+        domains=frame([(d, d, "") for d in ("x", "x.y", "x.z", "q", "q.r", "ml")], "domain_id string, name string, name_fr string"),
+        subdomain_of=frame([("x.y", "x"), ("x.z", "x"), ("q.r", "q")], "child_id string, parent_id string"),
+        has_capability=frame([(p, c, c, "TOOL", 2022) for p, c in sorted(able)],
+                             "person_id string, capability_id string, name string, kind string, last_seen_year int"),
+    )
+    keywords = frame([(f"p{p:02d}", k) for p in range(projects) for k in ("ml", "kw")], "project_id string, keyword string")
+    required = frame([(p, c, c, name, w, "s") for (p, c), (name, w) in sorted(asked.items())],
+                     "project_id string, req string, capability_id string, name string, importance double, source string")
+    return graph, keywords, required
+
+
+@pytest.mark.parametrize("with_requirements, top_k", [(False, 10), (True, 10), (True, 3)])
+def test_held_out_ranks_are_those_of_the_whole_ranking_without_scoring_all(spark, monkeypatch, with_requirements, top_k):
+    """Ranks equal those among all candidates, while only pairs that can matter are scored; blocks may be of any size."""
+    from kinweave.operators import rivals
+
+    monkeypatch.setattr(rivals, "PEOPLE_BLOCK", 25)
+    monkeypatch.setattr(rivals, "BATCH", 7)
+    graph, keywords, required = _random_graph(spark, 5)
+    required = required if with_requirements else required.limit(0)
+    closure = g.ancestor_closure(graph.subdomain_of)
+    held, team = rec.held_out_split(graph.wrote, graph.projects, 3)
+    of = lambda df: df.withColumnRenamed("project_id", "target_id").join(held.select("target_id"), "target_id", "left_semi")
+    asked = rec.Targets(g.with_ancestors(of(graph.project_domain), closure, ["target_id"]), of(required), team, of(keywords))
+    whole = rec.recommend(graph, asked, top_k=top_k)
+    want = sorted(tuple(r) for r in rec.evaluate_held_out(held, whole.ranked).collect())
+    scored = []
+    compute = rec.compute_features
+
+    def counted(gaps, profile, persons, people, *rest, **named):
+        scored.append(people.count())
+        return compute(gaps, profile, persons, people, *rest, **named)
+
+    monkeypatch.setattr(rec, "compute_features", counted)
+    got = sorted(tuple(r) for r in rec.leave_one_out(graph, closure, keywords, required, 3, top_k).collect())
+    key = lambda rows: [(t, p, r, x) for t, p, r, x in rows]
+    assert key(got) == key(want) and {r[2] for r in got} > {None, 1}
+    assert sum(scored) < whole.features.count()
