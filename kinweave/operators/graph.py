@@ -34,10 +34,10 @@ class GraphTables:
     subdomain_of: DataFrame
     has_capability: DataFrame | None = None
 
-    def staged(self, *names: str) -> GraphTables:
-        """A copy whose named tables are written out once and read many times."""
+    def staged(self, *names: str, by: str | None = None) -> GraphTables:
+        """A copy whose named tables are written out once and read many times, bucketed where a key is given."""
         chosen = names or [f.name for f in fields(self) if getattr(self, f.name) is not None]
-        return replace(self, **stage_all({n: getattr(self, n) for n in chosen}))
+        return replace(self, **stage_all({n: getattr(self, n) for n in chosen}, by))
 
 
 # ---------------------------------------------------------------------------
@@ -237,17 +237,18 @@ def near_people(wrote: DataFrame, team: DataFrame, hops: int) -> Near:
 def distance_of(people: DataFrame, near: Near, max_hops: int = settings.MAX_COAUTHOR_HOPS) -> DataFrame:
     """Hops of these (target_id, person_id), written out before, from what lies within ``max_hops - 1``.
 
-    Others are at the last hop when a project of theirs has a member at the hop before. Few people look that up from
-    their own projects; where the frontier is smaller than they are, its projects are walked outward instead.
+    Others are at the last hop when a project of theirs has a member at the hop before. That step is walked from the side
+    with fewer rows, the other side only answers whether it holds what was met.
     """
     asked = people.select(*PAIR).distinct()
     found = asked.join(near.known, PAIR)
-    far = asked.join(near.known, PAIR, "left_anti")
-    reached = near.frontier.join(near.edges, "person_id").select("target_id", "project_id").distinct()
-    if near.frontier.count() < people.count():
-        last = far.join(reached.join(near.edges, "project_id").select(*PAIR).distinct(), PAIR, "left_semi")
+    far = stage(asked.join(near.known, PAIR, "left_anti"), "far")
+    if near.frontier.count() < far.count():
+        last = far.join(_coauthors(near.frontier, near.edges, ["target_id"]), PAIR, "left_semi")
     else:
-        last = far.join(near.edges, "person_id").join(reached, ["target_id", "project_id"], "left_semi").select(*PAIR).distinct()
+        theirs = far.join(near.edges, "person_id")
+        met = theirs.select("target_id", "project_id").distinct().join(near.edges, "project_id").join(near.frontier, PAIR, "left_semi")
+        last = theirs.join(met.select("target_id", "project_id").distinct(), ["target_id", "project_id"], "left_semi").select(*PAIR).distinct()
     return found.unionByName(last.withColumn("hops", F.lit(max_hops)))
 
 
@@ -263,10 +264,22 @@ class Candidates:
     matches: DataFrame
 
 
-def person_domains(graph: GraphTables, closure: DataFrame | None = None) -> DataFrame:
-    """Distinct (person_id, domain_id) over all projects; with ``closure`` the ancestors of their domains too."""
+def person_domains(graph: GraphTables, closure: DataFrame | None = None, wanted: DataFrame | None = None) -> DataFrame:
+    """Distinct (person_id, domain_id) over all projects; with ``closure`` the ancestors of their domains too.
+
+    Of ``wanted`` (domain_id) only, where given: each domain is mapped to the wanted ones it stands for before any
+    project is looked at, so that neither other domains nor repeated ancestors are moved.
+    """
     links = graph.project_domain.select("project_id", "domain_id")
-    if closure is not None:
+    if wanted is not None:
+        stands = wanted.select("domain_id", F.col("domain_id").alias("for"))
+        if closure is not None:
+            upper = closure.join(wanted.select(F.col("domain_id").alias("ancestor_id")), "ancestor_id", "left_semi")
+            stands = stands.unionByName(upper.select("domain_id", F.col("ancestor_id").alias("for")))
+        links = links.join(stands.distinct(), "domain_id").select("project_id", F.col("for").alias("domain_id"))
+        if closure is not None:
+            links = links.distinct()
+    elif closure is not None:
         links = with_ancestors(links, closure, ["project_id"])
     return graph.wrote.select("person_id", "project_id").join(links, "project_id").select("person_id", "domain_id").distinct()
 
@@ -285,10 +298,11 @@ def find_candidates(
 
     ``by_matches`` orders by matched capabilities, matched domains, identifier; otherwise by
     identifier alone. ``closure`` also counts the ancestors of a project's domains as matches.
-    ``shows`` are ``person_domains`` known already.
+    ``shows`` are ``person_domains`` known already, of the wanted domains at least.
     """
-    shows = person_domains(graph, closure) if shows is None else shows
-    in_domain = wanted_domains.select("target_id", "domain_id").distinct().join(shows, "domain_id").select(
+    wanted = wanted_domains.select("target_id", "domain_id").distinct()
+    shows = person_domains(graph, closure, wanted.select("domain_id").distinct()) if shows is None else shows
+    in_domain = wanted.join(shows, "domain_id").select(
         "target_id", "person_id", F.lit("domain").alias("kind"), F.col("domain_id").alias("id"))
     able = (
         wanted_capabilities.select("target_id", "capability_id").where(F.col("capability_id").isNotNull()).distinct()

@@ -135,7 +135,7 @@ def target_profile(targets: Targets, gaps: DataFrame, team_caps: DataFrame) -> D
 class PersonTables:
     """What people show whatever the target, one pass over the graph for any number of targets.
 
-    domains(person_id, domain_id) of all their projects; keys(person_id, key, own, both): capability identifiers (own)
+    domains(person_id, domain_id) of all their projects, some target's domains at least; keys(person_id, key, own, both): capability identifiers (own)
     and their lower-cased forms, ``both`` where the key is also one of their domains; dates(person_id, n_able, last_year).
     """
 
@@ -252,7 +252,8 @@ def recommend(
     All candidates are scored unless ``candidate_limit`` cuts them per target. Their pairs with the targets are written
     out; matches and evidence are rows to be asked for, no feature needs them.
     """
-    shows = stage(person_domains(graph, closure), "person-domains")
+    wanted = targets.domains.select("domain_id").distinct()
+    shows = stage(person_domains(graph, closure, wanted), "person-domains")
     found = find_candidates(graph, targets.domains, targets.requirements, targets.team, candidate_limit, by_matches, shows=shows)
     first = stage_all({"team-caps": team_capabilities(graph, targets.team), "candidates": found.people})
     team_caps, people = first["team-caps"], first["candidates"]

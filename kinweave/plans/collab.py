@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from kinweave.operators.capability import aggregate_capabilities, evidence_rows, gate
 from kinweave.operators.graph import GraphTables, ancestor_closure, with_ancestors
 from kinweave.operators.recommend import Targets
-from kinweave.session import stage, stage_all
+from kinweave.session import buckets, stage, stage_all, stage_by
 
 REFERENCE_YEAR = 2001
 TARGET_COUNT = 10
@@ -41,20 +41,30 @@ def people(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per order line, with its project, author, domain codes and capability."""
+def facts(spark: SparkSession, sf_dir: str, by_project: bool = False) -> DataFrame:
+    """One row per order line, with its project, author, domain codes and capability.
+
+    ``by_project`` brings the lines of a project together while rows are still narrow; other columns are made after that.
+    """
     lines = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_discount", "l_returnflag", "l_shipdate"
     )
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_brand")
+    # customers meet the orders, of which there are fewer than lines
+    placed = orders.join(people(spark, sf_dir), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "person_id")
     joined = (
-        lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(people(spark, sf_dir), F.col("o_custkey") == F.col("c_custkey"))
+        lines.join(placed, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(parts, F.col("l_partkey") == F.col("p_partkey"))
+        .select(
+            F.concat(F.lit("S"), F.col("l_suppkey"), F.lit("-"), F.date_format("l_shipdate", "yyyyMMdd")).alias("project_id"),
+            "l_orderkey", "l_linenumber", "l_discount", "l_returnflag", "l_shipdate", "person_id", "p_name", "p_type", "p_brand",
+        )
     )
+    if by_project:
+        joined = joined.repartition(buckets(spark), "project_id")
     return joined.select(
-        F.concat(F.lit("S"), F.col("l_suppkey"), F.lit("-"), F.date_format("l_shipdate", "yyyyMMdd")).alias("project_id"),
+        "project_id",
         F.year("l_shipdate").alias("year"),
         "person_id",
         (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("pos"),
@@ -77,9 +87,8 @@ def base_graph(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None)
     root, leaf = root_code(F.col("p_type")), leaf_code(F.col("p_type"), F.col("p_brand"))
     roots = parts.select(root.alias("domain_id"), F.col("p_type").alias("name"))
     leaves = parts.select(leaf.alias("domain_id"), F.concat_ws(" ", "p_type", "p_brand").alias("name"))
-    links = rows.select("project_id", F.col("leaf").alias("domain_id")).union(
-        rows.where(F.col("l_returnflag") == "R").select("project_id", F.col("root").alias("domain_id"))
-    )
+    codes = F.when(F.col("l_returnflag") == "R", F.array("leaf", "root")).otherwise(F.array("leaf"))
+    links = rows.select("project_id", F.explode(codes).alias("domain_id"))
     return GraphTables(
         projects=rows.groupBy("project_id").agg(
             F.concat(F.lit("Shipment of "), F.min("p_name")).alias("title"), F.min("year").alias("year")
@@ -105,9 +114,10 @@ def full_graph(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None)
 
 
 def staged_graph(spark: SparkSession, sf_dir: str, able: bool = True) -> tuple[GraphTables, DataFrame]:
-    """The graph with its edge tables written once, plus the rows it came from."""
-    rows = stage(facts(spark, sf_dir), "facts")
-    base = base_graph(spark, sf_dir, rows).staged("wrote", "projects", "project_domain")
+    """The graph with its edge tables written once, plus the rows it came from; all bucketed by project, so that only
+    what is gathered by person is moved again."""
+    rows = stage_by(facts(spark, sf_dir, by_project=True), "project_id", "facts")
+    base = base_graph(spark, sf_dir, rows).staged("wrote", "projects", "project_domain", by="project_id")
     if not able:
         return base, rows
     known = gate(aggregates(base, rows)).withColumn("name", F.replace("capability_id", F.lit("_"), F.lit(" ")))

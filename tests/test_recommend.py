@@ -221,3 +221,38 @@ def test_held_out_ranks_are_those_of_the_whole_ranking_without_scoring_all(spark
     key = lambda rows: [(t, p, r, x) for t, p, r, x in rows]
     assert key(got) == key(want) and {r[2] for r in got} > {None, 1}
     assert sum(scored) < whole.features.count()
+
+
+def test_tables_of_a_project_meet_without_being_moved(spark, tmp_path):
+    """Grouping and joining by project of the staged graph shuffles nothing; only wanted domains reach the people."""
+    from kinweave.operators.capability import evidence_rows
+
+    graph, rows = collab.staged_graph(spark, "/root/testdata/sf0.001", able=False)
+    joined = evidence_rows(graph.wrote, collab.evidences(rows), graph.projects)
+    assert "Exchange hashpartitioning" not in joined._jdf.queryExecution().toString()
+    plain = lambda df: sorted(tuple(r) for r in df.collect())
+    want = collab.base_graph(spark, "/root/testdata/sf0.001")
+    for name in ("wrote", "projects", "project_domain"):
+        assert plain(getattr(graph, name).select(*getattr(want, name).columns)) == plain(getattr(want, name))
+
+
+def test_only_wanted_domains_are_gathered(spark, graph):
+    closure = g.ancestor_closure(graph.subdomain_of)
+    wanted = spark.createDataFrame([("x",), ("q",)], "domain_id string")
+    plain = lambda df: sorted(tuple(r) for r in df.collect())
+    for upper in (None, closure):
+        every = g.person_domains(graph, upper)
+        assert plain(g.person_domains(graph, upper, wanted)) == plain(every.join(wanted, "domain_id", "left_semi").select("person_id", "domain_id"))
+
+
+def test_last_hop_is_walked_from_either_side(spark):
+    graph, _, _ = _random_graph(spark, 8)
+    team = spark.createDataFrame([("t", "a01"), ("u", "a02"), ("u", "a03")], "target_id string, person_id string")
+    full = g.near_people(graph.wrote, team, 3).known
+    near = g.near_people(graph.wrote, team, 2)
+    people = graph.wrote.select("person_id").distinct().crossJoin(team.select("target_id").distinct()).select("target_id", "person_id")
+    plain = lambda df: sorted(tuple(r) for r in df.select("target_id", "person_id", "hops").collect())
+    assert full.where("hops = 3").count() > 0
+    for asked, frontier in ((people, near.frontier), (people, near.frontier.limit(0).unionByName(near.frontier)), (people.where("person_id > 'a50'"), near.frontier)):
+        got = g.distance_of(asked, g.Near(near.edges, near.known, frontier))
+        assert plain(got) == plain(full.join(asked, ["target_id", "person_id"], "left_semi"))
