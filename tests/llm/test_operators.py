@@ -220,6 +220,20 @@ def test_secrets_are_told_apart_by_owners(spark):
     assert all(r["n_chars"] == (len(r["text"]) if "[secret]" in r["text"] else 1) for r in masked)
 
 
+def test_owners_of_copies_are_counted(spark):
+    """All owners and repositories of a value are counted, those of copies too; a copy without owner hides no known owner."""
+    token = lambda k: f"Qw{k}" + "aB3x" * 6
+    rows = [(i, f"mirror {token('Copied')}", "en", "abc"[i], 1) for i in range(3)] + [(3, f"note {token('Copied')}", "en", "a", 1)]
+    rows += [(4, f"x {token('Hidden')}", "en", None, 1), (5, f"x {token('Hidden')}", "en", "a", 1), (6, f"y {token('Hidden')}", "en", "b", 1)]
+    rows += [(7, f"z {token('None')}", "en", None, 1), (8, f"z {token('None')}", "en", None, 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    name = {hashlib.sha256(token(k).encode()).hexdigest(): k for k in ("Copied", "Hidden", "None")}
+    got = {name[r["value"]]: tuple(r)[1:] for r in secrets.ownership(secrets.scan(docs)).collect()}
+    assert got == {"Copied": (3, 4, 1, True), "Hidden": (2, 3, 2, False), "None": (0, 2, 0, True)}
+    live = {r["doc_id"]: r["n_live"] for r in secrets.secret_report(docs).collect()}
+    assert live == {i: int(i < 4 or i > 6) for i in range(9)}
+
+
 def test_quality_odd_rows(odd_docs, no_docs):
     got = {r["doc_id"]: r for r in quality.quality_report(odd_docs).collect()}
     assert got[1]["n_words"] == got[2]["n_words"] == 0 and got[1]["base_failed"] and not got[1]["kept"]
