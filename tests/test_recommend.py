@@ -256,3 +256,46 @@ def test_last_hop_is_walked_from_either_side(spark):
     for asked, frontier in ((people, near.frontier), (people, near.frontier.limit(0).unionByName(near.frontier)), (people.where("person_id > 'a50'"), near.frontier)):
         got = g.distance_of(asked, g.Near(near.edges, near.known, frontier))
         assert plain(got) == plain(full.join(asked, ["target_id", "person_id"], "left_semi"))
+
+
+@pytest.mark.parametrize("size", [25, 3])
+def test_targets_and_people_are_not_copied_for_the_blocks(spark, monkeypatch, size):
+    """Whatever the number of blocks, what is written holds a target and a person once; no target is asked again once settled."""
+    from kinweave.operators import rivals
+
+    graph, keywords, required = _random_graph(spark, 5)
+    written, walked = {}, []
+    put, walk = rivals.stage, rivals._walk
+
+    def kept(df, label="staged"):
+        out = put(df, label)
+        written.setdefault(label, []).append(out.count())
+        return out
+
+    def walking(both, near, top_k, pairs):
+        walked.append({r["target_id"] for r in both.targets.collect()})
+        out = walk(both, near, top_k, pairs)
+        walked.append({r["target_id"] for r in out[1].collect()})
+        return out
+
+    monkeypatch.setattr(rivals, "PEOPLE_BLOCK", size)
+    monkeypatch.setattr(rivals, "stage", kept)
+    monkeypatch.setattr(rivals, "_walk", walking)
+    rows = rec.leave_one_out(graph, g.ancestor_closure(graph.subdomain_of), keywords, required, 3, 1)
+    every, settled, asked, _ = walked
+    assert settled and asked == every - settled and len(every) <= rows.count()
+    assert written["rivals-asked"] == [len(every), len(asked)] and written["rival-people"] == [graph.wrote.select("person_id").distinct().count()]
+
+
+def test_few_people_are_met_without_walking_from_all_targets(spark, monkeypatch):
+    graph, _, _ = _random_graph(spark, 8)
+    team = spark.createDataFrame([("t", "a01"), ("u", "a02"), ("u", "a03")], "target_id string, person_id string")
+    edges = g.shared_edges(graph.wrote)
+    full = g.near_people(graph.wrote, team, 3, edges).known
+    plain = lambda df: sorted(tuple(r) for r in df.select("target_id", "person_id", "hops").collect())
+    for asked in (full.where("hops <= 1"), full.where("target_id = 't' AND hops = 3 OR hops = 0"), full):
+        assert plain(g.distance_of_few(edges, team, asked)) == plain(asked)
+    hops = []
+    walk = g._coauthors
+    monkeypatch.setattr(g, "_coauthors", lambda people, *rest: hops.append({r[0] for r in people.select("target_id").collect()}) or walk(people, *rest))
+    assert g.distance_of_few(edges, team, full.where("target_id = 't' AND hops = 1")).count() and hops == [{"t"}]
