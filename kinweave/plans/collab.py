@@ -58,16 +58,14 @@ def facts(spark: SparkSession, sf_dir: str, by_project: bool = False) -> DataFra
         .join(parts, F.col("l_partkey") == F.col("p_partkey"))
         .select(
             F.concat(F.lit("S"), F.col("l_suppkey"), F.lit("-"), F.date_format("l_shipdate", "yyyyMMdd")).alias("project_id"),
-            "l_orderkey", "l_linenumber", "l_discount", "l_returnflag", "l_shipdate", "person_id", "p_name", "p_type", "p_brand",
+            F.year("l_shipdate").alias("year"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("pos"),
+            "l_discount", "l_returnflag", "person_id", "p_name", "p_type", "p_brand",
         )
     )
     if by_project:
         joined = joined.repartition(buckets(spark), "project_id")
     return joined.select(
-        "project_id",
-        F.year("l_shipdate").alias("year"),
-        "person_id",
-        (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("pos"),
+        "project_id", "year", "person_id", "pos",
         leaf_code(F.col("p_type"), F.col("p_brand")).alias("leaf"),
         root_code(F.col("p_type")).alias("root"),
         "l_returnflag", "p_name", "p_brand", "l_discount",

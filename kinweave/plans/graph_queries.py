@@ -12,7 +12,7 @@ from kinweave.operators import capability, graph as g, recommend as rec
 from kinweave.operators.recommend import PAIR
 from kinweave.plans import collab
 from kinweave.plans.collab_sql import VIEWS
-from kinweave.session import stage
+from kinweave.session import discard, stage
 from kinweave import settings
 
 QUERIES = {}
@@ -33,6 +33,7 @@ def query(sql_body: str | None = None, *needs: str):
 def _prepared(spark: SparkSession, sf: str, able: bool = True):
     graph, rows = collab.staged_graph(spark, sf, able)
     targets = collab.staged_targets(graph, rows, collab.largest_teams(graph))
+    discard(rows)
     return graph, targets
 
 
@@ -333,7 +334,8 @@ def held_out_authors(spark: SparkSession, sf: str) -> DataFrame:
 
 def _leave_one_out(spark: SparkSession, sf: str) -> DataFrame:
     graph, rows = collab.staged_graph(spark, sf)
-    keywords = rows.select("project_id", F.col("p_brand").alias("keyword")).distinct()
+    keywords = stage(rows.select("project_id", F.col("p_brand").alias("keyword")).distinct(), "keywords")
+    discard(rows)
     return rec.leave_one_out(graph, g.ancestor_closure(graph.subdomain_of), keywords, min_authors=LOO_AUTHORS)
 
 

@@ -299,3 +299,30 @@ def test_few_people_are_met_without_walking_from_all_targets(spark, monkeypatch)
     walk = g._coauthors
     monkeypatch.setattr(g, "_coauthors", lambda people, *rest: hops.append({r[0] for r in people.select("target_id").collect()}) or walk(people, *rest))
     assert g.distance_of_few(edges, team, full.where("target_id = 't' AND hops = 1")).count() and hops == [{"t"}]
+
+
+def test_staging_leaves_no_shuffle_files_and_the_order_lines_go(spark):
+    """Shuffles of what is written out end with the writing; the graph's lines are deleted once its tables are there."""
+    from pathlib import Path
+
+    from kinweave import session
+    from kinweave.plans import graph_queries
+
+    manager = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+
+    def shuffles():
+        files = manager.getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+    before = shuffles()
+    counts = spark.range(1000).groupBy(F.col("id") % 7).count()
+    kept = session.stage(counts)
+    assert not shuffles() - before and kept.count() == 7 and spark.conf.get(session.CLEANUP_KEY, None) is None
+    assert counts.count() == 7 and len(counts.collect()) == 7 and len(counts.collect()) == 7
+    folder = Path(session.ensure_checkpoint_dir(spark).removeprefix("file:"))
+    there = {p.name for p in folder.iterdir()}
+    graph, targets = graph_queries._prepared(spark, "/root/testdata/sf0.001")
+    made = {p.name.partition("_")[0] for p in folder.iterdir() if p.name not in there}
+    assert "facts" not in made and "wrote" in made and graph.wrote.count() and targets.requirements.count()
+    with pytest.raises(ValueError):
+        session.discard(kept)
